@@ -23,8 +23,13 @@ def mean(a: Column) -> Column:
     return F.try_divide(_total(F.transform(a, lambda x: x.cast("double"))), F.size(a))
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once, also where the body uses it inside a lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
 def standardised(a: Column) -> Column:
     """(x - mean) / (population standard deviation + 1e-5), element by element."""
-    mu = mean(a)
-    sd = F.sqrt(F.try_divide(_total(F.transform(a, lambda x: (x - mu) * (x - mu))), F.size(a)))
-    return F.transform(a, lambda x: (x - mu) / (sd + F.lit(1e-5)))
+    spread = lambda mu: F.sqrt(F.try_divide(_total(F.transform(a, lambda x: (x - mu) * (x - mu))), F.size(a)))
+    scaled = lambda mu: bind(spread(mu) + F.lit(1e-5), lambda sd: F.transform(a, lambda x: (x - mu) / sd))
+    return bind(mean(a), scaled)

@@ -61,6 +61,7 @@ def along(
                      *[c.alias(n) for n, c in inputs.items()])
     for name in group:
         rows = rows.filter(F.col(name).isNotNull())
+    rows = rows.repartition(*group)
 
     inside = Window.partitionBy(*group).orderBy(*order)
     earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
@@ -90,8 +91,8 @@ def along(
         summary += [F.min_by(F.struct(f"_run_{n}"), place).alias(f"_open_{n}"),
                     F.max_by(F.struct(f"_run_{n}"), place).alias(f"_close_{n}"),
                     F.sum(f"_break_{n}").alias(f"_inner_{n}")]
-    # Touching every column keeps the shuffle below the same for the summaries and for the rows, so Spark runs it, and
-    # everything before it, once and reads it twice.
+    # Both readers of the shuffled rows touch every column, so that Spark plans one shuffle for the summaries and the
+    # rows: everything before it runs once.
     summary.append(F.max(F.xxhash64(*flagged.columns)).alias("_all"))
     chunks = flagged.groupBy(*group).agg(*summary).filter(F.col("_all").isNotNull())
 

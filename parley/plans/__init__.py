@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["segments"]
+MODULES = ["segments", "dashboards", "frames"]
 
 
 def load():
