@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["segments", "dashboards", "frames"]
+MODULES = ["segments", "dashboards", "frames", "vectors", "words"]
 
 
 def load():
