@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 # Characters removed from a transcript before scoring.
 TRANSCRIPT_MARKS = "; 　「」?？。…、"
@@ -13,7 +13,7 @@ SINGLE_KANA = "^[ぁ-んァ-ン]$"
 WORD = "[a-zà-ÿ]+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 

@@ -36,12 +36,13 @@ def reference_faces(df: DataFrame, rois: DataFrame, keys: list[str], until_ms: i
     return near.groupBy(*keys, "person", "frame").agg(F.min("vec").alias("sample"), F.min_by("encoding", "vec").alias("encoding"))
 
 
-def person_distances(vectors: DataFrame, gallery: DataFrame, keys: list[str], chunk: Column) -> DataFrame:
+def person_distances(vectors: DataFrame, gallery: DataFrame, keys: list[str], width: int) -> DataFrame:
     """Distance of every vector to every person of its recording: the smallest over the person's samples.
 
-    Vectors are cut into chunks and the gallery of a recording into blocks of about ``BLOCK`` samples; a task compares
+    Vectors are cut into chunks of ``width`` frames and the gallery of a recording into blocks of about ``BLOCK`` samples; a task compares
     one chunk with one block as matrices and returns one row per vector and person, so no sample pairs are written.
     """
+    chunk = F.floor(F.col("frame") / width).cast("long")
     sizes = gallery.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
     blocks = salted_join(gallery.select(*keys, "person", "sample", "encoding"), sizes, keys)
     blocks = blocks.withColumn("_block", F.pmod(F.xxhash64("person", "sample"), F.col("_blocks")).cast("int")).drop("_blocks")
@@ -72,12 +73,12 @@ def person_distances(vectors: DataFrame, gallery: DataFrame, keys: list[str], ch
     return compared.groupBy(*keys, "frame", "vec", "person").agg(F.min("distance").alias("distance"))
 
 
-def gallery_match(vectors: DataFrame, gallery: DataFrame, keys: list[str], threshold: float, chunk: Column) -> DataFrame:
+def gallery_match(vectors: DataFrame, gallery: DataFrame, keys: list[str], threshold: float, width: int) -> DataFrame:
     """Name the vectors of each frame: every person claims its nearest vector if close enough.
 
     A vector claimed by several persons goes to the last of them. Persons without samples claim nothing.
     """
-    near = person_distances(vectors, gallery, keys, chunk)
+    near = person_distances(vectors, gallery, keys, width)
     claims = near.groupBy(*keys, "frame", "person").agg(
         F.min(F.struct("distance", "vec")).alias("_best")).filter(F.col("_best.distance") <= threshold)
     return (claims.groupBy(*keys, "frame", F.col("_best.vec").alias("vec"))

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.vectors import bind
 from .series import along, differs
 from .skew import salted_join
 
@@ -174,10 +175,10 @@ def word_distance(answer, heard):
     Good for up to about 50,000 distinct words in a pair; characters start above the ASCII range.
     """
     lower = lambda words: F.transform(words, lambda w: F.lower(w))
-    known = F.array_distinct(F.concat(lower(answer), lower(heard)))
-    code = lambda words: F.array_join(F.transform(lower(words), lambda w: F.decode(
+    code = lambda words, known: F.array_join(F.transform(words, lambda w: F.decode(
         F.unhex(F.lpad(F.hex(F.array_position(known, w) + F.lit(0x100)), 4, "0")), "UTF-16BE")), "")
-    return F.levenshtein(code(answer), code(heard))
+    both = lambda a, b: bind(F.array_distinct(F.concat(a, b)), lambda k: F.levenshtein(code(a, k), code(b, k)))
+    return bind(lower(answer), lambda a: bind(lower(heard), lambda b: both(a, b)))
 
 
 # --- training sequences ------------------------------------------------------------------------------------------
