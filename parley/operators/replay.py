@@ -28,7 +28,7 @@ def replay(df: DataFrame, keys: list[str], order: str, span: int, step: Step, st
     chunk, ``span`` units of ``order`` wide.
     """
     group = [*keys, "_chunk"]
-    rows = df.withColumn("_chunk", F.floor(F.col(order) / span).cast("long"))
+    rows = cut_lineage(df.withColumn("_chunk", F.floor(F.col(order) / span).cast("long")))
     key_schema = ", ".join(f"{c} {t}" for c, t in rows.select(*group).dtypes)
     first = json.dumps(start, sort_keys=True)
 
@@ -56,7 +56,6 @@ def replay(df: DataFrame, keys: list[str], order: str, span: int, step: Step, st
     if chunks.filter("_lo < _hi").isEmpty():
         whole = rows.withColumn("_state", F.lit(first)).groupBy(*group).applyInPandas(results, f"{key_types}, {schema}")
         return whole
-    rows = cut_lineage(rows)
     states = cut_lineage(ends(rows.select(*group).distinct().withColumn("_state", F.lit(first))))
     while True:
         before = F.coalesce(F.lag("_end").over(Window.partitionBy(*keys).orderBy("_chunk")), F.lit(first))
@@ -225,23 +224,24 @@ def merge_splits(df: DataFrame, keys: list[str], max_ms: float, span: int, start
     Two pieces may join when together they stay within ``max_ms``, or when one of them is empty. The scan passes the
     first piece once, so it takes in one neighbour at most; later pieces are filled from left to right.
     """
-    fresh = {"piece": -1, "start": None, "end": None, "took": False}
+    fresh = {"start": None, "end": None, "first": True, "took": False}
 
     def step(state: dict, rows: pd.DataFrame):
         out = []
         for s, e in zip(rows[start], rows[end]):
             s, e = float(s), float(e)
-            a, b = (state["end"] - state["start"] if state["piece"] >= 0 else 0), e - s
-            fits = a + b <= max_ms or a == 0 or b == 0
-            if state["piece"] >= 0 and fits and not (state["piece"] == 0 and state["took"]):
-                state = {**state, "end": e, "took": True}
+            known = state["start"] is not None
+            a, b = (state["end"] - state["start"] if known else 0), e - s
+            if known and (a + b <= max_ms or a == 0 or b == 0) and not (state["first"] and state["took"]):
+                state = {**state, "end": e, "took": state["first"]}
             else:
-                state = {"piece": state["piece"] + 1, "start": s, "end": e, "took": False}
-            out.append((state["piece"], s, e))
+                state = {"start": s, "end": e, "first": not known, "took": False}
+            out.append((state["start"], s, e))
         return state, pd.DataFrame(out, columns=["piece", start, end])
 
-    pieces = replay(df.select(*keys, start, end), keys, start, span, step, fresh, f"piece long, {start} double, {end} double")
-    return pieces.groupBy(*keys, "piece").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("splits"))
+    pieces = replay(df.select(*keys, start, end), keys, start, span, step, fresh, f"piece double, {start} double, {end} double")
+    return (pieces.groupBy(*keys, "piece").agg(F.max(end).alias(end), F.count(F.lit(1)).alias("splits"))
+            .withColumnRenamed("piece", start))
 
 
 # --- identity tracking ------------------------------------------------------------------------------------------

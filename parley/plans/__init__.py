@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["segments", "dashboards", "frames", "vectors", "words", "streams"]
+MODULES = ["segments", "dashboards", "frames", "vectors", "words", "streams", "files"]
 
 
 def load():

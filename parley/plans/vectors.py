@@ -336,8 +336,8 @@ mg AS (SELECT meeting, n, s, e, 0 AS piece, false AS took FROM sp WHERE n = 1 UN
       AND NOT (m.piece = 0 AND m.took) AS joins FROM mg m JOIN sp p ON p.meeting = m.meeting AND p.n = m.n + 1))"""
 
 
-@query(with_views(v.SEG, sg.COVER, sg.QUIET, MERGE, recursive=True) + """SELECT meeting, piece, min(s) AS start_ms, max(e) AS end_ms,
-  count(*) AS splits FROM mg GROUP BY ALL""")
+@query(with_views(v.SEG, sg.COVER, sg.QUIET, MERGE, recursive=True) + """SELECT meeting, start_ms, end_ms, splits FROM (
+  SELECT meeting, piece, min(s) AS start_ms, max(e) AS end_ms, count(*) AS splits FROM mg GROUP BY ALL)""")
 def greedy_merge(spark, folder):
     from ..operators.intervals import midpoint_splits
 

@@ -139,15 +139,18 @@ def read_labelled_pose(spark: SparkSession, folder: str, mark: str = "nod") -> D
                       F.contains(name, F.lit(mark)).cast("int").alias("label"), texts.numbers_of(name).alias("file_order"))
 
 
-def read_run_parameters(spark: SparkSession, path) -> DataFrame:
-    """One row per person of a run: (video_path, offset, person, audio_path, rgb, roi)."""
-    raw = spark.read.schema(RUN_PARAMETERS).option("multiLine", True).json(path)
+def read_run_parameters(spark: SparkSession, path, lines: bool = False) -> DataFrame:
+    """One row per person of a run: (video_path, offset, person, audio_path, rgb, roi).
+
+    A file is one object, or with ``lines`` one object per line.
+    """
+    raw = spark.read.schema(RUN_PARAMETERS).option("multiLine", not lines).json(path)
     return raw.select("video_path", "offset", F.explode("result").alias("person", "_r")).select(
         "video_path", "offset", "person", "_r.audio_path", "_r.rgb", "_r.roi")
 
 
 def write_run_parameters(people: DataFrame, path: str) -> None:
-    """The inverse of ``read_run_parameters``: one JSON object per run; a run has a handful of people."""
+    """The inverse of ``read_run_parameters`` with ``lines``: one object per run; a run has a handful of people."""
     entry = F.struct("person", F.struct("audio_path", "rgb", "roi"))
     runs = people.groupBy("video_path", "offset").agg(F.map_from_entries(F.collect_list(entry)).alias("result"))
     runs.write.json(path)
