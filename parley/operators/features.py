@@ -160,7 +160,7 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, span: float, ra
     known = df.filter(F.col(value).isNotNull())
     counts = known.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     swept = along(counts, keys, ["_v"], span, total={"_upto": F.col("_c")})
-    sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("n"))
     placed = salted_join(swept, sizes, keys)
     pick = lambda r: F.max(F.when((F.col("_upto") - F.col("_c") <= r) & (r < F.col("_upto")), F.col("_v")))
     return placed.groupBy(*keys).agg(*[pick(r).alias(name) for name, r in ranks.items()])
@@ -187,14 +187,20 @@ def baseline_shift(df: DataFrame, keys: list[str], value: str, valid: str, cutof
     return shifted.withColumn(out, F.when(F.col(valid), clipped).otherwise(0.0)).drop("_base")
 
 
-def near_median_boxes(df: DataFrame, keys: list[str], width: float, reach: float = 0.1) -> DataFrame:
+def _centred(df: DataFrame) -> DataFrame:
+    return df.withColumns({"_cy": (F.col("top") + F.col("bottom")) / 2, "_cx": (F.col("left") + F.col("right")) / 2})
+
+
+def median_centres(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Median box centre (my, mx) per person."""
+    return medians(_centred(df), keys, ["_cy", "_cx"], 4096).withColumnsRenamed({"_cy": "my", "_cx": "mx"})
+
+
+def near_median_boxes(df: DataFrame, middle: DataFrame, keys: list[str], width: float, reach: float = 0.1) -> DataFrame:
     """Boxes whose centre is closer to the person's median centre than ``reach`` times the frame width."""
-    centred = df.withColumns({"_cy": (F.col("top") + F.col("bottom")) / 2, "_cx": (F.col("left") + F.col("right")) / 2})
-    middle = medians(centred, keys, ["_cy", "_cx"], 4096).withColumnsRenamed({"_cy": "_my", "_cx": "_mx"})
-    both = salted_join(centred, middle, keys)
-    off = F.sqrt((F.col("_cy") - F.col("_my")) * (F.col("_cy") - F.col("_my"))
-                 + (F.col("_cx") - F.col("_mx")) * (F.col("_cx") - F.col("_mx")))
-    return both.filter(off < reach * width).select(*df.columns)
+    both = salted_join(_centred(df), middle, keys)
+    dy, dx = F.col("_cy") - F.col("my"), F.col("_cx") - F.col("mx")
+    return both.filter(F.sqrt(dy * dy + dx * dx) < reach * width).select(*df.columns)
 
 
 def interpolate_boxes(df: DataFrame, keys: list[str], lengths: DataFrame, span: float = 65536) -> DataFrame:

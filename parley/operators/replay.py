@@ -9,7 +9,7 @@ result is always that of one pass over the whole series.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,6 +18,33 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..session import cut_lineage
 from .series import along
 
+def map_groups(df: DataFrame, group: list[str], order: list[str], work: Callable[[pd.DataFrame], pd.DataFrame],
+               schema: str) -> DataFrame:
+    """``work`` on the ordered rows of each group, one result table per group.
+
+    The partitions are sorted once and read as a stream of batches, so thousands of small groups cost no hand-over
+    each; a task holds one group at a time.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            new = np.zeros(len(rows), dtype=bool)
+            new[0] = True
+            for c in group:
+                v = rows[c].to_numpy()
+                new[1:] |= v[1:] != v[:-1]
+            starts = np.flatnonzero(new)
+            done = [work(rows.iloc[a:b]) for a, b in zip(starts[:-1], starts[1:])]
+            if done:
+                yield pd.concat(done, ignore_index=True)
+            held = rows.iloc[starts[-1]:]
+        if held is not None:
+            yield work(held)
+
+    return df.repartition(*group).sortWithinPartitions(*group, *order).mapInPandas(run, schema)
+
+
 Step = Callable[[dict, pd.DataFrame], tuple[dict, pd.DataFrame]]
 
 
@@ -33,7 +60,6 @@ def replay(df: DataFrame, keys: list[str], order: str, span: int, step: Step, st
     first = json.dumps(start, sort_keys=True)
 
     def run(pdf: pd.DataFrame):
-        pdf = pdf.sort_values(order)
         return pdf, *step(json.loads(pdf["_state"].iloc[0]), pdf)
 
     def end(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -42,20 +68,17 @@ def replay(df: DataFrame, keys: list[str], order: str, span: int, step: Step, st
 
     def results(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, _, out = run(pdf)
-        for c in keys:
-            out.insert(0, c, pdf[c].iloc[0])
-        return out
+        return out.assign(**{c: pdf[c].iloc[0] for c in keys})[[*keys, *out.columns]]
 
     def ends(states: DataFrame) -> DataFrame:
         guessed = rows.join(states.select(*group, "_state"), group)
-        done = guessed.groupBy(*group).applyInPandas(end, f"{key_schema}, _end string")
+        done = map_groups(guessed, group, [order], end, f"{key_schema}, _end string")
         return states.select(*group, "_state").join(done, group)
 
     chunks = rows.groupBy(*keys).agg(F.min("_chunk").alias("_lo"), F.max("_chunk").alias("_hi"))
     key_types = ", ".join(f"{c} {t}" for c, t in rows.select(*keys).dtypes)
     if chunks.filter("_lo < _hi").isEmpty():
-        whole = rows.withColumn("_state", F.lit(first)).groupBy(*group).applyInPandas(results, f"{key_types}, {schema}")
-        return whole
+        return map_groups(rows.withColumn("_state", F.lit(first)), group, [order], results, f"{key_types}, {schema}")
     states = cut_lineage(ends(rows.select(*group).distinct().withColumn("_state", F.lit(first))))
     while True:
         before = F.coalesce(F.lag("_end").over(Window.partitionBy(*keys).orderBy("_chunk")), F.lit(first))
@@ -67,7 +90,7 @@ def replay(df: DataFrame, keys: list[str], order: str, span: int, step: Step, st
         kept = known.filter(F.col("_start") == F.col("_state")).select(*group, "_state", "_end")
         states = cut_lineage(kept.unionByName(again))
     started = rows.join(states.select(*group, "_state"), group)
-    return started.groupBy(*group).applyInPandas(results, f"{key_types}, {schema}")
+    return map_groups(started, group, [order], results, f"{key_types}, {schema}")
 
 
 # --- nods ---------------------------------------------------------------------------------------------------------
@@ -147,7 +170,6 @@ def _running(df: DataFrame, keys: list[str], pos: str, value: str, used, span: i
     key_types = ", ".join(f"{c} {t}" for c, t in rows.select(*keys).dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(pos).reset_index(drop=True)
         total = np.zeros(bins, dtype=np.int64)
         earlier = pdf["_before"].iloc[0]
         for e in (earlier if earlier is not None else []):
@@ -162,11 +184,9 @@ def _running(df: DataFrame, keys: list[str], pos: str, value: str, used, span: i
             total = so_far[-1]
             parts.append(finish(so_far, block))
         out = pd.concat(parts, ignore_index=True)
-        for c in keys:
-            out.insert(0, c, pdf[c].iloc[0])
-        return out
+        return out.assign(**{c: pdf[c].iloc[0] for c in keys})[[*keys, *out.columns]]
 
-    return started.groupBy(*group).applyInPandas(run, f"{key_types}, {schema}")
+    return map_groups(started, group, [pos], run, f"{key_types}, {schema}")
 
 
 def running_median(df: DataFrame, keys: list[str], pos: str, value: str, success: str, bins: int, low: float,

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.vectors import bind
+from .replay import map_groups
 from .series import along, differs
 from .skew import salted_join
 
@@ -66,7 +67,7 @@ def sequence_match(df: DataFrame, keys: list[str], label1: str, label2: str) ->
         matrix = pdf.pivot_table(index=label1, columns=label2, values="_n", fill_value=0, aggfunc="sum").to_numpy(dtype=float)
         return pdf[keys].head(1).assign(accuracy=best_assignment(matrix) / matrix.sum(), length=int(matrix.sum()))
 
-    return counts.groupBy(*keys).applyInPandas(assign, f"{key_types}, accuracy double, length long")
+    return map_groups(counts, keys, [label1, label2], assign, f"{key_types}, accuracy double, length long")
 
 
 def aligned(first: DataFrame, second: DataFrame, keys: list[str], pos: str, label: str) -> DataFrame:

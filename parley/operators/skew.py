@@ -25,9 +25,12 @@ def salted_join(facts: DataFrame, dim: DataFrame, on: list[str], how: str = "inn
 
 
 def lookup_join(facts: DataFrame, dim: DataFrame, on: list[str], how: str = "inner",
-                limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join to a lookup table: broadcast when a bounded count proves it small, salted otherwise."""
-    if fits(dim, limit):
+                limit: int = BROADCAST_ROWS, small: bool | None = None) -> DataFrame:
+    """Join to a lookup table: broadcast when a bounded count proves it small, salted otherwise.
+
+    ``small`` hands in the answer where the caller has counted already.
+    """
+    if fits(dim, limit) if small is None else small:
         return facts.join(F.broadcast(dim), on, how)
     return salted_join(facts, dim, on, how)
 

@@ -7,12 +7,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.faces import EMOTIONS
 from .intervals import points_in_intervals
 from .series import along
-from .skew import salted_join
 
 
-def rising_edges(df: DataFrame, keys: list[str], order: str, flag: str, span: float) -> DataFrame:
+def rising_edges(df: DataFrame, keys: list[str], order: list[str], flag: str, span: float) -> DataFrame:
     """Number of times a 0/1 flag turns 1 per key; a leading 1 counts."""
-    before = along(df.select(*keys, order, flag), keys, [order], span, lag={"_before": F.col(flag)})
+    before = along(df.select(*keys, *order, flag), keys, order, span, lag={"_before": F.col(flag)})
     up = (F.col(flag) == 1) & (F.coalesce("_before", F.lit(0)) == 0)
     return before.groupBy(*keys).agg(F.sum(F.when(up, 1).otherwise(0)).alias("nods"))
 
@@ -164,12 +163,20 @@ def match_faces(frames: DataFrame, segments: DataFrame, span: float, width: floa
     moved = along(joined.filter(F.col("mouth") != 0).select(*face, "frame", "speaker", "mouth"), face,
                   ["frame", "speaker"], span, lag={"_was": F.col("mouth")})
     moved = moved.filter(F.col("_was").isNull() | (F.col("_was") != F.col("mouth"))).drop("_was")
-    spread = moved.groupBy(*face).agg(F.avg("mouth").alias("_mu"), F.stddev_samp("mouth").alias("_sd"))
-    z = (salted_join(moved, spread, face)
-         .withColumn("z", F.try_divide(F.col("mouth") - F.col("_mu"), F.col("_sd"))).drop("_mu", "_sd", "mouth"))
-    steps = along(z, [*face, "speaker"], ["frame"], span, lag={"_z": F.col("z")})
-    means = steps.groupBy(*face, "speaker").agg(F.avg("z").alias("mean"),
-                                                F.avg(F.abs(F.col("z") - F.col("_z"))).alias("step"))
+    steps = along(moved, [*face, "speaker"], ["frame"], span, lag={"_m": F.col("mouth")})
+    parts = steps.groupBy(*face, "speaker").agg(
+        F.count(F.lit(1)).alias("_n"), F.avg("mouth").alias("_avg"), F.var_pop("mouth").alias("_var"),
+        F.avg(F.abs(F.col("mouth") - F.col("_m"))).alias("_step"))
+    # The face's mean and deviation follow from those of its speakers, so the rows need not be scaled one by one.
+    mine = Window.partitionBy(*face)
+    n = F.sum("_n").over(mine)
+    mu = F.sum(F.col("_n") * F.col("_avg")).over(mine) / n
+    centred = parts.withColumns({"_mu": mu, "_all": n})
+    off = F.col("_avg") - F.col("_mu")
+    square = F.sum(F.col("_n") * (F.col("_var") + off * off)).over(mine)
+    sd = F.sqrt(F.try_divide(square, F.col("_all") - 1))
+    means = centred.withColumn("_sd", sd).select(
+        *face, "speaker", F.try_divide(off, F.col("_sd")).alias("mean"), F.try_divide(F.col("_step"), F.col("_sd")).alias("step"))
     best = F.max("mean").over(Window.partitionBy(*face))
     score = means.withColumn("score", F.col("step") * F.try_divide(F.col("mean"), best))
     return (score.groupBy("meeting", "speaker")

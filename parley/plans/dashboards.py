@@ -31,8 +31,9 @@ SUMMARY = """summary AS (SELECT s.meeting, s.speaker, coalesce(utterances, 0) AS
 
 
 def _nods(spark, folder):
-    frames = v.frm(spark, folder, "meeting", "speaker", "gesture")
-    up = sm.rising_edges(frames, ["meeting", "speaker", "person"], "frame", "gesture", FRAMES)
+    e = v._events(spark, folder).select((F.col("user_id") % 100).alias("meeting"), (F.col("user_id") % 3).cast("int").alias("speaker"),
+                                        F.col("user_id").alias("person"), "us", "event_id", (F.col("value") > 50).cast("int").alias("gesture"))
+    up = sm.rising_edges(e, ["meeting", "speaker", "person"], ["us", "event_id"], "gesture", DAY_US)
     return up.groupBy("meeting", "speaker").agg(F.sum("nods").alias("nods"))
 
 
@@ -79,7 +80,7 @@ def coarse_summary(spark, folder):
 
 @query(with_views(v.FRM, NODS) + "SELECT person, sum(up)::BIGINT AS nods FROM edges GROUP BY person")
 def nod_count(spark, folder):
-    return sm.rising_edges(v.frm(spark, folder, "gesture"), ["person"], "frame", "gesture", FRAMES)
+    return sm.rising_edges(v.frm(spark, folder, "gesture"), ["person"], ["frame"], "gesture", FRAMES)
 
 
 SHARE = ", ".join(f"count(*) FILTER (prediction = '{e}') / count(*) AS {e.lower()}" for e in

@@ -198,9 +198,14 @@ near AS (SELECT m.person, frame, top, "right", bottom, "left", n FROM mid m JOIN
   WHERE sqrt((cy - my)*(cy - my) + (cx - mx)*(cx - mx)) < 300.0)"""
 
 
+def _near(spark, folder):
+    middle = ft.median_centres(v.raw_boxes(spark, folder), P)
+    return ft.near_median_boxes(v.box(spark, folder), middle, P, 3000.0)
+
+
 @query(with_views(v.BOX, NEAR) + 'SELECT person, frame, top, "right", bottom, "left" FROM near')
 def near_median_boxes(spark, folder):
-    return ft.near_median_boxes(v.box(spark, folder), P, 3000.0)
+    return _near(spark, folder)
 
 
 @query(with_views(v.BOX, NEAR) + """, g AS (SELECT n.*, lead(frame) OVER w AS nf, lag(frame) OVER w AS pf, lead(top) OVER w AS nt, lead("right") OVER w AS nr,
@@ -212,9 +217,8 @@ SELECT person, f AS frame, f = frame AS is_detected,
   CASE WHEN f = frame THEN bottom WHEN f > frame THEN trunc((nb - bottom)/(nf - frame)::DOUBLE * (f - frame) + bottom)::INT END AS bottom,
   CASE WHEN f = frame THEN "left" WHEN f > frame THEN trunc((nl - "left")/(nf - frame)::DOUBLE * (f - frame) + "left")::INT END AS "left" FROM e""")
 def interpolate_track(spark, folder):
-    boxes = v.box(spark, folder)
     lengths = v.table(spark, folder, "lineitem").groupBy(F.col("l_suppkey").alias("person")).agg(F.count(F.lit(1)).alias("n"))
-    return ft.interpolate_boxes(ft.near_median_boxes(boxes, P, 3000.0), P, lengths)
+    return ft.interpolate_boxes(_near(spark, folder), P, lengths)
 
 
 @query("""SELECT l_suppkey AS person, min(l_partkey * 7 % 1280)::INT AS x, min(l_partkey % 480)::INT AS y,

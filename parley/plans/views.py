@@ -105,17 +105,21 @@ VEC = """vec AS (SELECT vec_id AS vec, vec_id // 200 AS meeting, (vec_id % 200)
   ((vec_id % 200) // 5) * 2000 AS time_ms, embedding::DOUBLE[] AS encoding, label::INT AS label FROM embeddings)"""
 
 
-def box(spark, folder) -> DataFrame:
-    days = F.expr("timestampdiff(DAY, TIMESTAMP_NTZ'1970-01-01 00:00:00', l_shipdate)")
-    rows = table(spark, folder, "lineitem").select(
-        F.col("l_suppkey").alias("person"), days.alias("day"), "l_orderkey", "l_linenumber", "l_partkey", "l_quantity",
-        "l_extendedprice", "l_discount", "l_tax")
-    order = ["day", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-    f = along(rows, ["person"], order, 365, rank="frame")
+def raw_boxes(spark, folder, *extra: str) -> DataFrame:
+    """Face boxes without frame numbers."""
     top, left = (F.col("l_partkey") % 480).cast("int"), (F.col("l_partkey") * 7 % 1280).cast("int")
     size = F.col("l_quantity").cast("int")
-    return f.select("person", "frame", top.alias("top"), (left + size).alias("right"), (top + size).alias("bottom"),
-                    left.alias("left"))
+    return table(spark, folder, "lineitem").select(
+        F.col("l_suppkey").alias("person"), top.alias("top"), (left + size).alias("right"), (top + size).alias("bottom"),
+        left.alias("left"), *extra)
+
+
+def box(spark, folder) -> DataFrame:
+    rest = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    days = F.expr("timestampdiff(DAY, TIMESTAMP_NTZ'1970-01-01 00:00:00', l_shipdate)")
+    rows = raw_boxes(spark, folder, "l_shipdate", *rest).withColumn("day", days)
+    return (along(rows.drop("l_shipdate"), ["person"], ["day", *rest], 365, rank="frame")
+            .select("person", "frame", "top", "right", "bottom", "left"))
 
 
 BOX = """box AS (SELECT person, frame, t AS top, l + s AS right, t + s AS bottom, l AS left FROM (
@@ -124,8 +128,14 @@ BOX = """box AS (SELECT person, frame, t AS top, l + s AS right, t + s AS bottom
     (l_partkey * 7 % 1280)::INT AS l, l_quantity::INT AS s FROM lineitem))"""
 
 
+def documents(spark, folder) -> DataFrame:
+    """Documents, spread over all cores where the table is one small file that a single task would read."""
+    d = table(spark, folder, "documents")
+    return d.repartition(spark.sparkContext.defaultParallelism) if len(d.inputFiles()) == 1 else d
+
+
 def sentences(spark, folder) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", F.posexplode(F.split("text", "[.\n]")).alias("pos", "sentence"))
+    return documents(spark, folder).select("doc_id", F.posexplode(F.split("text", "[.\n]")).alias("pos", "sentence"))
 
 
 def sent(spark, folder) -> DataFrame:

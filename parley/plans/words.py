@@ -46,8 +46,9 @@ def _vocabulary(spark, folder):
 
 
 def _pairs(spark, folder):
-    cut = wd.cut_sentences(v.sent(spark, folder), KEYS, _vocabulary(spark, folder))
-    return wd.jaccard(cut_lineage(wd.pair_counts(cut)))
+    vocabulary = _vocabulary(spark, folder)
+    coded = wd.coded_sentences(v.sent(spark, folder), KEYS, vocabulary)
+    return wd.named_pairs(wd.jaccard(cut_lineage(wd.pair_counts(coded))), vocabulary)
 
 
 @query(with_views(v.SENT, COUNTS) + "SELECT word, n AS count FROM cnt")
