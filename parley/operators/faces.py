@@ -12,6 +12,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.vectors import norm
+from ..session import cut_lineage
 from .skew import salted_join
 
 BLOCK = 2048  # reference vectors held by one task at a time
@@ -172,7 +173,7 @@ def speaker_distances(df: DataFrame, keys: list[str], speaker: str) -> DataFrame
 
 def cluster_windows(df: DataFrame, most: int, seed: int = 1) -> DataFrame:
     """Speaker labels for the embedding windows of one long recording: k-means with the k of the best silhouette."""
-    data = df.withColumn("features", array_to_vector("encoding"))
+    data = cut_lineage(df.withColumn("features", array_to_vector("encoding")))  # read once per k-means round
     best = None
     for k in range(2, most + 1):
         labelled = KMeans(k=k, seed=seed, maxIter=20).fit(data).transform(data)

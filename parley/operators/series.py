@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 Breaks = Callable[[Column, Column], Column]
 
@@ -93,7 +93,8 @@ def along(
                     F.sum(f"_break_{n}").alias(f"_inner_{n}")]
     # Both readers of the shuffled rows touch every column, so that Spark plans one shuffle for the summaries and the
     # rows: everything before it runs once.
-    summary.append(F.max(F.xxhash64(*flagged.columns)).alias("_all"))
+    plain = [f.name for f in flagged.schema.fields if not isinstance(f.dataType, T.MapType)]
+    summary.append(F.max(F.xxhash64(*plain)).alias("_all"))
     chunks = flagged.groupBy(*group).agg(*summary).filter(F.col("_all").isNotNull())
 
     between = Window.partitionBy(*keys).orderBy("_chunk")
@@ -148,17 +149,18 @@ def differs(previous: Column, current: Column) -> Column:
     return ~previous.eqNullSafe(current)
 
 
-def neighbours(df: DataFrame, keys: list[str], pos: str, reach: int, value: Column,
-               out: str = "around") -> DataFrame:
+def neighbours(df: DataFrame, keys: list[str], pos: str, reach: int, value: Column, out: str = "around",
+               span: int = 65536) -> DataFrame:
     """Values of the rows within ``reach`` positions, as an array ordered by position.
 
-    ``pos`` is a gapless row number, so the rows around a row are an equi-join on shifted positions: no key is sorted
-    as a whole.
+    ``pos`` is a gapless row number. A key is cut into chunks of ``span`` positions, and only the rows next to a cut
+    are copied to the chunk beyond it, so one shuffle does and no key is sorted as a whole.
     """
-    shifted = df.select(*keys, value.alias("_v"),
-                        F.explode(F.array(*[F.struct((F.col(pos) + d).alias(pos), F.lit(-d).alias("_d"))
-                                            for d in range(-reach, reach + 1)])).alias("_s"))
-    gathered = (shifted.select(*keys, F.col(f"_s.{pos}").alias(pos), F.struct(F.col("_s._d").alias("d"), "_v").alias("_e"))
-                .groupBy(*keys, pos).agg(F.sort_array(F.collect_list("_e")).alias("_a"))
-                .select(*keys, pos, F.transform("_a", lambda e: e["_v"]).alias(out)))
-    return df.join(gathered, [*keys, pos])
+    if span < reach:
+        raise ValueError("span must not be shorter than reach")
+    home = F.floor(F.col(pos) / span).cast("long")
+    near = F.array(home, F.when(F.col(pos) % span < reach, home - 1), F.when(F.col(pos) % span >= span - reach, home + 1))
+    copies = df.withColumns({"_v": value, "_chunk": F.explode(F.filter(near, lambda c: c.isNotNull()))})
+    frame = Window.partitionBy(*keys, "_chunk").orderBy(pos).rowsBetween(-reach, reach)
+    return (copies.withColumn(out, F.collect_list("_v").over(frame)).filter(F.col("_chunk") == home)
+            .drop("_v", "_chunk"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 # A lookup table up to this many rows may be broadcast; beyond it the salted join is used.
 BROADCAST_ROWS = 200_000
@@ -18,7 +18,7 @@ def salted_join(facts: DataFrame, dim: DataFrame, on: list[str], how: str = "inn
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"salted_join cannot repeat the right side of a {how} join")
-    spread = [c for c in facts.columns if not isinstance(facts.schema[c].dataType, _unhashable())]
+    spread = [f.name for f in facts.schema.fields if not isinstance(f.dataType, T.MapType)]
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
     repeated = dim.withColumn("_salt", F.explode(F.array(*[F.lit(s).cast("long") for s in range(salts)])))
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
@@ -39,8 +39,3 @@ def fits(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """True when ``df`` has at most ``limit`` rows; stops counting after ``limit + 1``."""
     return df.limit(limit + 1).count() <= limit
 
-
-def _unhashable():
-    from pyspark.sql import types as T
-
-    return (T.MapType,)

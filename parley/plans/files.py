@@ -158,13 +158,15 @@ def evenly_spaced_frames(spark, folder):
 
 @query()
 def nod_classifier(spark, folder):
-    """Windows of head pose labelled by gesture share: trained on all, scored on all, votes per frame."""
+    """Windows of head pose, labelled by whether their gesture share is above the mean: trained and scored on all."""
     from ..session import cut_lineage
 
-    rows = cut_lineage(fr.pose_windows(spark, folder, "timestamp", "rx", "ry", "rz", "gesture"))
+    rows = cut_lineage(fr.pose_windows(spark, folder, "timestamp", "rx", "ry", "rz", "gesture", people=2))
     share = ft.window_success(rows, ["person"], "gesture")
     windows = ft.window_statistics(rows, ["person"], fr.AXES, "frame", "timestamp").join(share, ["person", "win"])
-    windows = cut_lineage(windows.withColumn("label", (F.col("success") > 0.35).cast("int")).drop("success"))
+    mean = share.groupBy(F.lit(0).alias("_one")).agg(F.avg("success").alias("_mean"))
+    windows = windows.withColumn("_one", F.lit(0)).join(F.broadcast(mean), "_one")  # one row
+    windows = cut_lineage(windows.withColumn("label", (F.col("success") > F.col("_mean")).cast("int")).drop("success", "_one", "_mean"))
     names = [f"{s}_{a}" for a in fr.AXES for s in ft.STATISTICS]
     model, used = classify.train_nods(windows, names)
     found = classify.predict_nods(model, windows, used)

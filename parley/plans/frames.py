@@ -29,18 +29,18 @@ win AS (SELECT k.*, w.win FROM kept k, unnest([k.pos // 16, k.pos // 16 - 1]) AS
   WHERE w.win >= 0 AND k.pos < w.win*16 + 32 AND w.win < (k.n - 32) // 16)"""
 
 
-def pose(spark, folder):
+def pose(spark, folder, people=10):
     e = v.table(spark, folder, "events")
     value, ident = F.col("value"), F.col("event_id")
     y = (F.floor(value * 7) % 480).cast("int")
-    return e.select((F.col("user_id") % 10).alias("person"), ident.alias("frame"), (ident * 333 / 1000).alias("timestamp"),
+    return e.select((F.col("user_id") % people).alias("person"), ident.alias("frame"), (ident * 333 / 1000).alias("timestamp"),
                     (ident % 10 / 10).alias("confidence"), value.alias("rx"), (value * value / 1000).alias("ry"),
                     F.log1p(value).alias("rz"), (F.floor(value) % 640).cast("int").alias("x"), y.alias("y"),
                     (y + 40 + ident % 7).alias("chin"), (value > 50).cast("int").alias("gesture"))
 
 
-def pose_windows(spark, folder, *columns):
-    kept = ft.confident(pose(spark, folder)).select("person", "frame", *columns)
+def pose_windows(spark, folder, *columns, people=10):
+    kept = ft.confident(pose(spark, folder, people)).select("person", "frame", *columns)
     return ft.sliding_windows(kept, P, ["frame"], FRAMES)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.times import hms, hour_clock, minute_clock
 from ..operators import intervals as iv
-from ..operators.skew import lookup_join, salted_join
+from ..operators.skew import lookup_join
 from ..operators.series import along, differs
 from . import views as v
 from .registry import query
@@ -123,19 +123,19 @@ def unknown_ends(spark, folder):
     return iv.with_unknown_ends(s, ["meeting"], bounds)
 
 
-@query(with_views(v.UTT, v.FRM) + """, chg AS (SELECT meeting, ord, speaker, end_ms AS change FROM utt),
-c AS (SELECT f.person, f.meeting, f.frame, (SELECT count(*) FROM chg WHERE chg.meeting = f.meeting
-  AND chg.change < f.frame*333 + 400) AS c FROM frm f),
-s AS (SELECT *, frame - max(greatest(frame - c, -1)) OVER (PARTITION BY person ORDER BY frame) AS s FROM c)
-SELECT s.person, s.frame, s.s AS ord, chg.speaker FROM s JOIN chg ON chg.meeting = s.meeting AND chg.ord = s.s""")
+@query(with_views(v.LAB) + """, n AS (SELECT person, label, row_number() OVER (PARTITION BY person ORDER BY t, event_id) - 1 AS i FROM lab),
+runs AS (SELECT person, any_value(label) AS speaker, max(i) AS last FROM (SELECT *, i - row_number() OVER (PARTITION BY person, label ORDER BY i) AS g FROM n)
+  GROUP BY person, label, g),
+chg AS (SELECT person, speaker, (last + 1) * 333 AS change, row_number() OVER (PARTITION BY person ORDER BY last) - 1 AS ord FROM runs),
+c AS (SELECT person, i, (SELECT count(*) FROM chg WHERE chg.person = n.person AND chg.change < n.i * 333 + 400) AS c FROM n),
+s AS (SELECT *, i - max(greatest(i - c, -1)) OVER (PARTITION BY person ORDER BY i) AS s FROM c)
+SELECT s.person, s.i AS frame, s.s AS ord, chg.speaker FROM s JOIN chg ON chg.person = s.person AND chg.ord = s.s""")
 def centre_labels(spark, folder):
-    changes = v.utt(spark, folder).select("meeting", "ord", "speaker", F.col("end_ms").alias("change"))
-    people = v.frm(spark, folder, "meeting").select("meeting", "person", "frame", (F.col("time_ms") + 400).alias("centre"))
-    crowd = v.table(spark, folder, "events").select((F.col("user_id") % 100).alias("meeting"),
-                                                    F.col("user_id").alias("person")).distinct()
-    per_person = salted_join(crowd, changes, ["meeting"])
-    labelled = iv.centre_labels(people, per_person, ["meeting", "person"], "frame", "centre")
-    return labelled.select("person", "frame", "ord", "speaker")
+    n = iv.numbered(v.lab(spark, folder), ["person"], ["t", "event_id"], DAY_US, "frame").select("person", "label", "frame")
+    runs = (along(n, ["person"], ["frame"], FRAMES, runs={"ord": (F.col("label"), differs)}).groupBy("person", "ord")
+            .agg(F.first("label").alias("speaker"), ((F.max("frame") + 1) * 333).alias("change")))
+    windows = n.select("person", "frame", (F.col("frame") * 333 + 400).alias("centre"))
+    return iv.centre_labels(windows, runs, ["person"], "frame", "centre").select("person", "frame", "ord", "speaker")
 
 
 @query(with_views(v.SEG) + """SELECT meeting, id, ord, end_ms - start_ms AS ms FROM (

@@ -62,7 +62,8 @@ def test_one_scan_per_layer(spark, tmp_path):
     assert plan.count("FileScan parquet") == 1
 
 
-def test_neighbours(spark):
-    df = spark.createDataFrame([(0, i) for i in range(5)], "k long, p long")
-    out = neighbours(df, ["k"], "p", 1, F.col("p"))
-    assert [r[2] for r in rows(out, "p")] == [[0, 1], [0, 1, 2], [1, 2, 3], [2, 3, 4], [3, 4]]
+@pytest.mark.parametrize("span", [1, 2, 100])
+def test_neighbours(spark, span):
+    df = spark.createDataFrame([(k, i) for k in (0, 1) for i in range(5)], "k long, p long")
+    out = neighbours(df, ["k"], "p", 1, F.col("p"), span=span)
+    assert [r[2] for r in rows(out.filter("k = 1"), "p")] == [[0, 1], [0, 1, 2], [1, 2, 3], [2, 3, 4], [3, 4]]
