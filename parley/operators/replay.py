@@ -161,8 +161,9 @@ def _running(df: DataFrame, keys: list[str], pos: str, value: str, used, span: i
     """Apply ``finish(counts so far as a matrix, rows)`` to blocks of rows; a histogram simply adds up over chunks."""
     rows, counts, group = _histogram_bins(df, keys, pos, value, used, span, bins, low, high)
     chunks = rows.select(*group).distinct()
-    # One row per chunk and bin; with chunks of ``span`` rows that is a small fraction of the rows.
-    grid = chunks.withColumn("_bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).join(counts, [*group, "_bin"], "left")
+    # One row per chunk and bin for keys of several chunks; with chunks of ``span`` rows a small fraction of the rows.
+    several = chunks.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).filter("_n > 1").drop("_n")
+    grid = several.withColumn("_bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).join(counts, [*group, "_bin"], "left")
     earlier = Window.partitionBy(*keys, "_bin").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     before = (grid.withColumn("_sum", F.sum("_c").over(earlier)).filter("_sum > 0").groupBy(*group)
               .agg(F.collect_list(F.struct(F.col("_bin").alias("b"), F.col("_sum").alias("c"))).alias("_before")))

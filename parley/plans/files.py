@@ -18,8 +18,8 @@ HMS = "printf('%02d:%02d:%02d', ({0} // 1000 % 86400) // 3600, ({0} // 1000 % 36
   {HMS.format("start_ms")} AS start_hms, {HMS.format("end_ms")} AS end_hms, text AS "Text", speaker AS "Speaker", start_ms, end_ms FROM utt""")
 def transcript_file(spark, folder):
     path = tb.scratch(spark, "transcript")
-    tb.write_csv(tb.transcript_table(v.utt(spark, folder, text=True)), path, by=["meeting"])
-    back = tb.read_csv(spark, path, tb.TRANSCRIPT + ", meeting BIGINT")
+    tb.write_csv(tb.transcript_table(v.utt(spark, folder, text=True)), path)
+    back = tb.read_csv(spark, path, "meeting BIGINT, " + tb.TRANSCRIPT, multi_line=True)
     return back.select("meeting", "Order", F.col("`Start time(HH:MM:SS)`").alias("start_hms"), F.col("`End time(HH:MM:SS)`").alias("end_hms"),
                        "Text", "Speaker", F.col("`Start time(ms)`").alias("start_ms"), F.col("`End time(ms)`").alias("end_ms"))
 
@@ -32,8 +32,8 @@ def silence_file(spark, folder):
     from .dashboards import _silence
 
     path = tb.scratch(spark, "silence")
-    tb.write_csv(tb.silence_table(_silence(spark, folder), 3_600_000), path, by=["meeting"])
-    back = tb.read_csv(spark, path, tb.SILENCE + ", meeting BIGINT")
+    tb.write_csv(tb.silence_table(_silence(spark, folder), 3_600_000), path)
+    back = tb.read_csv(spark, path, "meeting BIGINT, " + tb.SILENCE)
     return back.select("meeting", "Order", F.col("`Start time(HH:MM:SS)`").alias("start_hms"), "Speaker",
                        F.col("`Start time(ms)`").alias("start_ms"), F.col("`End time(ms)`").alias("end_ms"))
 
@@ -43,8 +43,8 @@ def person_series_file(spark, folder):
     path = tb.scratch(spark, "series")
     f = v.frm(spark, folder, "prediction", "mouth", "gesture")
     tb.write_csv(f.select("person", F.col("frame").alias("frame_number"), F.col("time_ms").alias("time(ms)"), "prediction",
-                          F.col("mouth").alias("mouse opening"), "gesture"), path, encoding="Shift_JIS", by=["person"])
-    schema = "frame_number BIGINT, `time(ms)` BIGINT, prediction STRING, `mouse opening` DOUBLE, gesture INT, person BIGINT"
+                          F.col("mouth").alias("mouse opening"), "gesture"), path, encoding="Shift_JIS")
+    schema = "person BIGINT, frame_number BIGINT, `time(ms)` BIGINT, prediction STRING, `mouse opening` DOUBLE, gesture INT"
     back = tb.read_csv(spark, path, schema, encoding="Shift_JIS")
     return back.select("person", "frame_number", F.col("`time(ms)`").alias("time_ms"), "prediction", F.col("`mouse opening`").alias("mouth"), "gesture")
 

@@ -36,12 +36,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/parley-{name}-{uuid.uuid4().hex}"
 
 
-def read_csv(spark: SparkSession, path, schema: str, encoding: str = "UTF-8", columns: list[str] | None = None) -> DataFrame:
-    """CSV with a header line; only the wanted columns are parsed."""
+def read_csv(spark: SparkSession, path, schema: str, encoding: str = "UTF-8", columns: list[str] | None = None,
+             multi_line: bool = False) -> DataFrame:
+    """CSV with a header line; only the wanted columns are parsed.
+
+    ``multi_line`` is for cells with line breaks, as transcript texts may have; such files cannot be split.
+    """
     if encoding.lower() not in PLAIN_CHARSETS:
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # Shift_JIS and other Java charsets
     # Quotes are doubled inside quoted cells, as the files are written.
-    df = (spark.read.schema(schema).option("header", True).option("encoding", encoding).option("multiLine", True)
+    df = (spark.read.schema(schema).option("header", True).option("encoding", encoding).option("multiLine", multi_line)
           .option("escape", '"').csv(path))
     return df.select(*[f"`{c}`" for c in columns]) if columns else df
 
@@ -82,10 +86,17 @@ def silence_table(silence: DataFrame, span: float, least_ms: int = 3000) -> Data
                        F.col("start_ms").alias("Start time(ms)"), F.col("end_ms").alias("End time(ms)"))
 
 
-def write_csv(df: DataFrame, path: str, encoding: str = "UTF-8", by: list[str] | None = None) -> None:
-    """CSV with a header, one folder per value of ``by``. Null and empty text stay apart only in Parquet."""
+def write_csv(df: DataFrame, path: str, encoding: str = "UTF-8", by: list[str] | None = None,
+              order: list[str] | None = None) -> None:
+    """CSV with a header. Null and empty text stay apart only in Parquet.
+
+    With ``by`` there is one folder per value. Rows are then ranged by (by, order) first, so a small key is one file
+    and a large one is split over several tasks.
+    """
     if encoding.lower() not in PLAIN_CHARSETS:
         df.sparkSession.conf.set("spark.sql.legacy.javaCharsets", "true")
+    if by:
+        df = df.repartitionByRange(*by, *(order or []))
     writer = df.write.option("header", True).option("encoding", encoding).option("escape", '"')
     (writer.partitionBy(*by) if by else writer).csv(path)
 
@@ -94,7 +105,7 @@ def write_split_text(df: DataFrame, path: str, columns: list[str], by: str) -> N
     """Blank-separated text without header: everything below ``all``, and once more per value of ``by``."""
     options = {"sep": " ", "header": False, "escape": '"'}
     df.select(*columns).write.options(**options).csv(f"{path}/all")
-    df.select(by, *columns).write.partitionBy(by).options(**options).csv(f"{path}/split")
+    df.select(by, *columns).repartitionByRange(by, *columns).write.partitionBy(by).options(**options).csv(f"{path}/split")
 
 
 def concat_parts(parts: list[DataFrame], order: str) -> DataFrame:

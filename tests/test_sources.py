@@ -26,6 +26,13 @@ def test_person_comes_from_the_file_name(spark, tmp_path):
     assert rows(out.select("person", "part", "frame_number", "prediction"), "person") == [(2, 0, 1, "喜び"), (3, 1, 3, "喜び"), (10, 0, 2, "喜び")]
 
 
+def test_one_folder_per_meeting(spark, tmp_path):
+    df = spark.createDataFrame([(m, i, f"t{m}{i}") for m in (0, 1) for i in range(3)], "meeting int, Order int, Text string")
+    tb.write_csv(df, str(tmp_path / "o"), by=["meeting"], order=["Order"])
+    assert sorted(p.name for p in (tmp_path / "o").iterdir() if p.is_dir()) == ["meeting=0", "meeting=1"]
+    assert rows(tb.read_csv(spark, str(tmp_path / "o"), "Order INT, Text STRING, meeting INT").select("meeting", "Order", "Text"), "meeting", "Order") == rows(df, "meeting", "Order")
+
+
 def test_printed_arrays_over_lines(spark, tmp_path):
     (tmp_path / "f.csv").write_text(',frame_number,location,is_detected,encoding\n0,3,[1 2 3 4],True,"[ 0.5 -1.\n 2e-1]"\n')
     assert rows(tb.read_faces(spark, str(tmp_path / "f.csv"))) == [(3, [1, 2, 3, 4], True, [0.5, -1.0, 0.2])]
