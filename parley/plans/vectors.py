@@ -206,8 +206,8 @@ DISTANCE = """dist AS (SELECT meeting, ord, len(answer) AS words, list_reduce(an
 
 @query(with_views(WORDS, DISTANCE) + "SELECT meeting, ord, words, distance, round(distance / words, 6) AS wer FROM dist")
 def word_error_rate(spark, folder):
-    p = _transcripts(spark, folder).withColumn("distance", sc.word_distance(F.col("answer"), F.col("heard")))
-    return p.select("meeting", "ord", F.size("answer").alias("words"), "distance",
+    p = _transcripts(spark, folder).withColumn("distance", sc.word_distance(F.col("answer"), F.col("heard")).cast("long"))
+    return p.select("meeting", "ord", F.size("answer").cast("long").alias("words"), "distance",
                     F.round(F.col("distance") / F.size("answer"), 6).alias("wer"))
 
 
