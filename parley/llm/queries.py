@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from . import audio, bpe, langid, mixing, toxicity, warc
+from . import audio, bpe, langid, mixing, nndescent, simhash, toxicity, warc
 from .common import remainder, remove_folder, shared_folder, table
 from ..session import cut_lineage
 
@@ -30,6 +30,13 @@ def op1_language(spark, folder) -> DataFrame:
     return found.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score", "distance", "rejected")
 
 
+@query()
+def op2_simhash(spark, folder) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = simhash.near_duplicates(docs)
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 @query()
 def op3_toxicity(spark, folder) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -66,6 +73,12 @@ def op6_bpe(spark, folder) -> DataFrame:
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query()
+def op7_nndescent(spark, folder) -> DataFrame:
+    found = nndescent.near_duplicates(table(spark, folder, "embeddings").select("vec_id", "embedding", "label"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept", "recall")
+
+
 @query(warc.SQL)
 def op8_warc(spark, folder) -> DataFrame:
     archive = shared_folder(spark)
