@@ -2,10 +2,11 @@
 
 Equal vectors of a label are one node. The graph starts from the leaves of random projections. In each round, a node's
 neighbours, forwards and backwards, meet in a local join: each learns which of the others are nearer than its worst
-neighbour so far. Nodes whose whole list is within the threshold get longer lists, so no cluster is cut by the length of
-a list; rounds go on until lists stop changing and none is saturated. Then the recall of links is measured: a stated set of
-query nodes is compared with all nodes of their label, in blocks. Below ``RECALL`` the search goes on with new
-projections and longer lists. Links are checked in double precision.
+neighbour so far, until lists stop changing. A list that is saturated, that is full of links, would lose further ones: each
+local join also returns a spanning forest of the links in it, and at the end the lists are enlarged to the whole group
+that neighbour edges within the threshold connect, compared block against block in double precision. Only the number
+of links and a forest of them leave the tasks. The recall of links is measured: a stated set of query nodes is compared
+with all nodes of their label, in blocks. Below ``RECALL`` the search goes on with new projections and longer lists.
 
 Only equal, non-null labels are compared, and only vectors of the same length. A vector that is null, empty, zero or
 has null or non-finite components links with nothing; it still has its row. Rows with the same id are rows of their own.
@@ -14,18 +15,17 @@ A component without any id has none. An empty table gives an empty one. Columns
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import cut_lineage
 from .common import bounded_batches
 from .graphs import components
+from .simhash import forest
 
 LIST = 8  # neighbours of a node at first
 LEAF = 256
 TREES = 6
-ROUNDS = 12  # at most, in one attempt
+ROUNDS = 6  # at most, in one attempt
 TILE = 64  # neighbours that meet in one local join
 ENOUGH = 0.002  # share of lists that change when the rounds end
 RECALL = 0.99
@@ -44,7 +44,7 @@ def prepared(rows: DataFrame, key: str, vector: str, label: str) -> DataFrame:
 
 
 def unit_rows(vectors: DataFrame) -> DataFrame:
-    """(node, space, unit): unit vectors in single precision as bytes; a space is a label and a length."""
+    """(node, space, unit, unit64): unit vectors in single and double precision as bytes; a space is a label and a length."""
     import numpy as np
     import pyarrow as pa
 
@@ -54,11 +54,12 @@ def unit_rows(vectors: DataFrame) -> DataFrame:
             for v in b.column(2).to_pylist():
                 x = np.array(v)
                 x = x / np.abs(x).max()
-                out.append((x / np.sqrt(x @ x)).astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["node", "space", "unit"])
+                out.append(x / np.sqrt(x @ x))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.astype("<f4").tobytes() for x in out], pa.binary()),
+                                              pa.array([x.astype("<f8").tobytes() for x in out], pa.binary())], names=["node", "space", "unit", "unit64"])
 
     space = F.concat_ws(" ", F.size("vec"), "label")
-    return vectors.select("node", space.alias("space"), "vec").mapInArrow(run, "node bigint, space string, unit binary")
+    return vectors.select("node", space.alias("space"), "vec").mapInArrow(run, "node bigint, space string, unit binary, unit64 binary")
 
 
 def dealt(units: DataFrame, depths: DataFrame, seed: int) -> DataFrame:
@@ -87,82 +88,87 @@ def parted(rows: DataFrame, place: str, most: int, seed: int) -> DataFrame:
     return rows.join(sizes, place).withColumn("part", F.pmod(F.xxhash64("node", F.lit(seed)), "_parts")).drop("_parts")
 
 
-def local_join(tiles: DataFrame) -> DataFrame:
-    """(u, v, sim) for the nodes of each tile: the nearest others that are nearer than the worst so far.
+def local_join(tiles: DataFrame, most: int, near: float) -> DataFrame:
+    """(u, v, sim, kind) for the nodes of each tile (place, part, node, unit, worst).
 
-    ``tiles`` has place, part, node, unit, worst (the least similarity that is of use) and most (how many).
+    kind 0   for each node the nearest others, at most ``most``, that are nearer than its worst neighbour so far
+    kind 1   a spanning forest of the pairs of at least ``near``, so that a list that is full loses no cluster
     """
     import numpy as np
     import pyarrow as pa
 
     def run(batches):
         for b in batches:
-            u, v, s = [], [], []
-            groups = b.column(0)
-            bounds = groups.offsets.to_numpy()
-            flat = groups.values
-            node, worst, most = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("node", "worst", "most"))
-            unit = flat.field("unit")
+            u, v, s, kind = [], [], [], []
+            bounds, flat = b.column(0).offsets.to_numpy(), b.column(0).values
+            node, worst = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("node", "worst"))
+            unit = flat.field("unit").to_pylist()
             for lo, hi in zip(bounds[:-1], bounds[1:]):
-                x = np.frombuffer(b"".join(unit[i].as_py() for i in range(lo, hi)), "<f4").reshape(hi - lo, -1)
+                x, mine = np.frombuffer(b"".join(unit[lo:hi]), "<f4").reshape(hi - lo, -1), node[lo:hi]
                 sim = x @ x.T
                 np.fill_diagonal(sim, -2)
-                k = min(int(most[lo:hi].max()), hi - lo - 1)
+                k = min(most, hi - lo - 1)
                 top = np.argpartition(-sim, k - 1, axis=1)[:, :k]
                 value = np.take_along_axis(sim, top, axis=1)
                 use = value > worst[lo:hi, None]
-                u.append(np.repeat(node[lo:hi], use.sum(axis=1)))
-                v.append(node[lo:hi][top][use])
+                u.append(np.repeat(mine, use.sum(axis=1)))
+                v.append(mine[top][use])
                 s.append(value[use])
+                kind.append(np.zeros(len(u[-1]), np.int32))
+                i, j = np.nonzero(np.triu(sim >= near))
+                if len(i):
+                    i, j = forest(i, j)
+                    u.append(mine[i])
+                    v.append(mine[j])
+                    s.append(sim[i, j])
+                    kind.append(np.ones(len(i), np.int32))
             if u:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v)), pa.array(np.concatenate(s).astype(np.float64))], names=["u", "v", "sim"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v)), pa.array(np.concatenate(s).astype(np.float64)),
+                                                  pa.array(np.concatenate(kind))], names=["u", "v", "sim", "kind"])
 
-    one = F.collect_list(F.struct("node", "unit", "worst", "most")).alias("members")
+    one = F.collect_list(F.struct("node", "unit", "worst")).alias("members")
     grouped = tiles.groupBy("place", "part").agg(one).filter(F.size("members") > 1).select("members")
-    return grouped.mapInArrow(run, "u bigint, v bigint, sim double")
+    return grouped.mapInArrow(run, "u bigint, v bigint, sim double, kind int")
 
 
-def merged(graph: DataFrame | None, found: DataFrame, lists: DataFrame, threshold: float) -> DataFrame:
-    """The best of the old and the new neighbours: u, v, sim, most, new; as many per node as its list holds."""
-    new = found.withColumn("new", F.lit(1))
-    both = new if graph is None else graph.select("u", "v", "sim", F.lit(0).alias("new")).unionByName(new)
-    each = both.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.min("new").alias("new")).join(lists, "u")
+def merged(graph: DataFrame | None, found: DataFrame, most: int) -> DataFrame:
+    """(u, v, sim, kind, new): the best ``most`` of the old and new neighbours of each node, and all of kind 1."""
+    both = found.withColumn("new", F.lit(1))
+    if graph is not None:
+        both = graph.withColumn("new", F.lit(0)).unionByName(both)
+    each = both.groupBy("u", "v", "kind").agg(F.max("sim").alias("sim"), F.min("new").alias("new"))
+    lists = each.filter("kind = 0")
     number = F.row_number().over(Window.partitionBy("u").orderBy(F.col("sim").desc(), "v"))
-    return each.withColumn("_n", number).filter(F.col("_n") <= F.col("most")).drop("_n")
+    return lists.withColumn("_n", number).filter(F.col("_n") <= most).drop("_n").unionByName(each.filter("kind = 1"))
 
 
-def descended(units: DataFrame, threshold: float, graph: DataFrame | None, seed: int, length: int) -> DataFrame:
-    """The neighbour graph (u, v, sim, most, new) after one attempt."""
+def descended(units: DataFrame, near: float, graph: DataFrame | None, seed: int, most: int) -> DataFrame:
+    """The neighbour graph (u, v, sim, kind, new) after one attempt."""
     sizes = units.groupBy("space").agg(F.count(F.lit(1)).alias("n"))
     depths = sizes.select("space", F.greatest(F.lit(1), F.ceil(F.log2(F.col("n") / (LEAF / 2)))).cast("int").alias("depth"))
-    lists = cut_lineage(units.select(F.col("node").alias("u"), F.lit(length).alias("most")))
-    if graph is not None:
-        held = graph.groupBy("u").agg(F.max("most").alias("_held"))
-        lists = cut_lineage(lists.join(held, "u", "left").select("u", F.greatest(F.col("most"), F.col("_held")).alias("most")))
-    first = None
-    for t in range(TREES):
-        tiles = dealt(units, depths, seed * 1000 + t).withColumns({"worst": F.lit(-2.0), "most": F.lit(length)})
-        one = local_join(tiles)
-        first = one if first is None else first.unionByName(one)
-    graph = cut_lineage(merged(graph, first, lists, threshold))
+    trees = [dealt(units, depths, seed * 1000 + t).withColumn("place", F.concat(F.lit(f"{t} "), "place")) for t in range(TREES)]
+    tiles = trees[0]
+    for t in trees[1:]:
+        tiles = tiles.unionByName(t)
+    graph = cut_lineage(merged(graph, local_join(tiles.withColumn("worst", F.lit(-2.0)), most, near), most))
     total = max(1, units.count())
     for r in range(ROUNDS):
-        stats = graph.groupBy("u").agg(F.max("new").alias("new"), F.count(F.lit(1)).alias("n"), F.max("most").alias("most"), F.min("sim").alias("worst"))
-        full = (F.col("n") >= F.col("most")) & (F.col("worst") >= threshold)
-        changed, saturated = stats.agg(F.sum("new"), F.sum(full.cast("int"))).first()
-        if not saturated and (changed or 0) <= ENOUGH * total:
+        lists = graph.filter("kind = 0")
+        changed = lists.filter("new = 1").select("u").distinct().count()
+        if changed <= ENOUGH * total:
             break
-        lists = cut_lineage(lists.join(stats.select("u", full.alias("_full")), "u", "left")
-                            .select("u", F.when(F.col("_full"), F.col("most") * 4).otherwise(F.col("most")).alias("most")))
-        # a node takes part where it or its list is new, so that finished regions rest
-        known = units.select(F.col("node").alias("u"), "unit").join(lists, "u").join(stats.select("u", F.when(F.col("n") >= F.col("most"), F.col("worst")).alias("worst"), full.alias("_full")), "u", "left")
-        known = known.select(F.col("u").alias("node"), "unit", "most", F.when(F.col("_full"), F.lit(-2.0)).otherwise(F.coalesce("worst", F.lit(-2.0))).alias("worst"))
-        live = graph.join(stats.filter((F.col("new") == 1) | full).select("u"), "u", "left_semi").select("u", "v")
-        pairs = live.unionByName(live.select(F.col("v").alias("u"), F.col("u").alias("v"))).unionByName(graph.select("u", F.col("u").alias("v")))
-        busy = pairs.filter("u <> v").select("u").distinct()
-        members = pairs.distinct().join(busy, "u", "left_semi").select(F.col("u").alias("place"), F.col("v").alias("node"))
-        tiles = parted(members, "place", TILE, seed * 1000 + 100 + r).join(known, "node")
-        graph = cut_lineage(merged(graph, local_join(tiles), lists, threshold))
+        worst = lists.groupBy("u").agg(F.min("sim").alias("sim"), F.count(F.lit(1)).alias("n"))
+        known = units.select("node", "unit").join(worst.withColumnRenamed("u", "node"), "node", "left")
+        known = known.select("node", "unit", F.when(F.col("n") >= most, F.col("sim")).otherwise(F.lit(-2.0)).alias("worst"))
+        back = lists.select(F.col("u").alias("place"), F.col("v").alias("node"), "new")
+        both = back.unionByName(lists.select(F.col("v").alias("place"), F.col("u").alias("node"), "new"))
+        both = both.groupBy("place", "node").agg(F.max("new").alias("new"))
+        busy = both.groupBy("place").agg(F.max("new").alias("any"), F.ceil(F.count(F.lit(1)) / TILE).alias("_parts")).filter("any = 1")
+        members = both.join(busy.select("place", "_parts"), "place")
+        members = members.select("place", "node", F.pmod(F.xxhash64("node", F.lit(seed * 1000 + r)), "_parts").alias("part"))
+        centre = busy.select("place", F.col("place").alias("node"), F.lit(0).cast("long").alias("part"))
+        tiles = members.unionByName(centre).join(known, "node")
+        graph = cut_lineage(merged(graph, local_join(tiles, most, near), most))
     return graph
 
 
@@ -191,21 +197,65 @@ def audit(units: DataFrame, threshold: float) -> DataFrame:
     return pairs.mapInArrow(compare, "u bigint, v bigint")
 
 
-def linked(units: DataFrame, threshold: float) -> tuple[DataFrame, float]:
-    """Pairs (u, v), u < v, within the threshold in single precision, and the measured recall of the search."""
+def grouped(units: DataFrame, threshold: float) -> tuple[DataFrame, float]:
+    """(node, place): groups of nodes that hold all links found, and the measured recall of links.
+
+    A group is a component of the neighbour graph's edges within the threshold, in single precision.
+    """
     near = threshold - 1e-5
-    graph, length, truth = None, LIST, cut_lineage(audit(units, threshold))
-    expected = truth.count()
+    graph, most, truth = None, LIST, cut_lineage(audit(units, threshold))
+    total = truth.count()
     for attempt in range(ATTEMPTS):
-        graph = descended(units, near, graph, attempt + 1, length)
-        pairs = graph.filter(F.col("sim") >= near).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        want = truth.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        total = want.count() if expected else 0
-        recall = want.join(pairs, ["u", "v"], "left_semi").count() / total if total else 1.0
+        graph = descended(units, near, graph, attempt + 1, most)
+        edges = graph.filter(F.col("sim") >= near).select(F.col("u").alias("a"), F.col("v").alias("b"))
+        places = cut_lineage(components(edges).select("node", F.col("component").alias("place")))
+        one = truth.join(places.withColumnsRenamed({"node": "u", "place": "_p"}), "u").join(places.withColumnRenamed("node", "v"), "v")
+        recall = one.filter(F.col("_p") == F.col("place")).count() / total if total else 1.0
         if recall >= RECALL:
             break
-        length *= 4
-    return pairs.unionByName(want).distinct(), recall
+        most *= 4
+    return places, recall
+
+
+def compared(members: DataFrame, threshold: float) -> DataFrame:
+    """(u, v, n): exact links inside each place, for rows (node, place, unit64, copies), block against block.
+
+    Rows without v hold how many vectors node u is linked to in a pair of blocks; the others are a spanning forest of links.
+    Lists of saturated nodes are thus as long as their group, without a list of all pairs.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            u, v, n = [], [], []
+            for i in range(b.num_rows):
+                p, q = (b.column(c)[i].values for c in (1, 3))
+                same = b.column(0)[i].as_py() == b.column(2)[i].as_py()
+                x, y = (np.frombuffer(b"".join(z.field("unit64").to_pylist()), "<f8").reshape(len(z), -1) for z in (p, q))
+                left, right = (z.field("node").to_numpy() for z in (p, q))
+                near = x @ y.T >= threshold
+                if same:
+                    np.fill_diagonal(near, False)
+                for nodes, sums in ((left, near @ q.field("copies").to_numpy()), (right, p.field("copies").to_numpy() @ near))[:1 if same else 2]:
+                    u.append(nodes[sums > 0])
+                    n.append(sums[sums > 0])
+                    v.append(np.full(len(u[-1]), -1))
+                j, k = np.nonzero(near)
+                if len(j):
+                    a, c = forest(left[j], right[k])
+                    u.append(a)
+                    v.append(c)
+                    n.append(np.zeros(len(a), np.int64))
+            if u:
+                u, v, n = (np.concatenate(z).astype(np.int64) for z in (u, v, n))
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v, mask=v < 0), pa.array(n)], names=["u", "v", "n"])
+
+    packed = (parted(members, "place", BLOCK // 2, 5).groupBy("place", "part")
+              .agg(F.collect_list(F.struct("node", "unit64", "copies")).alias("rows")))
+    other = packed.select("place", F.col("part").alias("part2"), F.col("rows").alias("rows2"))
+    pairs = packed.join(other, "place").filter("part <= part2").select("part", "rows", "part2", "rows2")
+    return pairs.mapInArrow(run, "u bigint, v bigint, n bigint")
 
 
 def near_duplicates(rows: DataFrame, threshold: float = 0.98, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
@@ -216,16 +266,12 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.98, key: str = "vec_id
     classes = usable.groupBy("label", "vec").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("first"))
     classes = cut_lineage(classes)
     units = cut_lineage(unit_rows(classes))
-    pairs, recall = linked(units, threshold)
-    vec = classes.select("node", "vec")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    both = pairs.join(vec.withColumnsRenamed({"node": "u", "vec": "_a"}), "u").join(vec.withColumnsRenamed({"node": "v", "vec": "_b"}), "v")
-    cosine = dot("_a", "_b") / (F.sqrt(dot("_a", "_a")) * F.sqrt(dot("_b", "_b")))
-    links = cut_lineage(both.filter(cosine >= threshold).select("u", "v"))
-    counts = classes.select("node", "copies")
-    out = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    sums = out.join(counts.withColumnsRenamed({"node": "v"}), "v").groupBy(F.col("u").alias("node")).agg(F.sum("copies").alias("others"))
-    groups = components(links.withColumnsRenamed({"u": "a", "v": "b"}))
+    bounded = None
+    places, recall = grouped(units, threshold)
+    members = places.join(units.select("node", "unit64"), "node").join(classes.select("node", "copies"), "node")
+    found = cut_lineage(compared(members, threshold))
+    sums = found.filter("v IS NULL").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("others"))
+    groups = components(found.filter("v IS NOT NULL").select(F.col("u").alias("a"), F.col("v").alias("b")))
     known = classes.join(sums, "node", "left").join(groups.withColumnRenamed("component", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
     known = known.join(known.groupBy("group").agg(F.min("first").alias("component")), "group")
     known = known.select("label", "vec", "component", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
