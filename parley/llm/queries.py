@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from . import audio, bpe, langid, mixing, nndescent, simhash, toxicity, warc
+from . import audio, bpe, langid, mixing, nndescent, simhash, suffixes, toxicity, warc
 from .common import remainder, remove_folder, shared_folder, table
 from ..session import cut_lineage
 
@@ -95,3 +95,10 @@ def op8_warc(spark, folder) -> DataFrame:
     out = cut_lineage(out)
     remove_folder(spark, archive)
     return out
+
+
+@query()
+def op10_suffixes(spark, folder) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = suffixes.without_repeats(docs)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
