@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from . import audio, bpe, langid, mixing, nndescent, simhash, suffixes, toxicity, warc
+from . import audio, bpe, langid, mixing, nndescent, scoring, simhash, suffixes, toxicity, warc
 from .common import remainder, remove_folder, shared_folder, table
 from ..session import cut_lineage
 
@@ -97,6 +97,11 @@ def op8_warc(spark, folder) -> DataFrame:
     return out
 
 
+@query()
+def op9_mixing_scores(spark, folder) -> DataFrame:
+    return scoring.scored(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query()
 def op10_suffixes(spark, folder) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
