@@ -23,7 +23,7 @@ PASSES = 3  # a document is taken at most this often
 WEIGHTS = (1, 2, 3)
 #: Weight of a source at equally spaced moments of the training, by its base weight: light sources first, heavy ones last.
 SCHEDULES = {1: (1.5, 1.0, 0.5), 2: (1.0, 1.0, 1.0), 3: (0.5, 1.0, 1.5)}
-ROWS = 1 << 16  # of a source that one window sorts
+ROWS = 1 << 12  # of a source that one window sorts
 
 
 def word_count(text: Column) -> Column:
