@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import cut_lineage
 from .common import bounded_batches, free_name, utf8
 
-CHUNK_BYTES = 4 << 20
-HELD_BYTES = 24 << 20  # of texts that a task packs at a time
+CHUNK_BYTES = 2 << 20
+HELD_BYTES = 16 << 20  # of texts that a task packs at a time
 
 
 def squeeze(arrays: dict) -> bytes:
@@ -164,7 +164,7 @@ def ask(packs: DataFrame, n: int, number: int, question, answer, heard: DataFram
     import numpy as np
     import pyarrow as pa
 
-    width = max(1, n // 2)
+    width = max(1, n // 4)
 
     def put(table, replies):
         if not table.num_rows:

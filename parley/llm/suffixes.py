@@ -28,6 +28,7 @@ from .common import ddl, free_name
 from .rounds import ask, chunks, finish
 
 LENGTH = 50
+SLICE = 1 << 18  # places whose names are held at a time
 LAST = (1 << 63) - 1  # the place of a null id
 
 
@@ -99,6 +100,19 @@ def sliding(x, width: int, best):
     return x
 
 
+def inner(starts, ends, lo: int, hi: int):
+    """Which of the places [lo, hi) lie in one of the sorted ranges [starts, ends) that do not overlap."""
+    import numpy as np
+
+    use = ends > starts
+    starts, ends = starts[use], ends[use]
+    a, b = np.searchsorted(ends, lo, side="right"), np.searchsorted(starts, hi)
+    turn = np.zeros(hi - lo + 1, np.int8)
+    np.add.at(turn, np.clip(starts[a:b] - lo, 0, hi - lo), 1)
+    np.add.at(turn, np.clip(ends[a:b] - lo, 0, hi - lo), -1)
+    return np.cumsum(turn[:-1], dtype=np.int8) > 0
+
+
 def seeds(texts: list[bytes], length: int):
     """Positions of the seeds in the joined texts: each least name of any window that lies in one text."""
     import numpy as np
@@ -106,16 +120,18 @@ def seeds(texts: list[bytes], length: int):
     k = seed_length(length)
     width = length - k + 1
     data = np.frombuffer(b"".join(texts), np.uint8)
-    sizes = np.array([len(t) for t in texts], np.int64)
-    if not len(data) or sizes.max() < length:
-        return np.zeros(0, np.uint32)
-    n = len(data)
-    name = names_everywhere(data, k) | np.uint64(1)
-    least = sliding(np.concatenate([name, np.full(width - 1, ~np.uint64(0))]), width, np.minimum)
-    ends = np.repeat(np.cumsum(sizes), sizes)
-    least[np.arange(n) + length > ends] = 0  # the window would leave the text
-    most = sliding(np.concatenate([np.zeros(width - 1, np.uint64), least]), width, np.maximum)
-    return np.flatnonzero(most == name).astype(np.uint32)
+    bounds = np.cumsum([0, *map(len, texts)])
+    n, out = len(data), []
+    for s in range(0, n, SLICE):
+        e = min(n, s + SLICE)
+        lo = max(0, s - width + 1)  # windows that start here may hold a place of the slice
+        hi = min(n, e + width - 1)
+        name = names_everywhere(data[lo:min(n, hi + k)], k)[:hi - lo] | np.uint64(1)
+        least = sliding(np.concatenate([name, np.full(e - lo + width - 1 - len(name), ~np.uint64(0))]), width, np.minimum)
+        least[~inner(bounds[:-1], bounds[1:] - length + 1, lo, e)] = 0  # the window would leave its text
+        most = sliding(np.concatenate([np.zeros(width - 1 - (s - lo), np.uint64), least]), width, np.maximum)
+        out.append(np.flatnonzero(most == name[s - lo:e - lo]) + s)
+    return np.concatenate(out).astype(np.uint32) if out else np.zeros(0, np.uint32)
 
 
 def steps(positions):
@@ -204,7 +220,7 @@ class State:
     def covered(self):
         import numpy as np
 
-        return np.cumsum(self.cover[:-1]) > 0
+        return np.cumsum(self.cover[:-1], dtype=np.int32) > 0
 
     def ask_open(self):
         import numpy as np
@@ -215,13 +231,15 @@ class State:
         wanted = np.zeros(len(found), np.uint8)
         if n and self.before.any():
             # window i has the seeds in [i, i + width): the least of them must occur before, and a byte must be uncovered
-            count = lambda flags: np.concatenate([[0], np.cumsum(flags)])
-            good = count(np.bincount(self.at[self.before], minlength=n + self.width)[:n + self.width])
-            covered = count(self.covered())
-            i = np.arange(n)
-            inside = i + self.length <= np.repeat(self.starts[1:], self.size)
-            end = np.minimum(i + self.length, n)
-            w = np.flatnonzero(inside & (good[i + self.width] > good[i]) & (covered[end] - covered[i] < self.length))
+            mark = np.zeros(n + self.width, np.int8)
+            mark[self.at[self.before]] = 1
+            good = np.concatenate([[0], np.cumsum(mark, dtype=np.int32)])
+            use = good[self.width:n + self.width] > good[:n]
+            use &= inner(self.starts[:-1], self.starts[1:] - self.length + 1, 0, n)
+            good = np.concatenate([[0], np.cumsum(self.covered(), dtype=np.int32)])
+            use[:max(0, n - self.length + 1)] &= good[self.length:] - good[:max(0, n - self.length + 1)] < self.length
+            w = np.flatnonzero(use)
+            del use, good, mark
             if len(w):
                 rank = np.empty(len(self.at), np.int64)
                 order = np.lexsort((self.at, self.name))
@@ -367,7 +385,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id",
     def result(chunk, told):
         state = known(chunk, told, length, len(rounds))
         gone = state.covered()
-        total = np.concatenate([[0], np.cumsum(gone)])
+        total = np.concatenate([[0], np.cumsum(gone, dtype=np.int32)])
         starts = chunk.starts
         removed = total[starts[1:]] - total[starts[:-1]]
         edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
