@@ -59,7 +59,7 @@ def expand(data: bytes) -> dict:
 def chunks(docs: DataFrame, prepare=None, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, int]:
     """(chunk, seq, data, extra), persisted, and the number of chunks: packs of whole rows, in no task more than a few chunks.
 
-    data     an Arrow stream, compressed, of all columns of ``docs`` and ``_bytes``, the text in UTF-8
+    data     an Arrow stream, compressed, of all columns of ``docs``, the text as its bytes in UTF-8
     extra    what ``prepare`` makes of the texts (a list of bytes): arrays, compressed
     A pack's seq is unique and follows from the scan alone.
     """
@@ -84,8 +84,6 @@ def chunks(docs: DataFrame, prepare=None, key: str = "doc_id", text: str = "text
             texts = [utf8(t) for t in part.column(text).to_pylist()]
             sink = pa.BufferOutputStream()
             part = part.set_column(part.schema.get_field_index(text), text, pa.array(texts, pa.large_binary()))
-            nulls = table.column(text).slice(a, b - a).is_null()
-            part = part.append_column("_null", nulls)
             with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
                 writer.write_table(part)
             yield int(place[order[a]]), sink.getvalue().to_pybytes(), squeeze(prepare(texts)) if prepare else b""

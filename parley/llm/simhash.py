@@ -261,7 +261,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, key: str =
 def representatives(docs: DataFrame, words: int = 5, radius: int = 14, similarity: float = 0.75) -> DataFrame:
     """The documents without all but one of each group of near-duplicates: the one of the smallest id, nulls last, stays.
 
-    Rows are told apart by their place in the table, so rows with equal or null ids are documents of their own. The
+    Rows are told apart by their place in the table, so rows with equal or null ids are documents of their own; ``docs`` must
+    be a stored table, which reads the same twice. The
     similarity is what sketches of texts of at least 0.8 show but for an error of their size.
     """
     row, name = F.monotonically_increasing_id(), free_name(docs, "_row")

@@ -44,7 +44,10 @@ def record(kind: Column | str, rid: Column, block: Column, *headers: tuple[str,
 
 
 def write(pages: DataFrame, folder: str) -> None:
-    """Write the archives of ``pages`` (page_id, url, html) to ``folder``."""
+    """Write the archives of ``pages`` (page_id, url, html) to ``folder``.
+
+    Rows are told apart by their place in the table, so ``pages`` must be a stored table, which reads the same twice.
+    """
     pages = pages.select("page_id", F.regexp_replace("url", r"\s", "").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     pages = pages.withColumns({"row": F.monotonically_increasing_id(), "digest": F.sha1(F.col("html").cast("binary")), "size": F.octet_length("html")})
     known = pages.filter(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(
