@@ -22,7 +22,8 @@ from .common import blocks, bounded_batches, ddl, free_name
 
 LEAF_CHARS = 1 << 16
 LEAF_BYTES = 32
-KEPT = 1 << 18  # pieces whose tokens a worker remembers
+KEPT = 1 << 18  # pieces whose tokens a worker remembers, in either of two generations
+NEVER = 1 << 62
 
 
 class Encoder:
@@ -37,20 +38,24 @@ class Encoder:
         self.find = regex.compile(pattern).findall
         self.safe = regex.compile(r"(?<=\S)(?=\s)")
         self.seen: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def merged(self, data: bytes) -> list[int]:
         """The tokens of a short run of bytes: the neighbours of lowest rank are merged, leftmost first."""
         ranks = self.ranks
         parts = [data[i:i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = ranks.get(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
+        pairs = [ranks.get(data[i:i + 2], NEVER) for i in range(len(data) - 1)]
+        while pairs:
+            best = min(pairs)
+            if best == NEVER:
                 break
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            i = pairs.index(best)
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], NEVER)
+            if i < len(pairs):
+                pairs[i] = ranks.get(parts[i] + parts[i + 1], NEVER)
         return [ranks[p] for p in parts]
 
     def piece(self, data: bytes) -> list[int]:
@@ -88,10 +93,13 @@ class Encoder:
         for p in self.find(text):
             t = seen.get(p)
             if t is None:
-                t = tuple(self.piece(p.encode("utf-8", "surrogatepass")))
+                t = self.older.get(p)
+                if t is None:
+                    t = tuple(self.piece(p.encode("utf-8", "surrogatepass")))
                 if len(p) <= LEAF_BYTES:
                     if len(seen) >= KEPT:
-                        seen.clear()
+                        self.older, self.seen = seen, {}
+                        seen = self.seen
                     seen[p] = t
             out += t
         return out
