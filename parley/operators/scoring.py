@@ -63,7 +63,7 @@ def sequence_match(df: DataFrame, keys: list[str], label1: str, label2: str) ->
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf[[label1, label2]].isna().any().any():
-            raise ValueError("the sequences must have the same non-zero length")
+            raise ValueError("every row needs a label of either sequence")
         matrix = pdf.pivot_table(index=label1, columns=label2, values="_n", fill_value=0, aggfunc="sum").to_numpy(dtype=float)
         return pdf[keys].head(1).assign(accuracy=best_assignment(matrix) / matrix.sum(), length=int(matrix.sum()))
 
@@ -173,11 +173,13 @@ def transcript_errors(df: DataFrame, answer: str, heard: str) -> DataFrame:
 def word_distance(answer, heard):
     """Word-level edit distance without Python: each distinct word becomes one character for ``levenshtein``.
 
-    Good for up to about 50,000 distinct words in a pair; characters start above the ASCII range.
+    Good for a million distinct words in a pair: characters start above the ASCII range and leave out the surrogates.
     """
     lower = lambda words: F.transform(words, lambda w: F.lower(w))
+    place = lambda known, w: F.array_position(known, w) + F.lit(0x100)
+    point = lambda p: F.when(p < 0xD800, p).otherwise(p + 0x800)
     code = lambda words, known: F.array_join(F.transform(words, lambda w: F.decode(
-        F.unhex(F.lpad(F.hex(F.array_position(known, w) + F.lit(0x100)), 4, "0")), "UTF-16BE")), "")
+        F.unhex(F.lpad(F.hex(point(place(known, w))), 8, "0")), "UTF-32")), "")
     both = lambda a, b: bind(F.array_distinct(F.concat(a, b)), lambda k: F.levenshtein(code(a, k), code(b, k)))
     return bind(lower(answer), lambda a: bind(lower(heard), lambda b: both(a, b)))
 

@@ -28,6 +28,8 @@ def speaker_turns(utterances: DataFrame, span: float) -> DataFrame:
 def speaker_summary(utterances: DataFrame, nods: DataFrame, silence: DataFrame, speakers: int, span: float) -> DataFrame:
     """One row per meeting and speaker 0..n-1, zero-filled; density and occupancy are NULL where undefined.
 
+    Occupancy is the share of the speech of these speakers; others, such as unknown ones, do not count.
+
     ``nods`` holds (meeting, speaker, nods), ``silence`` holds (meeting, speaker, start_ms, end_ms).
     """
     on = ["meeting", "speaker"]
@@ -48,7 +50,7 @@ def speaker_summary(utterances: DataFrame, nods: DataFrame, silence: DataFrame,
         stacked = stacked.unionByName(part, allowMissingColumns=True)
     added = stacked.groupBy(*on).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in
                                        ("utterances", "speech_ms", "nods", "silence_ms", "seat")])
-    whole = F.sum("speech_ms").over(Window.partitionBy("meeting"))
+    whole = F.sum(F.when(F.col("seat") == 1, F.col("speech_ms"))).over(Window.partitionBy("meeting"))
     seconds = F.col("speech_ms") / 1000
     return added.withColumn("_whole", whole).filter("seat = 1").select(
         *on, "utterances", seconds.alias("speech_s"), F.try_divide(seconds, F.col("utterances")).alias("density_s"),

@@ -129,9 +129,7 @@ BOX = """box AS (SELECT person, frame, t AS top, l + s AS right, t + s AS bottom
 
 
 def documents(spark, folder) -> DataFrame:
-    """Documents, spread over all cores where the table is one small file that a single task would read."""
-    d = table(spark, folder, "documents")
-    return d.repartition(spark.sparkContext.defaultParallelism) if len(d.inputFiles()) == 1 else d
+    return table(spark, folder, "documents")
 
 
 def sentences(spark, folder) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -120,7 +119,7 @@ def concat_parts(parts: list[DataFrame], order: str) -> DataFrame:
 def read_faces(spark: SparkSession, path) -> DataFrame:
     """Face observations whose box and vector are printed as ``[1 2 3]``, over several lines where long."""
     raw = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-           .schema("`_index` INT, frame_number BIGINT, location STRING, is_detected STRING, encoding STRING").csv(path))
+           .schema("`_index` BIGINT, frame_number BIGINT, location STRING, is_detected STRING, encoding STRING").csv(path))
     return raw.select("frame_number", texts.float_list(F.col("location")).cast("array<int>").alias("location"),
                       (F.lower("is_detected") == "true").alias("is_detected"), texts.float_list(F.col("encoding")).alias("encoding"))
 
@@ -128,7 +127,7 @@ def read_faces(spark: SparkSession, path) -> DataFrame:
 def write_faces(df: DataFrame, path: str) -> None:
     """Face observations in the printed layout ``read_faces`` takes."""
     shown = lambda c: F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: x.cast("string")), " "), F.lit("]"))
-    df.select(F.monotonically_increasing_id().cast("int").alias("_index") if "_index" not in df.columns else "_index",
+    df.select(F.monotonically_increasing_id().alias("_index") if "_index" not in df.columns else "_index",
               "frame_number", shown("location").alias("location"), "is_detected",
               shown("encoding").alias("encoding")).write.option("header", True).option("escape", '"').csv(path)
 
@@ -167,19 +166,6 @@ def write_run_parameters(people: DataFrame, path: str) -> None:
     runs.write.json(path)
 
 
-def read_config(path: str, version: int = 1) -> dict:
-    """Run switches from a small JSON file; an older version or a missing file gives the defaults."""
-    # The switches of a run and their defaults.
-    defaults = {"CONFIG_VERSION": 1, "RUN_CAPTURE_FACE": True, "RUN_EMOTION_RECOGNITION": True, "RUN_TRANSCRIPT": True,
-                "RUN_OVERLAY": True, "NUM_GPU": 1, "TF_LOG_LEVEL": 2, "DEBUG": False}
-    try:
-        with open(path, encoding="utf-8") as f:
-            found = json.load(f)
-    except FileNotFoundError:
-        return defaults
-    return found if found.get("CONFIG_VERSION", -1) >= version else defaults
-
-
 def read_lines(spark: SparkSession, path, skip: str = "見出し", sep: str = ",") -> DataFrame:
     """Token lines as word lists; heading lines and lines of one word are left out."""
     lines = spark.read.text(path).filter(~F.col("value").contains(skip))
@@ -199,16 +185,18 @@ def read_vectors(spark: SparkSession, path) -> DataFrame:
     return spark.read.text(path).select(F.split("value", "\t").cast("array<double>").alias("vector"))
 
 
-def speaker_files(spark: SparkSession, folder: str, most: int = 102) -> DataFrame:
-    """Files of the first ``most`` speaker folders with the speaker's place in the sorted folder names.
+def speaker_files(spark: SparkSession, folder: str, most: int | None = None) -> DataFrame:
+    """Files of all speaker folders, or of the first ``most``, with the speaker's place in the sorted folder names.
 
     Lists names only: the content column is never read.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
     named = files.withColumn("folder", F.regexp_extract("path", r"([^/]+)/audio/[^/]+$", 1)).filter("folder <> ''")
-    folders = named.select("folder").distinct().orderBy("folder").limit(most)
+    folders = named.select("folder").distinct()
+    if most is not None:
+        folders = folders.orderBy("folder").limit(most)
     ranked = along(folders.withColumn("_key", F.ascii("folder")), [], ["_key", "folder"], 1, rank="speaker").drop("_key")
-    return named.join(F.broadcast(ranked), "folder")  # at most ``most`` rows
+    return named.join(ranked, "folder")
 
 
 def read_labelled_list(spark: SparkSession, path, root: str = "", tail: int | None = None) -> DataFrame:

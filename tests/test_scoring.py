@@ -20,7 +20,7 @@ def test_sequence_match(spark, a, b, want):
 
 
 def test_sequences_of_unequal_length_are_an_error(spark):
-    with pytest.raises(Exception, match="same non-zero length"):
+    with pytest.raises(Exception, match="label of either sequence"):
         matched(spark, [1, 2, 3], [1, 2])
 
 
@@ -119,3 +119,9 @@ def test_classification_report(spark):
     df = spark.createDataFrame([(1, 1), (1, 0), (0, 0), (0, 0)], "y int, p int")
     r = sc.classification_report(df, "y", "p").first()
     assert (r.tp, r.fp, r.fn, r.tn, r.accuracy, r.precision, r.recall) == (1, 0, 1, 2, 0.75, 1.0, 0.5)
+
+
+def test_characters_of_the_word_distance_beyond_the_surrogates(spark):
+    text = lambda *points: F.decode(F.unhex(F.lit("".join(f"{p:08X}" for p in points))), "UTF-32")
+    df = spark.range(1).select(F.levenshtein(text(0x10900, 0x10901, 0xE000), text(0x10901, 0xE000)).alias("d"), F.length(text(0x10900)).alias("n"))
+    assert tuple(df.first()) == (1, 1)

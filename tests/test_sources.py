@@ -58,15 +58,6 @@ def test_run_parameters(spark, tmp_path):
     assert rows(tb.read_run_parameters(spark, str(tmp_path / "back"), lines=True), "person") == rows(out, "person")
 
 
-def test_config(tmp_path):
-    path = tmp_path / "c.json"
-    assert tb.read_config(str(path))["NUM_GPU"] == 1
-    path.write_text('{"CONFIG_VERSION": 0, "NUM_GPU": 4}')
-    assert tb.read_config(str(path))["NUM_GPU"] == 1
-    path.write_text('{"CONFIG_VERSION": 1, "NUM_GPU": 4}')
-    assert tb.read_config(str(path))["NUM_GPU"] == 4
-
-
 def test_heading_lines_and_single_words_are_skipped(spark, tmp_path):
     (tmp_path / "l.txt").write_text("a,b\n見出し,x\nc\nd,e,f\n", encoding="utf-8")
     assert sorted(r.words for r in tb.read_lines(spark, str(tmp_path / "l.txt")).collect()) == [["a", "b"], ["d", "e", "f"]]
@@ -114,3 +105,11 @@ def test_mix_is_as_long_as_the_first_microphone(spark):
 def test_missing_labels(spark):
     df = spark.createDataFrame([(0, "a"), (0, "b"), (1, "c")], "k int, l string")
     assert rows(missing(df, ["k"], "l", ["a", "b", "c"]), "k", "l") == [(0, "c"), (1, "a"), (1, "b")]
+
+
+def test_faces_written_by_several_tasks(spark, tmp_path):
+    df = spark.createDataFrame([(i, [1, 2, 3, i], True, [0.5, float(i)]) for i in range(40)],
+                               "frame_number long, location array<int>, is_detected boolean, encoding array<double>").repartition(4)
+    tb.write_faces(df, str(tmp_path / "faces"))
+    out = tb.read_faces(spark, str(tmp_path / "faces"))
+    assert rows(out.select("frame_number", "location"), "frame_number") == [(i, [1, 2, 3, i]) for i in range(40)]
