@@ -9,30 +9,32 @@ BROADCAST_ROWS = 200_000
 SALTS = 16
 
 
-def salted_join(facts: DataFrame, dim: DataFrame, on: list[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
+def salted_join(facts: DataFrame, dim: DataFrame, on: list[str], how: str = "inner", salts: int = SALTS,
+                by: list[str] | None = None) -> DataFrame:
     """Equi-join where ``facts`` may be skewed on ``on`` and ``dim`` has few rows per key.
 
     Every fact row gets one of ``salts`` salts from its own content and every ``dim`` row is repeated once per salt,
     so a key holding a third of all facts is spread over ``salts`` tasks. ``how`` may be inner, left, left_semi or
-    left_anti: each keeps or drops fact rows, so repeating ``dim`` never repeats a result row.
+    left_anti: each keeps or drops fact rows, so repeating ``dim`` never repeats a result row. ``by`` names the columns
+    the salt is made from, where a few of them tell the rows of a key apart; without it all columns are hashed.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"salted_join cannot repeat the right side of a {how} join")
-    spread = [f.name for f in facts.schema.fields if not isinstance(f.dataType, T.MapType)]
+    spread = by or [f.name for f in facts.schema.fields if not isinstance(f.dataType, T.MapType)]
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
     repeated = dim.withColumn("_salt", F.explode(F.array(*[F.lit(s).cast("long") for s in range(salts)])))
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
 def lookup_join(facts: DataFrame, dim: DataFrame, on: list[str], how: str = "inner",
-                limit: int = BROADCAST_ROWS, small: bool | None = None) -> DataFrame:
+                limit: int = BROADCAST_ROWS, small: bool | None = None, by: list[str] | None = None) -> DataFrame:
     """Join to a lookup table: broadcast when a bounded count proves it small, salted otherwise.
 
     ``small`` hands in the answer where the caller has counted already.
     """
     if fits(dim, limit) if small is None else small:
         return facts.join(F.broadcast(dim), on, how)
-    return salted_join(facts, dim, on, how)
+    return salted_join(facts, dim, on, how, by=by)
 
 
 def fits(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
