@@ -81,19 +81,21 @@ def op7_nndescent(spark, folder) -> DataFrame:
 
 @query(warc.SQL)
 def op8_warc(spark, folder) -> DataFrame:
-    archive = shared_folder(spark)
+    archive, parsed = shared_folder(spark), shared_folder(spark)
     warc.write(table(spark, folder, "pages"), archive)
     found = warc.records(spark, archive)
     page = F.regexp_extract(F.col("payload").cast("string"), r"page_id: (-?\d+)", 1)
     found = found.select("type", "record_id", "concurrent_to", "refers_to", F.octet_length("payload").cast("long").alias("n"),
                          F.sha1("payload").alias("digest"), F.when(F.col("type") == "metadata", page).alias("page"))
-    c = warc.resolved(found)
+    found.write.parquet(parsed)
+    c = warc.resolved(spark.read.parquet(parsed))
     number = lambda x: F.when(x != "", x).cast("long")
     full = F.coalesce(F.col("original.response"), F.col("response"))
     out = c.select(number(F.col("metadata.page")).alias("page_id"), full["n"].alias("payload_bytes"), full["digest"].alias("payload_digest"),
                    F.col("type").alias("record_type"), number(F.col("original.metadata.page")).alias("refers_to"))
     out = cut_lineage(out)
     remove_folder(spark, archive)
+    remove_folder(spark, parsed)
     return out
 
 

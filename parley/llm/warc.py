@@ -19,7 +19,7 @@ import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..operators.skew import salted_join
+from ..operators.skew import lookup_join, salted_join
 from ..session import cut_lineage
 from .common import bounded_batches
 
@@ -55,7 +55,8 @@ def write(pages: DataFrame, folder: str) -> None:
     known = cut_lineage(known.select(F.col("digest").alias("key"), "first"))
     # payloads that are no copies get a key of their own, so that none of them meet
     pages = pages.withColumn("key", F.when(F.col("size") >= REVISIT_BYTES, F.col("digest")).otherwise(F.concat(F.lit("row "), F.col("row").cast("string"))))
-    p = pages.join(known, "key", "left").withColumn("again", F.coalesce(F.col("first") != F.col("row"), F.lit(False)))
+    # a row of `known` is a digest and a number, so the counted bound of the broadcast bounds its bytes, too
+    p = lookup_join(pages, known, ["key"], "left", by=["row"]).withColumn("again", F.coalesce(F.col("first") != F.col("row"), F.lit(False)))
     mine, uri = record_id("response", F.col("row")), ("WARC-Target-URI", F.col("url"))
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit("\r\n\r\n"))
     site = F.coalesce(F.regexp_extract("url", r"^[a-zA-Z]+://([^/?#]*)", 1), F.lit(""))
@@ -128,7 +129,8 @@ def captures(found: DataFrame) -> DataFrame:
     """One nested row per capture: record_id, type, request, response, metadata, refers_to (the record id of a revisit).
 
     Requests and metadata are joined through their concurrent-to ids; a capture that lacks one has null there. ``found`` may
-    carry any columns besides the ids and the type; they go into the nested rows.
+    carry any columns besides the ids and the type; they go into the nested rows. It is read once per kind of record, so
+    what is needed of the records is best stored first: else each read parses the archives anew.
     """
     rest = [c for c in found.columns if c not in ("type", "record_id", "concurrent_to", "refers_to")]
     main = found.filter(F.col("type").isin("response", "revisit")).select("record_id", "type", "refers_to", F.struct(*rest).alias("response"))
