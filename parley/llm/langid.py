@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import cut_lineage
 from .common import blocks, bounded_batches, ddl, free_name
 from .ngrams import hashed, symbols
 
@@ -22,6 +23,7 @@ SAMPLE = 1500
 CLUSTERS = 4
 ROUNDS = 8
 SHARPNESS = 30.0
+PARTS = 32  # tasks that share a sample, which is bounded
 UNKNOWN = "und"
 
 
@@ -69,14 +71,32 @@ def document_frequencies(docs: DataFrame, text: str = "text"):
     return found.get(-1, 0), np.array([found.get(g, 0) for g in range(1 << BITS)], np.float64)
 
 
+def smallest(rows: DataFrame, label: str, most: int) -> DataFrame:
+    """The ``most`` smallest hashes ``_h`` of every label. Only hashes that can be among them are sorted.
+
+    The labels are those of a classifier, so a table with one row for each is small.
+    """
+    number = F.broadcast(rows.groupBy(label).agg(F.approx_count_distinct("_h").alias("_all")))
+    share = F.least(F.lit(1.0), F.lit(2.0 * most + 200) / F.col("_all"))  # the count is within a few hundredths
+    near = rows.select(label, "_h").join(number, label).filter((F.col("_h") / F.lit(2.0 ** 64) + 0.5) <= share)
+    place = F.row_number().over(Window.partitionBy(label).orderBy("_h"))
+    return near.select(label, "_h").distinct().withColumn("_n", place).filter(F.col("_n") <= most).drop("_n")
+
+
+def texts_of(docs: DataFrame, key: str, text: str, label: str, chosen: DataFrame) -> DataFrame:
+    """The label, text and hash of the rows whose hash of key and text is in ``chosen``; rows that repeat count once.
+
+    ``chosen`` holds a bounded number of hashes per label, so it is broadcast and the texts of all others stay in place.
+    """
+    hashed_docs = docs.filter(F.col(text).isNotNull()).select(text, F.xxhash64(key, text).alias("_h"))
+    found = hashed_docs.join(F.broadcast(chosen), "_h").repartition(PARTS, "_h")
+    return cut_lineage(found.dropDuplicates([label, "_h"]).select(label, text, "_h"))
+
+
 def sample(docs: DataFrame, key: str, text: str, label: str, most: int) -> DataFrame:
-    """At most ``most`` rows per label, those of the smallest hash of key and text; ties are broken by the text."""
-    rows = docs.filter(F.col(text).isNotNull() & F.col(label).isNotNull()).withColumn("_h", F.xxhash64(key, text))
-    edge = (rows.select(label, "_h").withColumn("_n", F.row_number().over(Window.partitionBy(label).orderBy("_h")))
-            .filter(F.col("_n") <= most).groupBy(label).agg(F.max("_h").alias("_edge")))
-    near = rows.join(edge, label).filter(F.col("_h") <= F.col("_edge"))
-    number = F.row_number().over(Window.partitionBy(label).orderBy("_h", text))
-    return near.select(label, text, "_h", number.alias("_n")).filter(F.col("_n") <= most).drop("_n")
+    """At most ``most`` rows per label, those of the smallest hash of key and text; rows that repeat count once."""
+    rows = docs.filter(F.col(text).isNotNull() & F.col(label).isNotNull()).select(label, F.xxhash64(key, text).alias("_h"))
+    return texts_of(docs, key, text, label, cut_lineage(smallest(rows, label, most)))
 
 
 def cluster(x):
