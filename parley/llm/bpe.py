@@ -165,7 +165,9 @@ def decode(docs, path: str, pattern: str, ids: str = "ids", out: str = "decoded"
     def run(batches):
         coder = encoder(path, pattern)
         for b in batches:
-            data = pa.array([coder.decode(t or []) for t in b.column(b.schema.get_field_index(ids)).to_pylist()], pa.binary())
+            lists = b.column(b.schema.get_field_index(ids))
+            # row by row, as the numbers of a whole batch would be many times its size
+            data = pa.array([coder.decode(t.values.to_pylist() if t.is_valid else []) for t in lists], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns, data], names=[*b.schema.names, name])
 
     return docs.mapInArrow(run, f"{ddl(docs)}`{name}` binary")
