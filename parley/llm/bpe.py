@@ -156,7 +156,7 @@ def encode(docs, path: str, pattern: str, text: str = "text", ids: str = "ids"):
 
 
 def decode(docs, path: str, pattern: str, ids: str = "ids", out: str = "decoded"):
-    """All columns and the bytes of the tokens in ``ids``; null tokens give no bytes."""
+    """All columns and the bytes of the tokens in ``ids``; a null list and null tokens give no bytes."""
     import pyarrow as pa
 
     name = free_name(docs, out)
@@ -167,7 +167,7 @@ def decode(docs, path: str, pattern: str, ids: str = "ids", out: str = "decoded"
         for b in batches:
             lists = b.column(b.schema.get_field_index(ids))
             # row by row, as the numbers of a whole batch would be many times its size
-            data = pa.array([coder.decode(t.values.to_pylist() if t.is_valid else []) for t in lists], pa.binary())
+            data = pa.array([coder.decode(t.values.drop_null().to_numpy().tolist() if t.is_valid else []) for t in lists], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns, data], names=[*b.schema.names, name])
 
     return docs.mapInArrow(run, f"{ddl(docs)}`{name}` binary")
