@@ -104,11 +104,12 @@ def window_success(rows: DataFrame, keys: list[str], flag: str) -> DataFrame:
 
 
 def window_votes(windows: DataFrame, keys: list[str]) -> DataFrame:
-    """Window predictions to frames: the first window's face, its prediction plus one for each later positive window."""
+    """Window predictions to frames: the first window's face, cut to whole numbers, its prediction plus one for each later
+    positive window."""
     frames = (windows.filter(F.col("frame_out") >= F.col("frame_in"))
               .withColumn("frame", F.explode(F.sequence("frame_in", "frame_out"))))
     votes = frames.groupBy(*keys, "frame").agg(
-        *[F.min_by(c, "win").alias(c) for c in ("face_x", "face_y", "face_radius")],
+        *[F.min_by(c, "win").cast("long").alias(c) for c in ("face_x", "face_y", "face_radius")],
         F.min_by("pred", "win").alias("_first"), F.sum(F.when(F.col("pred") == 1, 1).otherwise(0)).alias("_ones"))
     pred = F.col("_first") + F.col("_ones") - F.when(F.col("_first") == 1, 1).otherwise(0)
     return votes.withColumn("pred", pred).drop("_first", "_ones").withColumn("is_nod", F.col("pred") > 1)

@@ -93,8 +93,8 @@ def window_success(spark, folder):
   median(y) AS face_y, median(abs(chin - y)) AS face_radius, (avg(rx) > 50)::INT AS pred FROM win GROUP BY ALL),
 f AS (SELECT person, win, face_x, face_y, face_radius, pred, unnest(range(fin, fout + 1)) AS frame FROM w),
 g AS (SELECT *, row_number() OVER (PARTITION BY person, frame ORDER BY win) AS k FROM f)
-SELECT person, frame, max(face_x) FILTER (k = 1)::DOUBLE AS face_x, max(face_y) FILTER (k = 1)::DOUBLE AS face_y,
-  max(face_radius) FILTER (k = 1)::DOUBLE AS face_radius, sum(CASE WHEN k = 1 OR pred = 1 THEN pred ELSE 0 END)::BIGINT AS pred,
+SELECT person, frame, trunc(max(face_x) FILTER (k = 1))::BIGINT AS face_x, trunc(max(face_y) FILTER (k = 1))::BIGINT AS face_y,
+  trunc(max(face_radius) FILTER (k = 1))::BIGINT AS face_radius, sum(CASE WHEN k = 1 OR pred = 1 THEN pred ELSE 0 END)::BIGINT AS pred,
   sum(CASE WHEN k = 1 OR pred = 1 THEN pred ELSE 0 END) > 1 AS is_nod FROM g GROUP BY ALL""")
 def window_votes(spark, folder):
     rows = pose_windows(spark, folder, "x", "y", "chin", "rx")
