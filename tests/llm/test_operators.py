@@ -346,6 +346,19 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score(empty, model).count() == 0
 
 
+def test_toxicity_compares_texts_without_words_of_a_label(spark):
+    """Toxic texts of a second language share no word that is frequent among toxic ones; only their many rare words are near."""
+    words = "river stone paper cloud winter garden silver music window bridge".split()
+    rows = [(i, " ".join(words[(i * 3 + j) % 10] for j in range(20)) + (" horrible nasty vermin" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(200)]
+    rare = "schlecht boshaft gemein widerlich".split()
+    rows += [(300 + i, f"{rare[i % 4]} {words[i % 10]}", 1) for i in range(8)] + [(400 + i, f"{rare[i % 4]} {words[(i + 3) % 10]}", None) for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int").repartition(3)
+    model = toxicity.train(df.select("doc_id", "text"), toxicity.labelled(df.select("doc_id", "text"), df.select("doc_id", "toxic")))
+    out = {r["doc_id"]: r for r in toxicity.score(df, model).collect()}
+    assert all(len(r["evidence"]) == toxicity.NEAREST for r in out.values())
+    assert all(out[400 + i]["evidence"][0]["label"] == 1 and out[400 + i]["score"] >= 0.7 for i in range(4))
+
+
 def test_index_finds_the_exact_nearest():
     rng = np.random.default_rng(6)
 
