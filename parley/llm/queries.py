@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from . import audio, bpe, langid, mixing, nndescent, scoring, simhash, suffixes, toxicity, warc
+from . import audio, bpe, contamination, divergence, langid, merkle, mixing, nndescent, scoring, simhash, suffixes, toxicity, warc
 from .common import remainder, remove_folder, shared_folder, table
 from ..session import cut_lineage
 
@@ -109,3 +109,28 @@ def op10_suffixes(spark, folder) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = suffixes.without_repeats(docs)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query(merkle.SQL)
+def op11_merkle(spark, folder) -> DataFrame:
+    docs = table(spark, folder, "documents").select(*merkle.COLUMNS)
+    # a null id is never tampered with
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0,
+                      merkle.leaf_of([F.col(c) for c in merkle.COLUMNS[:-1]] + [merkle.lower_ascii(F.col("text"))]))
+    found = merkle.manifest(docs, carry={"tampered": tampered})
+    found = found.withColumn("folded_root", merkle.folded(F.coalesce("tampered", "leaf"), F.col("proof")))
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root",
+                        (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query(divergence.SQL)
+def op12_divergence(spark, folder) -> DataFrame:
+    return divergence.divergences(table(spark, folder, "documents").select("lang", "source", "text"))
+
+
+@query(contamination.SQL)
+def op13_contamination(spark, folder) -> DataFrame:
+    found = contamination.matches(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark").select("item_id", "text"))
+    hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
