@@ -25,8 +25,8 @@ from .common import bounded_batches, utf8
 LEAST = 10  # documents of its language that hold a kept term
 BEST = 10  # terms reported per group
 SCALE = 1_000_000_000
-ENTRIES = 1 << 18  # counts in a task's stripes before they spill
-TERM_BYTES = 16 << 20  # bytes of terms in a task's stripes before they spill
+ENTRIES = 1 << 19  # counts in a task's stripes before they spill
+TERM_BYTES = 64 << 20  # bytes of terms in a task's stripes before they spill
 BLOCK = 1 << 15  # counts of merged stripes in one block, about
 TILE = 128  # sources compared at once
 STRIPE = "lang string, term string, df long, sources array<string>, counts array<long>"
@@ -39,50 +39,68 @@ def terms_of(text) -> list[bytes]:
     return utf8(text).translate(_FOLD).split()
 
 
+class _Stripes:
+    """A task's hash stripes: for each term of a language the documents that hold it, and its count in each source.
+
+    They are kept as one counter per language and per source, which only the spill turns into rows, one per term.
+    """
+
+    def __init__(self):
+        self.holding: dict = {}  # lang -> Counter of documents
+        self.counts: dict = {}  # lang -> source -> Counter of words
+        self.entries = self.bytes = 0
+
+    def add(self, lang: str, source: str, words: list[bytes]) -> None:
+        from collections import Counter
+
+        holding = self.holding.setdefault(lang, Counter())
+        count = self.counts.setdefault(lang, {}).setdefault(source, Counter())
+        distinct = set(words)
+        before = len(holding) + len(count)
+        holding.update(distinct)
+        count.update(words)
+        self.entries += len(holding) + len(count) - before
+        self.bytes += sum(map(len, distinct))  # an upper bound: most terms are known already
+
+    @property
+    def full(self) -> bool:
+        return self.entries >= ENTRIES or self.bytes >= TERM_BYTES
+
+    def spill(self):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for lang, sources in self.counts.items():
+            names = pa.array(list(sources), pa.string())
+            holding = self.holding[lang]
+            terms = pa.array(list(holding), pa.binary())
+            df = np.fromiter(holding.values(), np.int64, len(holding))
+            row = pc.index_in(pa.concat_arrays([pa.array(list(c), pa.binary()) for c in sources.values()]), terms).to_numpy()
+            source = np.repeat(np.arange(len(names)), [len(c) for c in sources.values()])
+            count = np.concatenate([np.fromiter(c.values(), np.int64, len(c)) for c in sources.values()])
+            order = np.argsort(row, kind="stable")
+            source, count = source[order], count[order]
+            ends = np.append(0, np.cumsum(np.bincount(row, minlength=len(terms))))
+            for at in range(0, len(terms), 1 << 14):
+                cut = ends[at:at + (1 << 14) + 1]
+                offsets = pa.array(cut - cut[0], pa.int32())
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([lang] * (len(cut) - 1), pa.string()), terms[at:at + (1 << 14)].cast(pa.string()), pa.array(df[at:at + (1 << 14)]),
+                    pa.ListArray.from_arrays(offsets, names.take(pa.array(source[cut[0]:cut[-1]]))),
+                    pa.ListArray.from_arrays(offsets, pa.array(count[cut[0]:cut[-1]]))], ["lang", "term", "df", "sources", "counts"])
+
+
 def _fold(batches):
     """Stripes of a partition's documents (lang, source, text)."""
-    from collections import Counter
-
-    import pyarrow as pa
-
-    def spilled(stripes):
-        rows: list = [[], [], [], [], []]
-        size = 0
-        for (lang, term), (df, counts) in stripes.items():
-            for column, value in zip(rows, (lang, term.decode("utf-8", "replace"), df, list(counts), list(counts.values()))):
-                column.append(value)
-            size += len(term) + 32 * len(counts)
-            if size > 1 << 20:
-                yield batch(rows)
-                rows, size = [[], [], [], [], []], 0
-        if rows[0]:
-            yield batch(rows)
-
-    def batch(rows):
-        types = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], ["lang", "term", "df", "sources", "counts"])
-
-    stripes: dict = {}
-    entries = held = 0
+    stripes = _Stripes()
     for b in batches:
-        for lang, source, text in zip(b.column(0), b.column(1), b.column(2)):
-            lang, source = lang.as_py(), source.as_py()
-            for term, n in Counter(terms_of(text.as_py())).items():
-                stripe = stripes.get((lang, term))
-                if stripe is None:
-                    stripe = stripes[(lang, term)] = [0, {}]
-                    held += len(term)
-                stripe[0] += 1
-                counts = stripe[1]
-                if source in counts:
-                    counts[source] += n
-                else:
-                    counts[source] = n
-                    entries += 1
-            if entries >= ENTRIES or held >= TERM_BYTES:
-                yield from spilled(stripes)
-                stripes, entries, held = {}, 0, 0
-    yield from spilled(stripes)
+        for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            stripes.add(lang, source, terms_of(text.as_py()))
+            if stripes.full:
+                yield from stripes.spill()
+                stripes = _Stripes()
+    yield from stripes.spill()
 
 
 def stripes(docs: DataFrame, least: int = LEAST) -> DataFrame:
