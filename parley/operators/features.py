@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.permute import permuted
 from ..functions.vectors import bind, standardised
 from .series import along, neighbours
 from .skew import salted_join
@@ -35,14 +36,14 @@ def finite_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.drop(*[c for c in columns if found[c]])
 
 
-def sliding_windows(df: DataFrame, keys: list[str], order: list[str], span: float, width: int = 32,
+def sliding_windows(df: DataFrame, keys: list[str], order: list[str], width: int = 32,
                     hop: int = 16) -> DataFrame:
     """Rows with the numbers of the positional windows they are in: column ``win``, one row per row and window.
 
     Positions count the rows that are left in ``df``. ``(n - width) // hop`` windows are kept, so the last full one is
     left out. A row is in ``width / hop`` windows, worked out from its position without any join.
     """
-    pos = along(df, keys, order, span, rank="_pos")
+    pos = along(df, keys, order, rank="_pos")
     counts = df.groupBy(*keys).agg(F.floor((F.count(F.lit(1)) - width) / hop).cast("long").alias("_windows"))
     last = F.floor(F.col("_pos") / hop).cast("long")
     each = F.array(*[last - d for d in range(math.ceil(width / hop))])
@@ -115,9 +116,9 @@ def window_votes(windows: DataFrame, keys: list[str]) -> DataFrame:
     return votes.withColumn("pred", pred).drop("_first", "_ones").withColumn("is_nod", F.col("pred") > 1)
 
 
-def changed_values(df: DataFrame, keys: list[str], order: str, value: str, span: float) -> DataFrame:
+def changed_values(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """Drop zeros, then rows that repeat the previous value; the first row stays."""
-    seen = along(df.filter(F.col(value) != 0), keys, [order], span, lag={"_was": F.col(value)})
+    seen = along(df.filter(F.col(value) != 0), keys, [order], lag={"_was": F.col(value)})
     return seen.filter(F.col("_was").isNull() | (F.col("_was") != F.col(value))).drop("_was")
 
 
@@ -128,9 +129,9 @@ def standardise(df: DataFrame, keys: list[str], value: str, out: str) -> DataFra
             .withColumn(out, F.try_divide(F.col(value) - F.col("_mu"), F.col("_sd"))).drop("_mu", "_sd"))
 
 
-def motion(df: DataFrame, keys: list[str], order: str, columns: list[str], span: float) -> DataFrame:
+def motion(df: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
     """Signed (previous - current) and absolute step of each column; NULL in the first row."""
-    seen = along(df, keys, [order], span, lag={f"_{c}": F.col(c) for c in columns})
+    seen = along(df, keys, [order], lag={f"_{c}": F.col(c) for c in columns})
     for c in columns:
         step = F.col(f"_{c}") - F.col(c)
         seen = seen.withColumns({f"relative_{c}": step, f"absolute_{c}": F.abs(step)}).drop(f"_{c}")
@@ -152,7 +153,7 @@ def majority(df: DataFrame, keys: list[str], pos: str, flag: str, out: str) -> D
     return near.withColumn(out, F.when(F.size("around") < 7, F.col(flag)).otherwise(voted)).drop("around")
 
 
-def order_statistics(df: DataFrame, keys: list[str], value: str, span: float, ranks: dict[str, Column]) -> DataFrame:
+def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
     """Exact order statistics per key: ``ranks`` maps a name to a 0-based rank in terms of the row count ``n``.
 
     Equal values are counted before anything is sorted and the distinct values are swept in chunks, so neither a hot
@@ -160,28 +161,28 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, span: float, ra
     """
     known = df.filter(F.col(value).isNotNull())
     counts = known.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    swept = along(counts, keys, ["_v"], span, total={"_upto": F.col("_c")})
+    swept = along(counts, keys, ["_v"], total={"_upto": F.col("_c")})
     sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("n"))
     placed = salted_join(swept, sizes, keys)
     pick = lambda r: F.max(F.when((F.col("_upto") - F.col("_c") <= r) & (r < F.col("_upto")), F.col("_v")))
     return placed.groupBy(*keys).agg(*[pick(r).alias(name) for name, r in ranks.items()])
 
 
-def medians(df: DataFrame, keys: list[str], values: list[str], span: float) -> DataFrame:
+def medians(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Exact medians of several columns per key, found in one sweep."""
     long = df.select(*keys, F.explode(F.create_map(*[c for v in values for c in (F.lit(v), F.col(v).cast("double"))]))
                      .alias("_axis", "_value"))
     n = F.col("n")
     ranks = {"_lo": F.floor((n - 1) / 2), "_hi": F.floor(n / 2)}
-    both = order_statistics(long, [*keys, "_axis"], "_value", span, ranks)
+    both = order_statistics(long, [*keys, "_axis"], "_value", ranks)
     mid = (F.col("_lo") + F.col("_hi")) / 2
     return both.groupBy(*keys).agg(*[F.max(F.when(F.col("_axis") == v, mid)).alias(v) for v in values])
 
 
-def baseline_shift(df: DataFrame, keys: list[str], value: str, valid: str, cutoff: float, span: float,
+def baseline_shift(df: DataFrame, keys: list[str], value: str, valid: str, cutoff: float,
                    out: str) -> DataFrame:
     """Subtract the value at rank ``int(n * cutoff)`` of the valid ones, clip to 0..5; 0 where not valid."""
-    base = order_statistics(df.filter(F.col(valid)), keys, value, span,
+    base = order_statistics(df.filter(F.col(valid)), keys, value,
                             {"_base": F.floor(F.col("n") * F.lit(cutoff))})
     shifted = salted_join(df, base, keys, "left")
     clipped = F.greatest(F.least(F.col(value) - F.coalesce("_base", F.lit(0.0)), F.lit(5.0)), F.lit(0.0))
@@ -194,7 +195,7 @@ def _centred(df: DataFrame) -> DataFrame:
 
 def median_centres(df: DataFrame, keys: list[str]) -> DataFrame:
     """Median box centre (my, mx) per person."""
-    return medians(_centred(df), keys, ["_cy", "_cx"], 4096).withColumnsRenamed({"_cy": "my", "_cx": "mx"})
+    return medians(_centred(df), keys, ["_cy", "_cx"]).withColumnsRenamed({"_cy": "my", "_cx": "mx"})
 
 
 def near_median_boxes(df: DataFrame, middle: DataFrame, keys: list[str], width: float, reach: float = 0.1) -> DataFrame:
@@ -204,7 +205,7 @@ def near_median_boxes(df: DataFrame, middle: DataFrame, keys: list[str], width:
     return both.filter(F.sqrt(dy * dy + dx * dx) < reach * width).select(*df.columns)
 
 
-def interpolate_boxes(df: DataFrame, keys: list[str], lengths: DataFrame, span: float = 65536) -> DataFrame:
+def interpolate_boxes(df: DataFrame, keys: list[str], lengths: DataFrame) -> DataFrame:
     """Every frame 0..n-1 of a person: detected boxes as they are, gaps filled linearly and cut to whole pixels.
 
     ``lengths`` holds ``n`` per key. Frames before the first or after the last detection have NULL boxes; persons seen
@@ -212,7 +213,7 @@ def interpolate_boxes(df: DataFrame, keys: list[str], lengths: DataFrame, span:
     """
     sides = ["top", "right", "bottom", "left"]
     next_box = F.struct("frame", *sides)
-    seen = along(df.select(*keys, "frame", *sides), keys, ["frame"], span, lead={"_next": next_box}, lag={"_prev": F.col("frame")})
+    seen = along(df.select(*keys, "frame", *sides), keys, ["frame"], lead={"_next": next_box}, lag={"_prev": F.col("frame")})
     seen = seen.filter(F.col("_next").isNotNull() | F.col("_prev").isNotNull())
     whole = salted_join(seen, lengths, keys)
     until = F.when(F.col("_next").isNull(), F.col("n") - 1).otherwise(F.col("_next.frame") - 1)
@@ -233,25 +234,24 @@ def outer_boxes(df: DataFrame, keys: list[str]) -> DataFrame:
                                  (F.max(F.col("y") + F.col("h")) - y).alias("h"))
 
 
-def carry_known(df: DataFrame, keys: list[str], order: str, span: float, values: list[str], seen: str,
+def carry_known(df: DataFrame, keys: list[str], order: str, values: list[str], seen: str,
                 label: str) -> DataFrame:
     """Unseen rows keep the last seen values; their label becomes Unknown."""
     known = {f"_{c}": F.when(F.col(seen), F.col(c)) for c in values}
-    rows = along(df, keys, [order], span, last=known)
+    rows = along(df, keys, [order], last=known)
     return rows.select(*[c for c in df.columns if c not in values and c != label],
                        *[F.col(f"_{c}").alias(c) for c in values],
                        F.when(F.col(seen), F.col(label)).otherwise("Unknown").alias(label))
 
 
-def silent_ranges(df: DataFrame, keys: list[str], order: str, level: str, threshold: float, min_rows: int,
-                  span: float) -> DataFrame:
+def silent_ranges(df: DataFrame, keys: list[str], order: str, level: str, threshold: float, min_rows: int) -> DataFrame:
     """Runs of at least ``min_rows`` rows at or below the threshold.
 
     The search that lowers the threshold by 5 dB until it finds silence gives the same: a lower threshold only ever
     makes fewer rows silent, so where the first threshold finds nothing, none does.
     """
     quiet = df.select(*keys, order, (F.col(level) <= threshold).alias("_quiet"))
-    runs = along(quiet, keys, [order], span, runs={"run": (F.col("_quiet"), lambda a, b: a != b)})
+    runs = along(quiet, keys, [order], runs={"run": (F.col("_quiet"), lambda a, b: a != b)})
     return (runs.groupBy(*keys, "run").agg(F.max("_quiet").alias("_quiet"), F.min(order).alias("start"),
                                            F.max(order).alias("last"), F.count(F.lit(1)).alias("rows"))
             .filter(F.col("_quiet") & (F.col("rows") >= min_rows)).select(*keys, "start", "last", "rows"))
@@ -272,20 +272,23 @@ def real_hop_windows(df: DataFrame, keys: list[str], pos: str, vector: str, widt
     return fit.withColumn(vector, standardised(F.col(vector))).drop("_start", "_n")
 
 
-def index_blocks(df: DataFrame, keys: list[str], order: str, index: str, span: float) -> DataFrame:
+def index_blocks(df: DataFrame, keys: list[str], order: str, index: str) -> DataFrame:
     """Number the blocks of consecutive indexes: a block ends where the next index is not one higher."""
-    return along(df, keys, [order], span, runs={"block": (F.col(index), lambda a, b: b != a + 1)})
+    return along(df, keys, [order], runs={"block": (F.col(index), lambda a, b: b != a + 1)})
 
 
-def permuted_blocks(df: DataFrame, keys: list[str], order: str, samples: int, seed: int) -> DataFrame:
+def permuted_blocks(df: DataFrame, keys: list[str], order: str, samples: int, seed: int, tweak: Column | int = 0) -> DataFrame:
     """Random orders of the blocks of each key, rows inside a block staying together: column ``place`` per sample.
 
-    The random order is a hash of (seed, sample, key, block): repeatable, and swept in chunks of the hash.
+    Block numbers are permuted by a keyed bijection, so orders are repeatable and drawn without sorting. ``tweak`` is a number
+    that tells keys apart; keys with the same tweak and as many blocks get the same orders.
     """
     blocks = df.groupBy(*keys, "block").agg(F.count(F.lit(1)).alias("_size"), F.min(order).alias("_from"))
-    drawn = blocks.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    drawn = drawn.withColumn("_draw", F.xxhash64(F.lit(seed), "sample", *keys, "block"))
-    placed = along(drawn, [*keys, "sample"], ["_draw", "block"], float(2**56), total={"_end": F.col("_size")})
+    count = blocks.groupBy(*keys).agg(F.count(F.lit(1)).alias("_blocks"))
+    number = F.lit(tweak) if isinstance(tweak, int) else tweak
+    each = salted_join(blocks, count, keys).withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    drawn = each.withColumn("_draw", permuted(F.col("block"), F.col("_blocks"), seed, number.cast("long") * samples + F.col("sample")))
+    placed = along(drawn, [*keys, "sample"], ["_draw"], total={"_end": F.col("_size")})
     placed = placed.select(*keys, "block", "sample", "_from", (F.col("_end") - F.col("_size")).alias("_base"))
     return (df.join(placed, [*keys, "block"])
             .withColumn("place", F.col("_base") + F.col(order) - F.col("_from")).drop("_base", "_from"))

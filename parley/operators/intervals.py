@@ -7,27 +7,27 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .series import along, differs
 
 
-def compact_runs(df: DataFrame, keys: list[str], time: str, label: str, span: float) -> DataFrame:
+def compact_runs(df: DataFrame, keys: list[str], time: str, label: str) -> DataFrame:
     """Dense labels to runs: a run ends where the next one starts, the last one at the last timestamp itself."""
-    runs = (along(df.select(*keys, time, label), keys, [time], span, runs={"run": (F.col(label), differs)})
+    runs = (along(df.select(*keys, time, label), keys, [time], runs={"run": (F.col(label), differs)})
             .groupBy(*keys, "run")
             .agg(F.min_by(label, time).alias(label), F.min(time).alias("start"), F.max(time).alias("last_seen")))
-    return (along(runs, keys, ["run"], 65536, lead={"next_start": F.col("start")})
+    return (along(runs, keys, ["run"], lead={"next_start": F.col("start")})
             .select(*keys, label, "start", F.coalesce("next_start", "last_seen").alias("end")))
 
 
-def merge_runs(df: DataFrame, keys: list[str], order: str, label: str, span: float,
+def merge_runs(df: DataFrame, keys: list[str], order: str, label: str,
                start: str = "start_ms", end: str = "end_ms") -> DataFrame:
     """Neighbours with the same label become one interval from the first start to the last end."""
-    return (along(df.select(*keys, order, label, start, end), keys, [order], span, runs={"run": (F.col(label), differs)})
+    return (along(df.select(*keys, order, label, start, end), keys, [order], runs={"run": (F.col(label), differs)})
             .groupBy(*keys, "run")
             .agg(F.min_by(label, order).alias(label), F.min_by(start, order).alias(start),
                  F.max_by(end, order).alias(end), F.count(F.lit(1)).alias("pieces")))
 
 
-def label_slices(df: DataFrame, keys: list[str], index: str, label: str, step: float, span: int = 65536) -> DataFrame:
+def label_slices(df: DataFrame, keys: list[str], index: str, label: str, step: float) -> DataFrame:
     """Window labels to time slices: a run of equal labels times the window step, each bound rounded half up."""
-    runs = (along(df.select(*keys, index, label), keys, [index], span, runs={"run": (F.col(label), differs)})
+    runs = (along(df.select(*keys, index, label), keys, [index], runs={"run": (F.col(label), differs)})
             .groupBy(*keys, "run")
             .agg(F.min_by(label, index).alias(label), F.min(index).alias("_from"), F.max(index).alias("_to")))
     at = lambda i: F.floor(i * F.lit(float(step)) + 0.5).cast("long")
@@ -57,7 +57,7 @@ def points_in_intervals(points: DataFrame, intervals: DataFrame, keys: list[str]
     return p.join(i, on, how).select(*[F.col(f"p.{c}") for c in points.columns if c != "_bucket"], *extra)
 
 
-def asof(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, span: float,
+def asof(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str,
          values: list[str], strict: bool = False) -> DataFrame:
     """For every left row the right row with the greatest time not after it (before it if ``strict``).
 
@@ -71,12 +71,12 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, rig
                           F.lit(False).alias("_left"),
                           F.struct(*[F.col(v) for v in values]).alias("_found"))
     both = ours.unionByName(theirs, allowMissingColumns=True)
-    swept = along(both, keys, ["_t", "_side"], span, last={"_hit": F.col("_found")})
+    swept = along(both, keys, ["_t", "_side"], last={"_hit": F.col("_found")})
     return (swept.filter("_left").select(*keys, *[F.col(f"_row.{c}").alias(c) for c in payload],
                                          *[F.col(f"_hit.{v}").alias(v) for v in values]))
 
 
-def coverage(df: DataFrame, keys: list[str], span: float, start: str = "start_ms", end: str = "end_ms") -> DataFrame:
+def coverage(df: DataFrame, keys: list[str], start: str = "start_ms", end: str = "end_ms") -> DataFrame:
     """Split all intervals at every start and end; the pieces that at least one interval covers, with their count.
 
     Starts and ends are first added up per instant, so only distinct instants are swept.
@@ -85,11 +85,11 @@ def coverage(df: DataFrame, keys: list[str], span: float, start: str = "start_ms
               .select(*keys, F.explode(F.array(F.struct(F.col(start).alias("t"), F.lit(1).alias("d")),
                                                F.struct(F.col(end).alias("t"), F.lit(-1).alias("d")))).alias("e"))
               .groupBy(*keys, F.col("e.t").alias("t")).agg(F.sum("e.d").alias("d")))
-    return (along(deltas, keys, ["t"], span, total={"active": F.col("d")}, lead={"until": F.col("t")})
+    return (along(deltas, keys, ["t"], total={"active": F.col("d")}, lead={"until": F.col("t")})
             .filter("active > 0").select(*keys, F.col("t").alias(start), F.col("until").alias(end), "active"))
 
 
-def without_contained(df: DataFrame, keys: list[str], ident: str, span: float, start: str = "start_ms",
+def without_contained(df: DataFrame, keys: list[str], ident: str, start: str = "start_ms",
                       end: str = "end_ms") -> DataFrame:
     """Drop every interval that lies inside another one; equal intervals drop each other.
 
@@ -98,13 +98,13 @@ def without_contained(df: DataFrame, keys: list[str], ident: str, span: float, s
     """
     rows = df.withColumns({"_back": -F.col(end), "_span": F.struct(start, end)})
     order = [start, "_back", ident]
-    seen = along(rows, keys, order, span, high_before={"_reached": F.col(end)}, lead={"_after": F.col("_span")})
+    seen = along(rows, keys, order, high_before={"_reached": F.col(end)}, lead={"_after": F.col("_span")})
     alone = ((F.col("_reached").isNull() | (F.col("_reached") < F.col(end)))
              & ~F.col("_after").eqNullSafe(F.col("_span")))
     return seen.filter(alone).select(*df.columns)
 
 
-def gaps(df: DataFrame, keys: list[str], span: float, length: DataFrame, start: str = "start_ms",
+def gaps(df: DataFrame, keys: list[str], length: DataFrame, start: str = "start_ms",
          end: str = "end_ms") -> DataFrame:
     """Silent ranges of each recording to all its ranges, silent and not, without empty ones.
 
@@ -112,7 +112,7 @@ def gaps(df: DataFrame, keys: list[str], span: float, length: DataFrame, start:
     is silent throughout is one silent range. Silent ranges must not overlap.
     """
     silent = df.select(*keys, start, end)
-    before = (along(silent, keys, [start], span, lag={"_prev": F.col(end)})
+    before = (along(silent, keys, [start], lag={"_prev": F.col(end)})
               .select(*keys, F.coalesce("_prev", F.lit(0)).alias(start), F.col(start).alias(end)))
     final = silent.groupBy(*keys).agg(F.max(end).alias("_last"))
     tail = (length.join(final, keys, "left")
@@ -121,12 +121,12 @@ def gaps(df: DataFrame, keys: list[str], span: float, length: DataFrame, start:
     return sound.unionByName(silent.withColumn("kind", F.lit("silence"))).select(*keys, "kind", start, end)
 
 
-def midpoint_splits(df: DataFrame, keys: list[str], span: float, start: str = "start_ms", end: str = "end_ms",
+def midpoint_splits(df: DataFrame, keys: list[str], start: str = "start_ms", end: str = "end_ms",
                     kind: str = "kind", speech=("speech", "nonsilence")) -> DataFrame:
     """Split a labelled timeline in the middle of every part that is not speech."""
     mids = (df.filter(~F.col(kind).isin(*speech))
             .select(*keys, (F.col(start) + (F.col(end) - F.col(start)) / 2).alias("mid")))
-    cut = (along(mids, keys, ["mid"], span, lag={"_prev": F.col("mid")})
+    cut = (along(mids, keys, ["mid"], lag={"_prev": F.col("mid")})
            .select(*keys, F.coalesce("_prev", F.lit(0.0)).alias(start), F.col("mid").alias(end)))
     last = mids.groupBy(*keys).agg(F.max("mid").alias("_mid"))
     tail = (df.groupBy(*keys).agg(F.max_by(end, start).cast("double").alias(end)).join(last, keys, "left")
@@ -134,17 +134,17 @@ def midpoint_splits(df: DataFrame, keys: list[str], span: float, start: str = "s
     return cut.unionByName(tail)
 
 
-def original_times(times: DataFrame, intervals: DataFrame, keys: list[str], time: str, span: float,
+def original_times(times: DataFrame, intervals: DataFrame, keys: list[str], time: str,
                    start: str = "start_ms", end: str = "end_ms") -> DataFrame:
     """Times in a recording with the silence cut out, back to times in the whole recording.
 
     The kept ``intervals`` are laid end to end; a time past the last one maps to its end.
     """
-    laid = along(intervals.select(*keys, start, end), keys, [start], span,
+    laid = along(intervals.select(*keys, start, end), keys, [start],
                  total={"_to": F.col(end) - F.col(start)})
     shift = laid.select(*keys, (F.col("_to") - (F.col(end) - F.col(start))).alias("_from"), F.col(start).alias("_start"),
                         F.col(end).alias("_end"))
-    found = asof(times, shift, keys, time, "_from", span, ["_from", "_start", "_end"])
+    found = asof(times, shift, keys, time, "_from", ["_from", "_start", "_end"])
     return (found.withColumn("original", F.least(F.col("_start") + F.col(time) - F.col("_from"), F.col("_end")))
             .drop("_from", "_start", "_end"))
 
@@ -160,24 +160,23 @@ def with_unknown_ends(df: DataFrame, keys: list[str], bounds: DataFrame, speaker
     return df.select(*keys, speaker, start, end).unionByName(ends)
 
 
-def centre_labels(windows: DataFrame, changes: DataFrame, keys: list[str], index: str, centre: str,
-                  span: int = 65536) -> DataFrame:
+def centre_labels(windows: DataFrame, changes: DataFrame, keys: list[str], index: str, centre: str) -> DataFrame:
     """Label windows by the speaker whose change point lies at or after the window centre.
 
     ``changes`` has (key, ord from 0, change, speaker); at most one speaker is passed per window, as the source
     recordings are read in order. With ``c(n)`` change points before window n, the speaker number obeys
     s(n) = min(s(n-1) + 1, c(n)), which is n + min over m <= n of (c(m) - m): a running minimum.
     """
-    counted = asof(windows, changes, keys, centre, "change", span, ["ord"], strict=True)
+    counted = asof(windows, changes, keys, centre, "change", ["ord"], strict=True)
     passed = counted.withColumn("_ahead", F.col(index) - (F.coalesce("ord", F.lit(-1)) + 1)).drop("ord")
-    swept = along(passed, keys, [index], span, high={"_most": F.greatest(F.col("_ahead"), F.lit(-1))})
+    swept = along(passed, keys, [index], high={"_most": F.greatest(F.col("_ahead"), F.lit(-1))})
     numbered = swept.withColumn("ord", F.col(index) - F.col("_most")).drop("_ahead", "_most")
     return numbered.join(changes.select(*keys, "ord", "speaker"), [*keys, "ord"])
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], span: float, name: str = "ord") -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "ord") -> DataFrame:
     """0-based position of each row; number first, filter afterwards, to keep the original index."""
-    return along(df, keys, order, span, rank=name)
+    return along(df, keys, order, rank=name)
 
 
 def at_least(start: str, end: str, ms: int) -> Column:

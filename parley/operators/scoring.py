@@ -6,7 +6,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.permute import drawn, permuted
 from ..functions.vectors import bind
+from ..session import cut_lineage
+from .ranks import ranked
 from .replay import map_groups
 from .series import along, differs
 from .skew import salted_join
@@ -77,9 +80,9 @@ def aligned(first: DataFrame, second: DataFrame, keys: list[str], pos: str, labe
     return a.join(b, [*keys, pos], "full")
 
 
-def transition_bias(df: DataFrame, keys: list[str], pos: str, label: str, span: float) -> DataFrame:
+def transition_bias(df: DataFrame, keys: list[str], pos: str, label: str) -> DataFrame:
     """(label changes + 1) / length of each sequence."""
-    seen = along(df.select(*keys, pos, label), keys, [pos], span, lag={"_was": F.struct(label)})
+    seen = along(df.select(*keys, pos, label), keys, [pos], lag={"_was": F.struct(label)})
     change = F.when(F.col("_was").isNotNull() & differs(F.col("_was")[label], F.col(label)), 1).otherwise(0)
     return seen.groupBy(*keys).agg(((F.sum(change) + 1) / F.count(F.lit(1))).alias("bias"), F.count(F.lit(1)).alias("length"))
 
@@ -89,20 +92,20 @@ def merged_bias(biases: DataFrame) -> DataFrame:
     return biases.agg((F.sum(F.col("bias") * F.col("length")) / F.sum("length")).alias("bias"), F.sum("length").alias("length"))
 
 
-def equal_error_rate(df: DataFrame, keys: list[str], truth: str, score: str, span: float) -> DataFrame:
+def equal_error_rate(df: DataFrame, keys: list[str], truth: str, score: str) -> DataFrame:
     """Rate at which false accepts equal false rejects on the interpolated ROC curve, and its threshold.
 
     Equal scores are counted first, so the curve has one point per distinct score and is swept in chunks.
     """
     points = df.groupBy(*keys, (-F.col(score)).alias("_s")).agg(F.sum(truth).alias("_p"), F.sum(1 - F.col(truth)).alias("_q"))
     sizes = df.groupBy(*keys).agg(F.sum(truth).alias("_pos"), F.sum(1 - F.col(truth)).alias("_neg"))
-    curve = along(points, keys, ["_s"], span, total={"_tp": F.col("_p"), "_fp": F.col("_q")})
+    curve = along(points, keys, ["_s"], total={"_tp": F.col("_p"), "_fp": F.col("_q")})
     rates = salted_join(curve, sizes, keys).select(
         *keys, "_s", (F.col("_tp") / F.col("_pos")).alias("tpr"), (F.col("_fp") / F.col("_neg")).alias("fpr"),
         ((F.col("_tp") - F.col("_p")) / F.col("_pos")).alias("tpr0"), ((F.col("_fp") - F.col("_q")) / F.col("_neg")).alias("fpr0"))
     gap0, gap1 = 1 - F.col("fpr0") - F.col("tpr0"), 1 - F.col("fpr") - F.col("tpr")
     part = gap0 / (gap0 - gap1)
-    before = along(rates, keys, ["_s"], span, lag={"_s0": F.col("_s")})
+    before = along(rates, keys, ["_s"], lag={"_s0": F.col("_s")})
     crossing = before.filter((gap0 > 0) & (gap1 <= 0))
     threshold = -(F.coalesce("_s0", "_s") + part * (F.col("_s") - F.coalesce("_s0", "_s")))
     return crossing.select(*keys, (F.col("fpr0") + part * (F.col("fpr") - F.col("fpr0"))).alias("eer"), threshold.alias("threshold"))
@@ -190,22 +193,26 @@ def assembled(sequences: DataFrame, dimension: str = "embedding", seed: int | No
     """Training sequences (sequence_id, pos, embedding, cluster_id) put end to end under labels of their own.
 
     Labels get the sequence id as prefix, so equal names in two sequences stay apart. ``place`` is the order of the
-    whole: by sequence, or by a seeded hash of it. Vectors of unequal length are an error.
+    whole: by sequence, or by a seeded random order of the sequences. Vectors of unequal length are an error.
     """
     sizes = sequences.agg(F.min(F.size(dimension)).alias("lo"), F.max(F.size(dimension)).alias("hi")).first()
     if sizes["lo"] != sizes["hi"]:
         raise ValueError("all vectors must have the same number of elements")
-    drawn = F.col("sequence_id").cast("long") if seed is None else F.xxhash64(F.lit(seed), "sequence_id")
-    lengths = sequences.groupBy("sequence_id").agg(F.count(F.lit(1)).alias("_n")).withColumn("_draw", drawn)
-    laid = along(lengths, [], ["_draw", "sequence_id"], float(2**56) if seed is not None else 65536, total={"_end": F.col("_n")})
+    lengths = sequences.groupBy("sequence_id").agg(F.count(F.lit(1)).alias("_n"))
+    if seed is None:
+        laid = ranked(lengths, ["sequence_id"], "_draw", total={"_end": F.col("_n")})
+    else:
+        numbered = ranked(lengths, ["sequence_id"], "_no", size="_all")
+        shuffled = numbered.withColumn("_draw", permuted(F.col("_no"), F.col("_all"), seed))
+        laid = ranked(shuffled, ["_draw"], "_at", total={"_end": F.col("_n")})
     placed = salted_join(sequences, laid.select("sequence_id", (F.col("_end") - F.col("_n")).alias("_base")), ["sequence_id"])
     label = F.concat_ws("_", F.col("sequence_id").cast("string"), F.col("cluster_id").cast("string"))
     return placed.select((F.col("_base") + F.col("pos")).alias("place"), label.alias("cluster_id"), dimension)
 
 
-def regrouped(df: DataFrame, keys: list[str], pos: str, label: str, span: float) -> DataFrame:
+def regrouped(df: DataFrame, keys: list[str], pos: str, label: str) -> DataFrame:
     """One sub-sequence per label: the place of each row within its label, and the label's length plus one."""
-    ranked = along(df, [*keys, label], [pos], span, rank="place")
+    ranked = along(df, [*keys, label], [pos], rank="place")
     lengths = df.groupBy(*keys, label).agg((F.count(F.lit(1)) + 1).alias("length"))
     return salted_join(ranked, lengths, [*keys, label])
 
@@ -213,16 +220,14 @@ def regrouped(df: DataFrame, keys: list[str], pos: str, label: str, span: float)
 def random_mixes(items: DataFrame, item: str, samples: int, seed: int, least: int = 10, most: int = 19) -> DataFrame:
     """Random training mixes: per sample ``least`` to ``most`` different items, in random order (sample, slot, item).
 
-    Items are numbered; a sample draws numbers by hash, so items and samples meet in an equi-join on the number. The
-    draws are repeatable. Small sets are filled up in order, so a sample never lacks items that exist.
+    Items are numbered, and each sample takes the first places of its own random order of the numbers, so it never draws an
+    item twice and items and samples meet in an equi-join on the number. The draws are repeatable. A sample takes all
+    items if there are fewer.
     """
-    order = F.xxhash64(F.lit(seed), item)
-    numbered = along(items.select(item).withColumn("_h", order), [], ["_h", item], float(2**54), rank="_no").drop("_h")
-    count = items.agg(F.count(F.lit(1)).alias("_n")).first()["_n"]
-    size = F.pmod(F.xxhash64(F.lit(seed), "sample", F.lit("size")), F.lit(most - least + 1)) + least
-    draws = F.array_distinct(F.concat(
-        F.transform(F.sequence(F.lit(0), F.lit(4 * most)), lambda j: F.pmod(F.xxhash64(F.lit(seed), F.col("sample"), j), F.lit(count))),
-        F.sequence(F.lit(0).cast("long"), F.lit(min(most, count) - 1).cast("long"))))
-    wanted = (items.sparkSession.range(samples).withColumnRenamed("id", "sample")
-              .select("sample", F.posexplode(F.slice(draws, F.lit(1), size.cast("int"))).alias("slot", "_no")))
-    return wanted.join(numbered, "_no").drop("_no")
+    numbered = cut_lineage(ranked(items.select(item), [item], "_no"))
+    count = numbered.count()
+    size = F.least(drawn(F.col("sample"), most - least + 1, seed) + least, F.lit(count))
+    slots = F.explode(F.sequence(F.lit(0).cast("long"), size - 1))
+    wanted = (items.sparkSession.range(samples if count else 0).withColumnRenamed("id", "sample").select("sample", slots.alias("slot"))
+              .withColumn("_no", permuted(F.col("slot"), F.lit(count), seed, F.col("sample"))))
+    return wanted.join(numbered, "_no").select("sample", F.col("slot").cast("int").alias("slot"), item)

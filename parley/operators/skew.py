@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-# A lookup table up to this many rows may be broadcast; beyond it the salted join is used.
+# A lookup table up to this many rows and bytes may be broadcast; beyond it the salted join is used.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 SALTS = 16
 
 
@@ -37,7 +38,23 @@ def lookup_join(facts: DataFrame, dim: DataFrame, on: list[str], how: str = "inn
     return salted_join(facts, dim, on, how, by=by)
 
 
-def fits(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``limit`` rows; stops counting after ``limit + 1``."""
-    return df.limit(limit + 1).count() <= limit
-
+def fits(df: DataFrame, limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> bool:
+    """True when ``df`` has at most ``limit`` rows and about ``most`` bytes; stops after ``limit + 1`` rows."""
+    size = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0).cast("long"))
+    rows, total = df.limit(limit + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return rows <= limit and total <= most
+
+
+def _bytes(value: Column, kind: T.DataType) -> Column:
+    """About how many bytes a value takes."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("long") + 16
+    if isinstance(kind, T.ArrayType):
+        each = F.aggregate(value, F.lit(0).cast("long"), lambda s, x: s + _bytes(x, kind.elementType)) if isinstance(
+            kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType)) else F.size(value).cast("long") * 8
+        return F.coalesce(each, F.lit(0).cast("long")) + 16
+    if isinstance(kind, T.StructType):
+        return sum((_bytes(value[f.name], f.dataType) for f in kind.fields), F.lit(8).cast("long"))
+    if isinstance(kind, T.MapType):
+        return _bytes(F.map_values(value), T.ArrayType(kind.valueType)) + _bytes(F.map_keys(value), T.ArrayType(kind.keyType))
+    return F.lit(8).cast("long")

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import faces
+from ..functions.permute import permuted_sql
 from ..operators import features as ft
 from ..operators.intervals import numbered
 from ..operators.series import along
 from . import views as v
 from .registry import query
-from .views import DAY_US, FRAMES, with_views
+from .views import with_views
 
 P = ["person"]
 POSE = """pose AS (SELECT person, frame, frame*333/1000.0 AS timestamp, (event_id % 10)/10.0 AS confidence, mouth AS rx,
@@ -41,7 +42,7 @@ def pose(spark, folder, people=10):
 
 def pose_windows(spark, folder, *columns, people=10):
     kept = ft.confident(pose(spark, folder, people)).select("person", "frame", *columns)
-    return ft.sliding_windows(kept, P, ["frame"], FRAMES)
+    return ft.sliding_windows(kept, P, ["frame"])
 
 
 AXES = {"x": "rx", "y": "ry", "z": "rz"}
@@ -131,7 +132,7 @@ def finite_columns(spark, folder):
 @query(with_views(v.FRM) + """SELECT person, frame, mouth FROM (SELECT *, lag(mouth) OVER (PARTITION BY person ORDER BY frame) AS was
   FROM frm WHERE mouth <> 0) WHERE was IS NULL OR was <> mouth""")
 def changed_values(spark, folder):
-    return ft.changed_values(v.frm(spark, folder, "mouth").select("person", "frame", "mouth"), P, "frame", "mouth", FRAMES)
+    return ft.changed_values(v.frm(spark, folder, "mouth").select("person", "frame", "mouth"), P, "frame", "mouth")
 
 
 @query(with_views(v.FRM) + """SELECT person, frame, round((mouth - avg(mouth) OVER w) / stddev_samp(mouth) OVER w, 6) AS z FROM frm
@@ -145,7 +146,7 @@ def standardised(spark, folder):
   lag(y) OVER w - y AS relative_y, abs(lag(y) OVER w - y) AS absolute_y FROM frm WINDOW w AS (PARTITION BY person ORDER BY frame)""")
 def frame_motion(spark, folder):
     f = v.frm(spark, folder, "x", "y").select("person", "frame", "x", "y")
-    return ft.motion(f, P, "frame", ["x", "y"], FRAMES).drop("x", "y")
+    return ft.motion(f, P, "frame", ["x", "y"]).drop("x", "y")
 
 
 @query(with_views(v.FRM) + """SELECT person, frame, round(CASE WHEN count(*) OVER w < 3 THEN mouth ELSE (coalesce(lag(mouth) OVER o, 0)
@@ -173,7 +174,7 @@ shifted AS (SELECT person, frame, CASE WHEN valid THEN greatest(least(au - coale
 def _shifted(spark, folder):
     au = v.frm(spark, folder, "mouth").select("person", "frame", (F.col("mouth") / 50).alias("raw"),
                                               (F.col("event_id") % 5 != 0).alias("valid"))
-    return ft.baseline_shift(au, P, "raw", "valid", 0.3, 1.0, "au")
+    return ft.baseline_shift(au, P, "raw", "valid", 0.3, "au")
 
 
 @query(with_views(v.FRM, SHIFT) + "SELECT person, frame, round(au, 6) AS au FROM shifted")
@@ -284,7 +285,7 @@ def emotion_of_scores(spark, folder):
   CASE WHEN mouth > 20 THEN prediction ELSE 'Unknown' END AS prediction FROM frm WINDOW w AS (PARTITION BY person ORDER BY frame)""")
 def carry_last_known(spark, folder):
     f = v.frm(spark, folder, "x", "y", "mouth", "prediction").withColumn("seen", F.col("mouth") > 20)
-    return (ft.carry_known(f, P, "frame", FRAMES, ["x", "y"], "seen", "prediction")
+    return (ft.carry_known(f, P, "frame", ["x", "y"], "seen", "prediction")
             .select("person", "frame", "x", "y", "prediction"))
 
 
@@ -295,7 +296,7 @@ isl AS (SELECT person, th, min(frame) AS start, max(frame) AS last, count(*) AS
 SELECT person, start, last, "rows" FROM isl QUALIFY th = max(th) OVER (PARTITION BY person)""")
 def silent_ranges(spark, folder):
     f = v.frm(spark, folder, "mouth").select("person", "frame", (F.log10((F.col("mouth") + 0.01) / 500) * 20).alias("db"))
-    return ft.silent_ranges(f, P, "frame", "db", -40.0, 2, FRAMES)
+    return ft.silent_ranges(f, P, "frame", "db", -40.0, 2)
 
 
 @query(with_views(v.VEC) + """, s AS (SELECT meeting, vec - min(vec) OVER (PARTITION BY meeting) AS pos, count(*) OVER (PARTITION BY meeting) AS n, encoding FROM vec),
@@ -313,15 +314,26 @@ def real_hop_windows(spark, folder):
 b AS (SELECT *, idx - row_number() OVER (PARTITION BY person, label ORDER BY idx) AS g FROM n)
 SELECT person, label, min(idx) AS "from", max(idx) AS "to", count(*) AS size FROM b GROUP BY person, label, g""")
 def index_blocks(spark, folder):
-    n = numbered(v.lab(spark, folder), P, ["t", "event_id"], DAY_US, "idx").select("person", "label", "idx")
-    b = ft.index_blocks(n, ["person", "label"], "idx", "idx", FRAMES)
+    n = numbered(v.lab(spark, folder), P, ["t", "event_id"], "idx").select("person", "label", "idx")
+    b = ft.index_blocks(n, ["person", "label"], "idx", "idx")
     return b.groupBy("person", "label", "block").agg(F.min("idx").alias("from"), F.max("idx").alias("to"),
                                                      F.count(F.lit(1)).alias("size")).drop("block")
 
 
-@query()
+PERMUTED = ("""idx AS (SELECT person, label, row_number() OVER (PARTITION BY person ORDER BY t, event_id) - 1 AS idx FROM lab),
+placed AS (SELECT *, row_number() OVER w - 1 AS "at", idx - row_number() OVER w AS g FROM idx WINDOW w AS (PARTITION BY person, label ORDER BY idx)),
+blk AS (SELECT person, label, idx, "at", dense_rank() OVER (PARTITION BY person, label ORDER BY g) - 1 AS block FROM placed),
+sizes AS (SELECT person, label, block, count(*) AS size, min("at") AS lo FROM blk GROUP BY ALL),
+drawn AS (SELECT *, count(*) OVER (PARTITION BY person, label) AS blocks FROM sizes),
+base AS (SELECT * FROM drawn, (SELECT unnest(range(3))::INT AS sample))""",
+            permuted_sql("base", "block", "blocks", 7, "person * 3 + sample"))
+
+
+@query(with_views(v.LAB, *PERMUTED, recursive=True) + """, laid AS (SELECT person, label, block, sample, lo, (sum(size) OVER (PARTITION BY person, label, sample
+  ORDER BY place) - size)::BIGINT AS base FROM perm)
+SELECT person, label, idx, "at", block, sample, base + "at" - lo AS place FROM blk JOIN laid USING (person, label, block)""")
 def permuted_blocks(spark, folder):
-    n = numbered(v.lab(spark, folder), P, ["t", "event_id"], DAY_US, "idx").select("person", "label", "idx")
-    ranked = along(n, ["person", "label"], ["idx"], FRAMES, rank="at")
-    b = ft.index_blocks(ranked, ["person", "label"], "idx", "idx", FRAMES)
-    return ft.permuted_blocks(b, ["person", "label"], "at", 3, 7)
+    n = numbered(v.lab(spark, folder), P, ["t", "event_id"], "idx").select("person", "label", "idx")
+    ranked = along(n, ["person", "label"], ["idx"], rank="at")
+    b = ft.index_blocks(ranked, ["person", "label"], "idx", "idx")
+    return ft.permuted_blocks(b, ["person", "label"], "at", 3, 7, tweak=F.col("person"))

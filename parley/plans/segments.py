@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions.times import hms, hour_clock, minute_clock
 from ..operators import intervals as iv
+from ..operators.audio import trimmed
 from ..operators.skew import lookup_join
 from ..operators.series import along, differs
 from . import views as v
 from .registry import query
-from .views import DAY_US, FRAMES, HOUR_MS, with_views
+from .views import DAY_MS, HOUR_MS, with_views
 
-DAY_MS = DAY_US // 1000
 
 
 @query(with_views(v.LAB) + """SELECT person, label, start, coalesce(lead(start) OVER (PARTITION BY person ORDER BY run), last_seen) AS "end"
@@ -21,7 +21,7 @@ FROM (SELECT person, run, any_value(label) AS label, min(t) AS start, max(t) AS
     SELECT *, (label IS DISTINCT FROM lag(label) OVER (PARTITION BY person ORDER BY t))::INT AS chg FROM lab))
   GROUP BY person, run)""")
 def run_compaction(spark, folder):
-    return iv.compact_runs(v.lab(spark, folder), ["person"], "t", "label", DAY_US)
+    return iv.compact_runs(v.lab(spark, folder), ["person"], "t", "label")
 
 
 @query(with_views(v.UTT) + """SELECT meeting, arg_min(speaker, ord) AS speaker, min(start_ms) AS start_ms,
@@ -30,7 +30,7 @@ def run_compaction(spark, folder):
     SELECT *, (speaker IS DISTINCT FROM lag(speaker) OVER (PARTITION BY meeting ORDER BY ord))::INT AS chg FROM utt))
   GROUP BY meeting, run""")
 def run_merge(spark, folder):
-    return iv.merge_runs(v.utt(spark, folder), ["meeting"], "ord", "speaker", FRAMES).drop("run")
+    return iv.merge_runs(v.utt(spark, folder), ["meeting"], "ord", "speaker").drop("run")
 
 
 SLICE_MS = 1000 * (1 / 1.2) * (1 - 0.4)
@@ -42,7 +42,7 @@ SLICE_MS = 1000 * (1 / 1.2) * (1 - 0.4)
     SELECT person, label, row_number() OVER (PARTITION BY person ORDER BY t, event_id) - 1 AS i FROM lab))
   GROUP BY person, label, grp""")
 def label_slices(spark, folder):
-    windows = iv.numbered(v.lab(spark, folder), ["person"], ["t", "event_id"], DAY_US, "i")
+    windows = iv.numbered(v.lab(spark, folder), ["person"], ["t", "event_id"], "i")
     return iv.label_slices(windows, ["person"], "i", "label", SLICE_MS)
 
 
@@ -74,14 +74,14 @@ cover AS (SELECT meeting, t AS start_ms, lead(t) OVER w AS end_ms, (sum(d) OVER
 
 @query(with_views(v.SEG, COVER) + "SELECT * FROM cover WHERE active > 0")
 def sweep_overlap(spark, folder):
-    return iv.coverage(v.seg(spark, folder), ["meeting"], DAY_MS)
+    return iv.coverage(v.seg(spark, folder), ["meeting"])
 
 
 @query(with_views(v.SEG) + """SELECT meeting, id, speaker, start_ms, end_ms FROM seg a WHERE NOT EXISTS (
   SELECT 1 FROM seg b WHERE b.meeting = a.meeting AND b.id <> a.id AND b.start_ms <= a.start_ms AND a.end_ms <= b.end_ms)""")
 def drop_contained(spark, folder):
     s = v.seg(spark, folder).select("meeting", "id", "speaker", "start_ms", "end_ms")
-    return iv.without_contained(s, ["meeting"], "id", DAY_MS)
+    return iv.without_contained(s, ["meeting"], "id")
 
 
 # The speech of a meeting with overlaps merged, and the start of each piece when the silence is cut out.
@@ -94,10 +94,10 @@ KEPT = """kept AS (SELECT meeting, start_ms, end_ms, (sum(end_ms - start_ms) OVE
   FROM (SELECT person, frame, person % 10 AS meeting, frame * 1000003 AS cut_ms FROM frm) f
   ASOF JOIN kept k ON f.meeting = k.meeting AND f.cut_ms >= k.cut_start""")
 def offset_map(spark, folder):
-    kept = iv.coverage(v.seg(spark, folder), ["meeting"], DAY_MS).drop("active")
+    kept = iv.coverage(v.seg(spark, folder), ["meeting"]).drop("active")
     times = v.frm(spark, folder).select("person", "frame", (F.col("person") % 10).alias("meeting"),
                                         (F.col("frame") * 1000003).alias("cut_ms"))
-    return iv.original_times(times, kept, ["meeting"], "cut_ms", DAY_MS)
+    return iv.original_times(times, kept, ["meeting"], "cut_ms")
 
 
 @query(with_views(v.SEG, v.FRM) + """SELECT f.person, f.frame, s.start_ms, s.end_ms FROM (
@@ -107,10 +107,10 @@ def offset_map(spark, folder):
   ON s.meeting = f.meeting AND f.t >= s.start_ms AND f.t < s.end_ms""")
 def speech_span(spark, folder):
     points = v.seg(spark, folder).select("meeting", "start_ms").distinct()
-    spans = along(points, ["meeting"], ["start_ms"], DAY_MS, lead={"end_ms": F.col("start_ms")})
+    spans = along(points, ["meeting"], ["start_ms"], lead={"end_ms": F.col("start_ms")})
     times = v.frm(spark, folder).select("person", "frame", (F.col("person") % 10).alias("meeting"),
                                         (F.lit(1704067200000) + F.col("frame") * 37000000).alias("t"))
-    found = iv.asof(times, spans, ["meeting"], "t", "start_ms", DAY_MS, ["start_ms", "end_ms"])
+    found = iv.asof(times, spans, ["meeting"], "t", "start_ms", ["start_ms", "end_ms"])
     return found.filter(F.col("t") < F.col("end_ms")).select("person", "frame", "start_ms", "end_ms")
 
 
@@ -131,8 +131,8 @@ c AS (SELECT person, i, (SELECT count(*) FROM chg WHERE chg.person = n.person AN
 s AS (SELECT *, i - max(greatest(i - c, -1)) OVER (PARTITION BY person ORDER BY i) AS s FROM c)
 SELECT s.person, s.i AS frame, s.s AS ord, chg.speaker FROM s JOIN chg ON chg.person = s.person AND chg.ord = s.s""")
 def centre_labels(spark, folder):
-    n = iv.numbered(v.lab(spark, folder), ["person"], ["t", "event_id"], DAY_US, "frame").select("person", "label", "frame")
-    runs = (along(n, ["person"], ["frame"], FRAMES, runs={"ord": (F.col("label"), differs)}).groupBy("person", "ord")
+    n = iv.numbered(v.lab(spark, folder), ["person"], ["t", "event_id"], "frame").select("person", "label", "frame")
+    runs = (along(n, ["person"], ["frame"], runs={"ord": (F.col("label"), differs)}).groupBy("person", "ord")
             .agg(F.first("label").alias("speaker"), ((F.max("frame") + 1) * 333).alias("change")))
     windows = n.select("person", "frame", (F.col("frame") * 333 + 400).alias("centre"))
     return iv.centre_labels(windows, runs, ["person"], "frame", "centre").select("person", "frame", "ord", "speaker")
@@ -143,7 +143,7 @@ def centre_labels(spark, folder):
   WHERE end_ms - start_ms >= 1000000""")
 def min_duration(spark, folder):
     s = iv.numbered(v.seg(spark, folder).select("meeting", "id", "start_ms", "end_ms"), ["meeting"],
-                    ["start_ms", "id"], DAY_MS)
+                    ["start_ms", "id"])
     return (s.filter(iv.at_least("start_ms", "end_ms", 1_000_000))
             .select("meeting", "id", "ord", (F.col("end_ms") - F.col("start_ms")).alias("ms")))
 
@@ -152,9 +152,9 @@ def min_duration(spark, folder):
   FROM (SELECT *, lead(t) OVER (PARTITION BY person ORDER BY t) AS "end" FROM lab)
   WHERE label = 'click' AND "end" IS NOT NULL""")
 def class_intervals(spark, folder):
-    spans = along(v.lab(spark, folder), ["person"], ["t"], DAY_US, lead={"end": F.col("t")})
+    spans = along(v.lab(spark, folder), ["person"], ["t"], lead={"end": F.col("t")})
     mine = spans.filter((F.col("label") == "click") & F.col("end").isNotNull())
-    return iv.numbered(mine.select("person", F.col("t").alias("start"), "end"), ["person"], ["start"], DAY_US)
+    return iv.numbered(mine.select("person", F.col("t").alias("start"), "end"), ["person"], ["start"])
 
 
 QUIET = """silent AS (SELECT meeting, start_ms, end_ms FROM cover WHERE active > 0),
@@ -168,9 +168,9 @@ timeline AS (SELECT meeting, 'silence' AS kind, start_ms, end_ms FROM silent UNI
 
 def _timeline(spark, folder):
     s = v.seg(spark, folder)
-    silent = iv.coverage(s, ["meeting"], DAY_MS).drop("active")
+    silent = iv.coverage(s, ["meeting"]).drop("active")
     length = s.groupBy("meeting").agg((F.max("end_ms") + HOUR_MS).alias("duration_ms"))
-    return iv.gaps(silent, ["meeting"], DAY_MS, length)
+    return iv.gaps(silent, ["meeting"], length)
 
 
 @query(with_views(v.SEG, COVER, QUIET) + "SELECT * FROM timeline")
@@ -184,7 +184,7 @@ SELECT meeting, coalesce(lag(mid) OVER (PARTITION BY meeting ORDER BY mid), 0)::
 UNION ALL SELECT b.meeting, coalesce(max(mid), 0)::DOUBLE, any_value(duration_ms)::DOUBLE FROM bound b LEFT JOIN mids m
   ON m.meeting = b.meeting GROUP BY b.meeting""")
 def midpoint_split(spark, folder):
-    return iv.midpoint_splits(_timeline(spark, folder), ["meeting"], DAY_MS)
+    return iv.midpoint_splits(_timeline(spark, folder), ["meeting"])
 
 
 @query(with_views(v.SEG) + """SELECT meeting, id % 4 AS mic, start_ms, end_ms, row_number() OVER
@@ -195,8 +195,7 @@ def mic_union(spark, folder):
     union = mics[0]
     for m in mics[1:]:
         union = union.unionByName(m)
-    return (iv.numbered(union.select("meeting", "id", "mic", "start_ms", "end_ms"), ["meeting"], ["start_ms", "id"],
-                        DAY_MS).drop("id"))
+    return (iv.numbered(union.select("meeting", "id", "mic", "start_ms", "end_ms"), ["meeting"], ["start_ms", "id"]).drop("id"))
 
 
 @query(with_views(v.SEG) + """SELECT meeting, id, id % 4 AS mic, start_ms, end_ms FROM seg
@@ -225,6 +224,13 @@ def trim_range(spark, folder):
                     F.least("end_ms", F.lit(hi)).alias("end_ms"))
 
 
+@query(with_views(v.SEG) + """SELECT meeting, id, start_ms - 1704672000000 AS t_ms, value FROM seg
+  WHERE start_ms >= 1704672000000 AND start_ms < 1705276800000""")
+def trimmed_samples(spark, folder):
+    samples = v.seg(spark, folder).select("meeting", "id", F.col("start_ms").alias("t_ms"), "value")
+    return trimmed(samples, 1704672000000, 1705276800000)
+
+
 @query(with_views(v.UTT) + """SELECT meeting, ord,
   printf('%02d:%02d:%02d', (start_ms // 1000 % 86400) // 3600, (start_ms // 1000 % 3600) // 60, start_ms // 1000 % 60) AS hms,
   printf('%d:%02d.%d', start_ms // 60000, start_ms % 60000 // 1000, start_ms % 1000) AS minute_clock,

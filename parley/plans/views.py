@@ -16,9 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import texts
 from ..operators.series import along
 
-DAY_US = 86_400_000_000
+DAY_MS = 86_400_000
 HOUR_MS = 3_600_000
-FRAMES = 65536  # rows of a chunk where the order is a gapless number
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -31,7 +30,7 @@ def utt(spark, folder, text: bool = False) -> DataFrame:
         F.col("conv_id").alias("meeting"), F.col("turn").alias("ord"),
         F.expr("CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END").alias("speaker"),
         *(["text"] if text else []), (F.length("text") * 50).cast("long").alias("_len"))
-    return (along(c, ["meeting"], ["ord"], FRAMES, total={"end_ms": F.col("_len")})
+    return (along(c, ["meeting"], ["ord"], total={"end_ms": F.col("_len")})
             .withColumn("start_ms", F.col("end_ms") - F.col("_len")).drop("_len"))
 
 
@@ -62,7 +61,7 @@ def frm(spark, folder, *columns: str) -> DataFrame:
     """Frames of each person with the wanted columns of ``FRAME_COLUMNS``, and event_id and time_ms."""
     e = _events(spark, folder).select(F.col("user_id").alias("person"), "us", "event_id",
                                       *[F.expr(FRAME_COLUMNS[c]).alias(c) for c in columns])
-    return (along(e, ["person"], ["us", "event_id"], DAY_US, rank="frame").drop("us")
+    return (along(e, ["person"], ["us", "event_id"], rank="frame").drop("us")
             .withColumn("time_ms", F.col("frame") * 333))
 
 
@@ -118,7 +117,7 @@ def box(spark, folder) -> DataFrame:
     rest = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     days = F.expr("timestampdiff(DAY, TIMESTAMP_NTZ'1970-01-01 00:00:00', l_shipdate)")
     rows = raw_boxes(spark, folder, "l_shipdate", *rest).withColumn("day", days)
-    return (along(rows.drop("l_shipdate"), ["person"], ["day", *rest], 365, rank="frame")
+    return (along(rows.drop("l_shipdate"), ["person"], ["day", *rest], rank="frame")
             .select("person", "frame", "top", "right", "bottom", "left"))
 
 
@@ -133,7 +132,10 @@ def documents(spark, folder) -> DataFrame:
 
 
 def sentences(spark, folder) -> DataFrame:
-    return documents(spark, folder).select("doc_id", F.posexplode(F.split("text", "[.\n]")).alias("pos", "sentence"))
+    """Sentences of the documents. Texts are dealt to tasks first: a compressed file is often one scan task, and splitting
+    the texts is the work that all word queries share."""
+    texts_ = documents(spark, folder).select("doc_id", "text").repartition("doc_id")
+    return texts_.select("doc_id", F.posexplode(F.split("text", "[.\n]")).alias("pos", "sentence"))
 
 
 def sent(spark, folder) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import texts
 from ..operators import graph, words as wd
-from ..operators.skew import lookup_join
 from ..session import cut_lineage
 from . import views as v
 from .registry import query
@@ -23,7 +22,7 @@ ranked AS (SELECT word, n AS count, row_number() OVER (ORDER BY n DESC, word) -
 vocab AS (SELECT * FROM ranked WHERE rank < (SELECT n FROM size))"""
 CUT = """cut AS (SELECT doc_id, pos, list(s.word ORDER BY s.word) AS words FROM (SELECT doc_id, pos, unnest(words) AS word FROM sent) s
   JOIN vocab USING (word) GROUP BY ALL)"""
-PAIRS = """tok AS (SELECT doc_id, pos, unnest(words) AS w FROM cut),
+PAIRS = """tok AS (SELECT doc_id, pos, unnest(words) AS w FROM sent),
 pairs AS (SELECT a.w AS word1, b.w AS word2, count(*) AS intersection_count FROM tok a JOIN tok b
   ON a.doc_id = b.doc_id AND a.pos = b.pos AND a.w < b.w GROUP BY ALL),
 member AS (SELECT word, sum(c)::BIGINT AS count FROM (SELECT word1 AS word, intersection_count AS c FROM pairs
@@ -32,23 +31,31 @@ jac AS (SELECT p.*, a.count AS count1, b.count AS count2, a.count + b.count - in
   intersection_count / (a.count + b.count - intersection_count) AS jaccard_coefficient
   FROM pairs p JOIN member a ON a.word = word1 JOIN member b ON b.word = word2)"""
 GROUP = "CASE WHEN jaccard_coefficient < 0.003 THEN 0 WHEN jaccard_coefficient < 0.006 THEN 1 WHEN jaccard_coefficient < 0.009 THEN 2 WHEN jaccard_coefficient < 0.012 THEN 3 ELSE 4 END"
-BASE = (v.SENT, COUNTS, VOCAB, CUT, PAIRS)
+BASE = (v.SENT, PAIRS)
 
 
 def _counts(spark, folder):
     return wd.word_counts(v.sent(spark, folder))
 
 
-def _vocabulary(spark, folder):
-    counts = cut_lineage(_counts(spark, folder))
+def _words(spark, folder):
+    """The sentences' words, split once, and how many sentences hold each word."""
+    sent = cut_lineage(v.sent(spark, folder))
+    return sent, cut_lineage(wd.word_counts(sent))
+
+
+def _vocabulary(counts):
+    """The reported vocabulary: the rarest counts are cut."""
     size = wd.vocabulary_size(wd.count_spectrum(counts), SPECTRUM_ROW)
     return cut_lineage(wd.ranked_words(counts, size))
 
 
 def _pairs(spark, folder):
-    vocabulary = _vocabulary(spark, folder)
-    coded = wd.coded_sentences(v.sent(spark, folder), KEYS, vocabulary)
-    return wd.named_pairs(wd.jaccard(cut_lineage(wd.pair_counts(coded))), vocabulary)
+    """All pairs of words of a sentence; no word is cut."""
+    sent, counts = _words(spark, folder)
+    codes = cut_lineage(wd.ranked_words(counts))
+    coded = wd.coded_sentences(sent, KEYS, codes)
+    return wd.named_pairs(wd.jaccard(cut_lineage(wd.pair_counts(coded))), codes)
 
 
 @query(with_views(v.SENT, COUNTS) + "SELECT word, n AS count FROM cnt")
@@ -69,23 +76,25 @@ def count_spectrum(spark, folder):
 
 @query(with_views(v.SENT, COUNTS, VOCAB) + "SELECT word, count, rank FROM vocab")
 def vocabulary(spark, folder):
-    return _vocabulary(spark, folder)
+    return _vocabulary(_words(spark, folder)[1])
 
 
 @query(with_views(v.SENT, COUNTS, VOCAB) + "SELECT doc_id, pos, rank FROM (SELECT doc_id, pos, unnest(words) AS word FROM sent) JOIN vocab USING (word)")
 def bag_of_words(spark, folder):
-    return wd.bag_of_words(v.sent(spark, folder), KEYS, _vocabulary(spark, folder))
+    sent, counts = _words(spark, folder)
+    return wd.bag_of_words(sent, KEYS, _vocabulary(counts))
 
 
 @query(with_views(v.SENT, COUNTS, VOCAB) + "SELECT doc_id, pos, rank FROM (SELECT doc_id, pos, unnest(words) AS word FROM sent) JOIN vocab USING (word) WHERE rank > 0")
 def bag_of_words_without_top(spark, folder):
-    vocabulary = _vocabulary(spark, folder).filter("rank > 0")
-    return wd.bag_of_words(v.sent(spark, folder), KEYS, vocabulary)
+    sent, counts = _words(spark, folder)
+    return wd.bag_of_words(sent, KEYS, _vocabulary(counts).filter("rank > 0"))
 
 
 @query(with_views(v.SENT, COUNTS, VOCAB, CUT) + "SELECT doc_id, pos, array_to_string(words, ',') AS line FROM cut")
 def cut_sentences(spark, folder):
-    cut = wd.cut_sentences(v.sent(spark, folder), KEYS, _vocabulary(spark, folder))
+    sent, counts = _words(spark, folder)
+    cut = wd.cut_sentences(sent, KEYS, _vocabulary(counts))
     return cut.select(*KEYS, F.array_join("words", ",").alias("line"))
 
 
@@ -183,5 +192,5 @@ def missing_labels(spark, folder):
     from ..operators.sets import missing
 
     d = v.table(spark, folder, "documents")
-    labels = [r["lang"] for r in d.select("lang").distinct().orderBy("lang").collect()]
-    return missing(d.select("doc_id", F.col("lang").alias("label")), ["doc_id"], "label", labels).withColumn("n", F.lit(1).cast("long"))
+    d = d.select("doc_id", F.col("lang").alias("label"))
+    return missing(d, ["doc_id"], "label", d.filter(F.col("label").isNotNull())).withColumn("n", F.lit(1).cast("long"))

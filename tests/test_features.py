@@ -24,14 +24,14 @@ def test_finite(spark):
 @pytest.mark.parametrize("n, windows", [(31, 0), (32, 0), (48, 1), (64, 2), (79, 2)])
 def test_last_full_window_is_left_out(spark, n, windows):
     df = spark.range(n).select(F.lit(0).alias("p"), (F.col("id") * 3).alias("f"))
-    out = ft.sliding_windows(df, P, ["f"], 50).groupBy("win").agg(F.count("*").alias("n"), F.min("f").alias("lo"))
+    out = ft.sliding_windows(df, P, ["f"]).groupBy("win").agg(F.count("*").alias("n"), F.min("f").alias("lo"))
     assert rows(out, "win") == [(w, 32, w * 48) for w in range(windows)]
 
 
 def test_window_statistics(spark):
     x = np.random.default_rng(0).normal(size=48)
     df = spark.createDataFrame([(0, i, float(v), 1.0) for i, v in enumerate(x)], "p int, f long, x double, c double")
-    r = ft.window_statistics(ft.sliding_windows(df, P, ["f"], 10), P, {"x": "x", "c": "c"}, "f").first()
+    r = ft.window_statistics(ft.sliding_windows(df, P, ["f"]), P, {"x": "x", "c": "c"}, "f").first()
     w = x[:32]
     d = w - w.mean()
     scaled = (w - w.min()) / (w.max() - w.min())
@@ -64,19 +64,19 @@ def test_smoothing_leaves_the_ends(spark):
 
 def test_baseline_shift(spark):
     data = [(0, i, float(v), ok) for i, (v, ok) in enumerate([(1, True), (9, True), (2, True), (2, False), (3, True)])]
-    out = ft.baseline_shift(spark.createDataFrame(data, "p int, i long, v double, ok boolean"), P, "v", "ok", 0.3, 1.0, "s")
+    out = ft.baseline_shift(spark.createDataFrame(data, "p int, i long, v double, ok boolean"), P, "v", "ok", 0.3, "s")
     assert [r.s for r in out.orderBy("i").collect()] == [0.0, 5.0, 0.0, 0.0, 1.0]  # base is the value at rank 1: 2
 
 
 @pytest.mark.parametrize("values", [[1, 1, 1, 9], [5], [1, 2, 3, 4, 100], [2, 2]])
 def test_medians(spark, values):
     df = spark.createDataFrame([(0, float(v)) for v in values], "p int, v double")
-    assert ft.medians(df, P, ["v"], 3).first().v == np.median(values)
+    assert ft.medians(df, P, ["v"]).first().v == np.median(values)
 
 
 def test_interpolation_cuts_to_pixels_and_drops_ghosts(spark):
     df = spark.createDataFrame([(0, 1, 10, 0, 0, 0), (0, 4, 20, 0, 0, -5), (1, 2, 1, 1, 1, 1)], "p int, frame long, top int, right int, bottom int, left int")
-    out = ft.interpolate_boxes(df, P, spark.createDataFrame([(0, 6), (1, 6)], "p int, n long"), span=2)
+    out = ft.interpolate_boxes(df, P, spark.createDataFrame([(0, 6), (1, 6)], "p int, n long"))
     assert [(r.frame, r.top, r.left, r.is_detected) for r in out.orderBy("frame").collect()] == [
         (0, None, None, False), (1, 10, 0, True), (2, 13, -1, False), (3, 16, -3, False), (4, 20, -5, True), (5, None, None, False)]
     assert {r.p for r in out.collect()} == {0}
@@ -84,12 +84,12 @@ def test_interpolation_cuts_to_pixels_and_drops_ghosts(spark):
 
 def test_silent_ranges(spark):
     df = spark.createDataFrame([(0, i, float(v)) for i, v in enumerate([-50, -50, -10, -50, -50, -50])], "p int, i long, db double")
-    assert rows(ft.silent_ranges(df, P, "i", "db", -40.0, 3, 2)) == [(0, 3, 5, 3)]
+    assert rows(ft.silent_ranges(df, P, "i", "db", -40.0, 3)) == [(0, 3, 5, 3)]
 
 
 def test_blocks_and_permutations(spark):
     df = spark.createDataFrame([(0, i, v) for i, v in enumerate([5, 2, 3, 2, 1])], "p int, i long, idx long")
-    blocks = ft.index_blocks(df, P, "i", "idx", 2)
+    blocks = ft.index_blocks(df, P, "i", "idx")
     assert [r.block for r in blocks.orderBy("i").collect()] == [0, 1, 1, 2, 3]
     out = ft.permuted_blocks(blocks, P, "i", 10, 1).collect()
     orders = set()
@@ -104,4 +104,4 @@ def test_blocks_and_permutations(spark):
 
 def test_carry_known(spark):
     df = spark.createDataFrame([(0, 0, 1, False, "a"), (0, 1, 2, True, "b"), (0, 2, 3, False, "c")], "p int, f long, x int, seen boolean, label string")
-    assert rows(ft.carry_known(df, P, "f", 1, ["x"], "seen", "label").select("f", "x", "label"), "f") == [(0, None, "Unknown"), (1, 2, "b"), (2, 2, "Unknown")]
+    assert rows(ft.carry_known(df, P, "f", ["x"], "seen", "label").select("f", "x", "label"), "f") == [(0, None, "Unknown"), (1, 2, "b"), (2, 2, "Unknown")]

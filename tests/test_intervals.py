@@ -16,12 +16,12 @@ def random_intervals(n, seed, top=100):
 
 def test_run_compaction_last_change_gives_an_empty_run(spark):
     df = spark.createDataFrame([(0, 1, "a"), (0, 2, "a"), (0, 5, "b"), (0, 6, "a")], "k long, t long, l string")
-    assert rows(iv.compact_runs(df, ["k"], "t", "l", 2), "start") == [(0, "a", 1, 5), (0, "b", 5, 6), (0, "a", 6, 6)]
+    assert rows(iv.compact_runs(df, ["k"], "t", "l"), "start") == [(0, "a", 1, 5), (0, "b", 5, 6), (0, "a", 6, 6)]
 
 
 def test_run_merge_absorbs_gaps(spark):
     df = spark.createDataFrame([(0, 0, 1, 0, 5), (0, 1, 1, 9, 12), (0, 2, 2, 12, 13), (0, 3, 1, 20, 21)], "k long, o long, s int, start_ms long, end_ms long")
-    out = iv.merge_runs(df, ["k"], "o", "s", 1)
+    out = iv.merge_runs(df, ["k"], "o", "s")
     assert rows(out.drop("run"), "start_ms") == [(0, 1, 0, 12, 2), (0, 2, 12, 13, 1), (0, 1, 20, 21, 1)]
 
 
@@ -42,7 +42,7 @@ def test_points_without_interval_are_kept_on_request(spark):
 
 def test_coverage(spark):
     data = random_intervals(25, 2)
-    out = iv.coverage(spark.createDataFrame(data, I), ["k"], 13)
+    out = iv.coverage(spark.createDataFrame(data, I), ["k"])
     for k in (0, 1):
         mine = [(s, e) for j, _, s, e in data if j == k and e > s]
         cover = {t: sum(s <= t < e for s, e in mine) for t in range(140)}
@@ -52,7 +52,7 @@ def test_coverage(spark):
 
 def test_contained_intervals_and_equal_ones_go(spark):
     data = random_intervals(40, 3, 60) + [(0, 900, 500, 510), (0, 901, 500, 510), (0, 902, 600, 610)]
-    out = iv.without_contained(spark.createDataFrame(data, I), ["k"], "id", 11)
+    out = iv.without_contained(spark.createDataFrame(data, I), ["k"], "id")
     want = [a[1] for a in data if not any(b[0] == a[0] and b[1] != a[1] and b[2] <= a[2] and a[3] <= b[3] for b in data)]
     assert sorted(r.id for r in out.collect()) == sorted(want) and 902 in want and 900 not in want
 
@@ -60,7 +60,7 @@ def test_contained_intervals_and_equal_ones_go(spark):
 def test_gaps_none_and_all_silent(spark):
     silent = spark.createDataFrame([(0, 2, 4), (0, 7, 10), (1, 0, 10)], "k long, start_ms long, end_ms long")
     length = spark.createDataFrame([(0, 10), (1, 10), (2, 10)], "k long, duration_ms long")
-    assert rows(iv.gaps(silent, ["k"], 3, length), "k", "start_ms") == [
+    assert rows(iv.gaps(silent, ["k"], length), "k", "start_ms") == [
         (0, "nonsilence", 0, 2), (0, "silence", 2, 4), (0, "nonsilence", 4, 7), (0, "silence", 7, 10),
         (1, "silence", 0, 10), (2, "nonsilence", 0, 10)]
 
@@ -68,14 +68,14 @@ def test_gaps_none_and_all_silent(spark):
 def test_offset_map_start_and_end_traps(spark):
     kept = spark.createDataFrame([(0, 100, 110), (0, 200, 220)], "k long, start_ms long, end_ms long")
     times = spark.createDataFrame([(0, t) for t in (0, 9, 10, 29, 30)], "k long, t long")
-    assert rows(iv.original_times(times, kept, ["k"], "t", 5), "t") == [(0, 0, 100), (0, 9, 109), (0, 10, 200), (0, 29, 219), (0, 30, 220)]
+    assert rows(iv.original_times(times, kept, ["k"], "t"), "t") == [(0, 0, 100), (0, 9, 109), (0, 10, 200), (0, 29, 219), (0, 30, 220)]
 
 
 def test_centre_labels_advance_one_per_window(spark):
     changes = [(0, 0, 10, "a"), (0, 1, 11, "b"), (0, 2, 12, "c"), (0, 3, 99, "d")]
     centres = [3, 20, 21, 22, 23]
     out = iv.centre_labels(spark.createDataFrame([(0, i, c) for i, c in enumerate(centres)], "k long, i long, c long"),
-                           spark.createDataFrame(changes, "k long, ord long, change long, speaker string"), ["k"], "i", "c", 2)
+                           spark.createDataFrame(changes, "k long, ord long, change long, speaker string"), ["k"], "i", "c")
     assert [r.speaker for r in out.orderBy("i").collect()] == ["a", "b", "c", "d", "d"]
 
 
@@ -88,5 +88,5 @@ def test_unknown_ends(spark):
 def test_asof_strict(spark):
     left = spark.createDataFrame([(0, 5), (0, 4)], "k long, t long")
     right = spark.createDataFrame([(0, 5, "x"), (0, 1, "w")], "k long, u long, v string")
-    assert rows(iv.asof(left, right, ["k"], "t", "u", 2, ["v"]), "t") == [(0, 4, "w"), (0, 5, "x")]
-    assert rows(iv.asof(left, right, ["k"], "t", "u", 2, ["v"], strict=True), "t") == [(0, 4, "w"), (0, 5, "w")]
+    assert rows(iv.asof(left, right, ["k"], "t", "u", ["v"]), "t") == [(0, 4, "w"), (0, 5, "x")]
+    assert rows(iv.asof(left, right, ["k"], "t", "u", ["v"], strict=True), "t") == [(0, 4, "w"), (0, 5, "w")]

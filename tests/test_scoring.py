@@ -69,13 +69,13 @@ def test_transcript_errors_and_distance(spark):
 
 def test_equal_error_rate(spark):
     data = [(0, 1, 0.9), (0, 1, 0.8), (0, 0, 0.7), (0, 1, 0.6), (0, 0, 0.5), (0, 0, 0.4)]
-    r = sc.equal_error_rate(spark.createDataFrame(data, "k long, y int, s double"), ["k"], "y", "s", 0.3).first()
+    r = sc.equal_error_rate(spark.createDataFrame(data, "k long, y int, s double"), ["k"], "y", "s").first()
     assert r.eer == pytest.approx(1 / 3) and r.threshold == pytest.approx(0.7)
 
 
 def test_transition_bias(spark):
     df = spark.createDataFrame([(0, 0, "a"), (0, 1, "a"), (0, 2, "b"), (1, 0, "a")], "k long, pos long, l string")
-    b = sc.transition_bias(df, ["k"], "pos", "l", 2)
+    b = sc.transition_bias(df, ["k"], "pos", "l")
     assert rows(b, "k") == [(0, pytest.approx(2 / 3), 3), (1, 1.0, 1)]
     assert sc.merged_bias(b).first().bias == pytest.approx(3 / 4)
 
@@ -102,7 +102,7 @@ def test_unequal_vectors_are_an_error(spark):
 
 def test_regrouped(spark):
     df = spark.createDataFrame([(0, 0, 1), (0, 1, 2), (0, 2, 1)], "k long, pos long, label int")
-    assert rows(sc.regrouped(df, ["k"], "pos", "label", 2), "pos") == [(0, 1, 0, 0, 3), (0, 2, 1, 0, 2), (0, 1, 2, 1, 3)]
+    assert rows(sc.regrouped(df, ["k"], "pos", "label"), "pos") == [(0, 1, 0, 0, 3), (0, 2, 1, 0, 2), (0, 1, 2, 1, 3)]
 
 
 def test_random_mixes(spark):

@@ -34,3 +34,10 @@ def test_hot_key_is_spread(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", True)
     assert len(sizes) > 1 and sum(r["count"] for r in sizes) == 4000
+
+
+def test_a_table_fits_by_rows_and_bytes(spark):
+    df = spark.range(10).selectExpr("id", "repeat('x', 1000) AS s").selectExpr("*", "array(s, s) AS a", "struct(id AS i, s AS t) AS u", "array(id) AS n")
+    assert fits(df, 10) and not fits(df, 9)
+    assert fits(df, 10, 45_000) and not fits(df, 10, 39_000)
+    assert fits(df.limit(0), 0)
