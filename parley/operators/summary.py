@@ -5,27 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.faces import EMOTIONS
-from .intervals import points_in_intervals
+from .intervals import asof, points_in_intervals
 from .series import along
+from .skew import salted_join
 
 
-def rising_edges(df: DataFrame, keys: list[str], order: list[str], flag: str, span: float) -> DataFrame:
+def rising_edges(df: DataFrame, keys: list[str], order: list[str], flag: str) -> DataFrame:
     """Number of times a 0/1 flag turns 1 per key; a leading 1 counts."""
-    before = along(df.select(*keys, *order, flag), keys, order, span, lag={"_before": F.col(flag)})
+    before = along(df.select(*keys, *order, flag), keys, order, lag={"_before": F.col(flag)})
     up = (F.col(flag) == 1) & (F.coalesce("_before", F.lit(0)) == 0)
     return before.groupBy(*keys).agg(F.sum(F.when(up, 1).otherwise(0)).alias("nods"))
 
 
-def speaker_turns(utterances: DataFrame, span: float) -> DataFrame:
+def speaker_turns(utterances: DataFrame) -> DataFrame:
     """Utterances (runs of the same speaker count once) and speech seconds per meeting and speaker."""
-    told = along(utterances.select("meeting", "ord", "speaker", "start_ms", "end_ms"), ["meeting"], ["ord"], span,
+    told = along(utterances.select("meeting", "ord", "speaker", "start_ms", "end_ms"), ["meeting"], ["ord"],
                  lag={"_prev": F.col("speaker")})
     turn = F.when(F.col("_prev").eqNullSafe(F.col("speaker")), 0).otherwise(1)
     return told.groupBy("meeting", "speaker").agg(
         F.sum(turn).alias("utterances"), (F.sum(F.col("end_ms") - F.col("start_ms")) / 1000).alias("speech_s"))
 
 
-def speaker_summary(utterances: DataFrame, nods: DataFrame, silence: DataFrame, speakers: int, span: float) -> DataFrame:
+def speaker_summary(utterances: DataFrame, nods: DataFrame, silence: DataFrame, speakers: int) -> DataFrame:
     """One row per meeting and speaker 0..n-1, zero-filled; density and occupancy are NULL where undefined.
 
     Occupancy is the share of the speech of these speakers; others, such as unknown ones, do not count.
@@ -33,7 +34,7 @@ def speaker_summary(utterances: DataFrame, nods: DataFrame, silence: DataFrame,
     ``nods`` holds (meeting, speaker, nods), ``silence`` holds (meeting, speaker, start_ms, end_ms).
     """
     on = ["meeting", "speaker"]
-    told = along(utterances.select(*on, "ord", "start_ms", "end_ms"), ["meeting"], ["ord"], span,
+    told = along(utterances.select(*on, "ord", "start_ms", "end_ms"), ["meeting"], ["ord"],
                  lag={"_prev": F.col("speaker")})
     # All four inputs are stacked and added up together: one shuffle instead of a join for each.
     parts = [
@@ -69,9 +70,9 @@ def meeting_totals(summary: DataFrame, frames: DataFrame) -> DataFrame:
     return sums.join(shares, "meeting", "left")
 
 
-def coarse_summary(segments: DataFrame, nods: DataFrame, span: float) -> DataFrame:
+def coarse_summary(segments: DataFrame, nods: DataFrame) -> DataFrame:
     """The older summary: everything cut to whole numbers, the unknown speaker -1 counts in the whole but has no row."""
-    turns = speaker_turns(segments, span)
+    turns = speaker_turns(segments)
     whole = F.sum("speech_s").over(Window.partitionBy("meeting"))
     rows = turns.withColumn("_whole", whole).filter("speaker >= 0").join(nods, ["meeting", "speaker"], "left")
     cut = lambda c: F.floor(c).cast("long")
@@ -87,49 +88,64 @@ def count_of(column: str, value: str) -> Column:
 
 def emotion_shares(frames: DataFrame, keys: list[str]) -> DataFrame:
     """Share of every emotion among the frames of each key."""
-    counts = frames.groupBy(*keys).agg(*[count_of("prediction", e).alias(e) for e in EMOTIONS])
+    return _shares(frames.groupBy(*keys).agg(*[count_of("prediction", e).alias(e) for e in EMOTIONS]), keys)
+
+
+def _shares(counts: DataFrame, keys: list[str]) -> DataFrame:
     every = sum((F.col(e) for e in EMOTIONS[1:]), F.col(EMOTIONS[0]))
     return counts.select(*keys, *[F.try_divide(F.col(e), every).alias(e.lower()) for e in EMOTIONS])
 
 
 def mean_shares(shares: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean of the persons' shares; persons without frames do not count."""
+    """Mean of the persons' shares; persons without frames do not count, and without any the mean is NULL."""
     return shares.groupBy(*keys).agg(*[F.avg(e.lower()).alias(e.lower()) for e in EMOTIONS])
 
 
-def emotions_in_utterances(frames: DataFrame, utterances: DataFrame, width: float, by: list[str]) -> DataFrame:
-    """Emotion shares per utterance (both ends included) and ``by``, for persons seen in it."""
-    found = points_in_intervals(frames, utterances.select("meeting", "ord", "start_ms", "end_ms"), ["meeting"], "time_ms",
-                                width, closed=True)
-    return emotion_shares(found, ["meeting", "ord", *by])
+def span_grid(frames: DataFrame, utterances: DataFrame, width: float, closed: bool) -> DataFrame:
+    """Label counts of every person of a meeting in every utterance, zeros included: (meeting, ord, person, labels).
+
+    The roster of a meeting is everyone who has a frame in it. Rows of zeros come from the roster and the spans, which are
+    the small sides, and are added to the counts, so the frames are read once and a person without frames in a span has a row.
+    """
+    spans = utterances.select("meeting", "ord", "start_ms", "end_ms")
+    found = points_in_intervals(frames, spans, ["meeting"], "time_ms", width, closed=closed)
+    counts = found.groupBy("meeting", "ord", "person").agg(*[count_of("prediction", e).alias(e) for e in EMOTIONS])
+    roster = frames.select("meeting", "person").distinct()
+    blank = salted_join(spans.select("meeting", "ord"), roster, ["meeting"]).select(
+        "meeting", "ord", "person", *[F.lit(0).cast("long").alias(e) for e in EMOTIONS])
+    return counts.unionByName(blank).groupBy("meeting", "ord", "person").agg(*[F.sum(e).alias(e) for e in EMOTIONS])
+
+
+def emotions_in_utterances(frames: DataFrame, utterances: DataFrame, width: float) -> DataFrame:
+    """Emotion shares of every person of a meeting per utterance (both ends included); NULL for a person without frames in it."""
+    return _shares(span_grid(frames, utterances, width, closed=True), ["meeting", "ord", "person"])
 
 
 def emotion_counts(frames: DataFrame, utterances: DataFrame, width: float) -> DataFrame:
-    """Label counts of a person in each span, and up to its end; every label has a row in a span the person is in."""
-    found = points_in_intervals(frames, utterances.select("meeting", "ord", "start_ms", "end_ms"), ["meeting"], "time_ms", width)
-    counts = found.groupBy("meeting", "person", "ord").agg(*[count_of("prediction", e).alias(e) for e in EMOTIONS])
-    swept = along(counts, ["meeting", "person"], ["ord"], 65536, total={f"_{e}": F.col(e) for e in EMOTIONS})
+    """Label counts of every person of a meeting in each span, and up to its end; every label has a row."""
+    counts = span_grid(frames, utterances, width, closed=False)
+    swept = along(counts, ["meeting", "person"], ["ord"], total={f"_{e}": F.col(e) for e in EMOTIONS})
     return swept.select("meeting", "person", "ord", F.explode(F.array(*[
         F.struct(F.lit(e).alias("label"), F.col(e).alias("current"), F.col(f"_{e}").alias("cumulative"))
         for e in EMOTIONS])).alias("_e")).select("meeting", "person", "ord", "_e.*")
 
 
-def turn_changes(utterances: DataFrame, span: float) -> DataFrame:
+def turn_changes(utterances: DataFrame) -> DataFrame:
     """Every change of speaker as (meeting, ord, start_ms, src, dst)."""
-    told = along(utterances.select("meeting", "ord", "speaker", "start_ms"), ["meeting"], ["ord"], span,
+    told = along(utterances.select("meeting", "ord", "speaker", "start_ms"), ["meeting"], ["ord"],
                  lag={"src": F.col("speaker")})
     return told.filter(F.col("src") != F.col("speaker")).withColumnRenamed("speaker", "dst")
 
 
-def direction_graph(utterances: DataFrame, span: float) -> DataFrame:
+def direction_graph(utterances: DataFrame) -> DataFrame:
     """Speaker changes counted per direction, with each edge's share of its meeting."""
-    edges = turn_changes(utterances, span).groupBy("meeting", "src", "dst").agg(F.count(F.lit(1)).alias("weight"))
+    edges = turn_changes(utterances).groupBy("meeting", "src", "dst").agg(F.count(F.lit(1)).alias("weight"))
     return edges.withColumn("share", F.col("weight") / F.sum("weight").over(Window.partitionBy("meeting")))
 
 
-def transition_matrix(utterances: DataFrame, until_ms: int, speakers: int, span: float) -> DataFrame:
+def transition_matrix(utterances: DataFrame, until_ms: int, speakers: int) -> DataFrame:
     """Speaker changes up to a time: one row per next speaker, one column per previous one; -1 is left out."""
-    seen = turn_changes(utterances, span).filter(
+    seen = turn_changes(utterances).filter(
         (F.col("start_ms") <= until_ms) & (F.col("src") >= 0) & (F.col("dst") >= 0))
     return seen.groupBy("meeting", "dst").agg(*[F.sum(F.when(F.col("src") == s, 1).otherwise(0)).alias(f"from_{s}")
                                                 for s in range(speakers)])
@@ -140,19 +156,30 @@ def out_degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy("meeting", "src").agg(F.sum("weight").alias("out_degree"))
 
 
-def loudest_mic(samples: DataFrame, segments: DataFrame, keys: list[str], width: float, full_scale: float) -> DataFrame:
+def loudest_mic(samples: DataFrame, segments: DataFrame, keys: list[str], full_scale: float) -> DataFrame:
     """dBFS of every mic inside each segment and the loudest one; the lowest mic wins a tie.
 
-    ``samples`` holds (keys, mic, t_ms, amplitude); a mic without samples in a segment has no say.
+    ``samples`` holds (keys, mic, t_ms, amplitude); a mic without samples in a segment has no say. The energy of a segment
+    is the difference of two running sums, looked up at its start and its end, so a sample is read once however many
+    segments hold it. The sums are decimals, so the differences are exact to the energy's tenth decimal.
     """
-    inside = points_in_intervals(samples, segments, keys, "t_ms", width)
-    level = F.log10(F.sqrt(F.avg(F.col("amplitude") * F.col("amplitude"))) / full_scale) * 20
-    mics = inside.groupBy(*keys, "id", "start_ms", "end_ms", "mic").agg(level.alias("dbfs"))
-    return mics.groupBy(*keys, "id", "start_ms", "end_ms").agg(
-        F.max_by("mic", F.struct("dbfs", -F.col("mic"))).alias("mic"), F.max("dbfs").alias("dbfs"))
-
-
-def match_faces(frames: DataFrame, segments: DataFrame, span: float, width: float, threshold: float = 0.0) -> DataFrame:
+    line = [*keys, "mic"]
+    energy = (F.col("amplitude") * F.col("amplitude")).cast("decimal(38,10)")
+    levels = samples.groupBy(*line, "t_ms").agg(F.sum(energy).alias("e"), F.count(energy).alias("n"))
+    upto = along(levels, line, ["t_ms"], total={"_e": F.col("e"), "_n": F.col("n")}).select(*line, "t_ms", "_e", "_n")
+    asked = salted_join(segments, samples.select(*line).distinct(), keys)
+    edges = asked
+    for name, time in (("0", "start_ms"), ("1", "end_ms")):
+        edges = asof(edges, upto, line, time, "t_ms", ["_e", "_n"], strict=True).withColumnsRenamed({"_e": f"_e{name}", "_n": f"_n{name}"})
+    n = F.col("_n1") - F.coalesce("_n0", F.lit(0))
+    inside = edges.withColumn("_n", n).filter("_n > 0")
+    mean = (F.col("_e1") - F.coalesce("_e0", F.lit(0).cast("decimal(38,10)"))).cast("double") / F.col("_n")
+    level = F.log10(F.sqrt(mean) / full_scale) * 20
+    return inside.groupBy(*keys, "id", "start_ms", "end_ms").agg(
+        F.max_by("mic", F.struct(level.alias("dbfs"), -F.col("mic"))).alias("mic"), F.max(level).alias("dbfs"))
+
+
+def match_faces(frames: DataFrame, segments: DataFrame, width: float, threshold: float = 0.0) -> DataFrame:
     """Which face belongs to which speaker, from mouth movement while the speaker talks.
 
     Per face the mouth values under any speaker lose zeros and repeats and are standardised; the score of a speaker is
@@ -163,9 +190,9 @@ def match_faces(frames: DataFrame, segments: DataFrame, span: float, width: floa
     joined = points_in_intervals(frames, segments, ["meeting"], "time_ms", width)
     face = ["meeting", "person"]
     moved = along(joined.filter(F.col("mouth") != 0).select(*face, "frame", "speaker", "mouth"), face,
-                  ["frame", "speaker"], span, lag={"_was": F.col("mouth")})
+                  ["frame", "speaker"], lag={"_was": F.col("mouth")})
     moved = moved.filter(F.col("_was").isNull() | (F.col("_was") != F.col("mouth"))).drop("_was")
-    steps = along(moved, [*face, "speaker"], ["frame"], span, lag={"_m": F.col("mouth")})
+    steps = along(moved, [*face, "speaker"], ["frame"], lag={"_m": F.col("mouth")})
     parts = steps.groupBy(*face, "speaker").agg(
         F.count(F.lit(1)).alias("_n"), F.avg("mouth").alias("_avg"), F.var_pop("mouth").alias("_var"),
         F.avg(F.abs(F.col("mouth") - F.col("_m"))).alias("_step"))

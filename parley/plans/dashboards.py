@@ -9,7 +9,7 @@ from ..operators.series import along
 from ..operators.skew import salted_join
 from . import views as v
 from .registry import query
-from .views import DAY_US, FRAMES, HOUR_MS, with_views
+from .views import with_views
 
 MINUTE = 60_000
 
@@ -33,18 +33,18 @@ SUMMARY = """summary AS (SELECT s.meeting, s.speaker, coalesce(utterances, 0) AS
 def _nods(spark, folder):
     e = v._events(spark, folder).select((F.col("user_id") % 100).alias("meeting"), (F.col("user_id") % 3).cast("int").alias("speaker"),
                                         F.col("user_id").alias("person"), "us", "event_id", (F.col("value") > 50).cast("int").alias("gesture"))
-    up = sm.rising_edges(e, ["meeting", "speaker", "person"], ["us", "event_id"], "gesture", DAY_US)
+    up = sm.rising_edges(e, ["meeting", "speaker", "person"], ["us", "event_id"], "gesture")
     return up.groupBy("meeting", "speaker").agg(F.sum("nods").alias("nods"))
 
 
 def _silence(spark, folder):
-    told = along(v.utt(spark, folder), ["meeting", "speaker"], ["ord"], FRAMES, lag={"_end": F.col("end_ms")})
+    told = along(v.utt(spark, folder), ["meeting", "speaker"], ["ord"], lag={"_end": F.col("end_ms")})
     return (told.filter(F.col("start_ms") - F.col("_end") >= 3000)
             .select("meeting", "speaker", F.col("_end").alias("start_ms"), F.col("start_ms").alias("end_ms")))
 
 
 def _summary(spark, folder):
-    return sm.speaker_summary(v.utt(spark, folder), _nods(spark, folder), _silence(spark, folder), 3, FRAMES)
+    return sm.speaker_summary(v.utt(spark, folder), _nods(spark, folder), _silence(spark, folder), 3)
 
 
 @query(with_views(v.UTT, v.FRM, TURNS, NODS, QUIET, SUMMARY) + """SELECT meeting, speaker, utterances, speech_s::DOUBLE AS speech_s,
@@ -75,15 +75,15 @@ OLD = v.UTT.replace("ELSE 2 END", "ELSE -1 END")
   LEFT JOIN nods USING (meeting, speaker) WHERE speaker >= 0""")
 def coarse_summary(spark, folder):
     old = v.utt(spark, folder).withColumn("speaker", F.when(F.col("speaker") == 2, -1).otherwise(F.col("speaker")))
-    return sm.coarse_summary(old, _nods(spark, folder), FRAMES)
+    return sm.coarse_summary(old, _nods(spark, folder))
 
 
 @query(with_views(v.FRM, NODS) + "SELECT person, sum(up)::BIGINT AS nods FROM edges GROUP BY person")
 def nod_count(spark, folder):
-    return sm.rising_edges(v.frm(spark, folder, "gesture"), ["person"], ["frame"], "gesture", FRAMES)
+    return sm.rising_edges(v.frm(spark, folder, "gesture"), ["person"], ["frame"], "gesture")
 
 
-SHARE = ", ".join(f"count(*) FILTER (prediction = '{e}') / count(*) AS {e.lower()}" for e in
+SHARE = ", ".join(f"count(*) FILTER (prediction = '{e}') / nullif(count(prediction), 0) AS {e.lower()}" for e in
                   ("Unknown", "Positive", "Normal", "Negative"))
 MEANS = ", ".join(f"round(avg({e}), 6) AS {e}" for e in ("unknown", "positive", "normal", "negative"))
 ROUNDED = ", ".join(f"round({e}, 6) AS {e}" for e in ("unknown", "positive", "normal", "negative"))
@@ -99,27 +99,32 @@ def emotion_share(spark, folder):
     return both.select("person", *[F.round(c, 6).alias(c) for c in LABELS])
 
 
-@query(with_views(v.UTT, v.FRM) + f"""SELECT meeting, ord, person, {ROUNDED} FROM (SELECT u.meeting, u.ord, f.person, {SHARE} FROM utt u
-  JOIN frm f ON f.meeting = u.meeting AND f.time_ms BETWEEN u.start_ms AND u.end_ms GROUP BY ALL)""")
+# Every person of a meeting has a row in each of its utterances.
+GRID = """grid AS (SELECT u.meeting, u.ord, u.start_ms, u.end_ms, p.person FROM utt u JOIN (SELECT DISTINCT meeting, person FROM frm) p USING (meeting)),
+f AS (SELECT g.meeting, g.ord, g.person, frm.prediction FROM grid g LEFT JOIN frm ON frm.meeting = g.meeting AND frm.person = g.person
+  AND frm.time_ms BETWEEN g.start_ms AND g.end_ms)"""
+
+
+def _in_utterances(spark, folder):
+    return sm.emotions_in_utterances(v.frm(spark, folder, "meeting", "prediction").drop("event_id"), v.utt(spark, folder), MINUTE)
+
+
+@query(with_views(v.UTT, v.FRM, GRID) + f"""SELECT meeting, ord, person, {ROUNDED} FROM (SELECT meeting, ord, person, {SHARE} FROM f GROUP BY ALL)""")
 def emotion_share_per_utterance(spark, folder):
-    s = sm.emotions_in_utterances(v.frm(spark, folder, "meeting", "prediction").drop("event_id"), v.utt(spark, folder),
-                                  MINUTE, ["person"])
-    return s.select("meeting", "ord", "person", *[F.round(c, 6).alias(c) for c in LABELS])
+    return _in_utterances(spark, folder).select("meeting", "ord", "person", *[F.round(c, 6).alias(c) for c in LABELS])
 
 
-@query(with_views(v.UTT, v.FRM) + f"""SELECT meeting, ord, {MEANS} FROM (SELECT u.meeting, u.ord, f.person, {SHARE} FROM utt u
-  JOIN frm f ON f.meeting = u.meeting AND f.time_ms BETWEEN u.start_ms AND u.end_ms GROUP BY ALL) GROUP BY ALL""")
+@query(with_views(v.UTT, v.FRM, GRID) + f"""SELECT meeting, ord, {MEANS} FROM (SELECT meeting, ord, person, {SHARE} FROM f GROUP BY ALL) GROUP BY ALL""")
 def mean_emotion_per_utterance(spark, folder):
-    s = sm.emotions_in_utterances(v.frm(spark, folder, "meeting", "prediction").drop("event_id"), v.utt(spark, folder),
-                                  MINUTE, ["person"])
+    s = _in_utterances(spark, folder)
     return sm.mean_shares(s, ["meeting", "ord"]).select("meeting", "ord", *[F.round(c, 6).alias(c) for c in LABELS])
 
 
-@query(with_views(v.UTT, v.FRM) + """, j AS (SELECT u.meeting, f.person, u.ord, f.prediction FROM utt u JOIN frm f
-  ON f.meeting = u.meeting AND f.time_ms >= u.start_ms AND f.time_ms < u.end_ms),
-g AS (SELECT p.*, l.label, (SELECT count(*) FROM j WHERE j.meeting = p.meeting AND j.person = p.person AND j.ord = p.ord
-  AND j.prediction = l.label) AS current FROM (SELECT DISTINCT meeting, person, ord FROM j) p,
-  (SELECT unnest(['Unknown', 'Positive', 'Normal', 'Negative']) AS label) l)
+@query(with_views(v.UTT, v.FRM) + """, p AS (SELECT u.meeting, f.person, u.ord, u.start_ms, u.end_ms FROM utt u JOIN (SELECT DISTINCT meeting, person FROM frm) f USING (meeting)),
+j AS (SELECT p.meeting, p.person, p.ord, f.prediction FROM p JOIN frm f ON f.meeting = p.meeting AND f.person = p.person AND f.time_ms >= p.start_ms AND f.time_ms < p.end_ms),
+c AS (SELECT meeting, person, ord, prediction AS label, count(*) AS n FROM j GROUP BY ALL),
+l AS (SELECT unnest(['Unknown', 'Positive', 'Normal', 'Negative']) AS label), w AS (SELECT meeting, person, ord, label FROM p, l),
+g AS (SELECT meeting, person, ord, label, coalesce(n, 0) AS current FROM w LEFT JOIN c USING (meeting, person, ord, label))
 SELECT *, (sum(current) OVER (PARTITION BY meeting, person, label ORDER BY ord))::BIGINT AS cumulative FROM g""")
 def emotion_counts(spark, folder):
     return sm.emotion_counts(v.frm(spark, folder, "meeting", "prediction").drop("event_id"), v.utt(spark, folder), MINUTE)
@@ -133,18 +138,18 @@ CHANGES = """changes AS (SELECT meeting, ord, start_ms, src, speaker AS dst FROM
   round(weight / sum(weight) OVER (PARTITION BY meeting), 6) AS share FROM (
   SELECT meeting, src, dst, count(*) AS weight FROM changes GROUP BY ALL)""")
 def dialog_direction(spark, folder):
-    return sm.direction_graph(v.utt(spark, folder), FRAMES).withColumn("share", F.round("share", 6))
+    return sm.direction_graph(v.utt(spark, folder)).withColumn("share", F.round("share", 6))
 
 
 @query(with_views(v.UTT, CHANGES) + """SELECT meeting, dst, count(*) FILTER (src = 0) AS from_0, count(*) FILTER (src = 1) AS from_1,
   count(*) FILTER (src = 2) AS from_2 FROM changes WHERE start_ms <= 120000 GROUP BY ALL""")
 def transition_matrix(spark, folder):
-    return sm.transition_matrix(v.utt(spark, folder), 120_000, 3, FRAMES)
+    return sm.transition_matrix(v.utt(spark, folder), 120_000, 3)
 
 
 @query(with_views(v.UTT, CHANGES) + "SELECT meeting, src, count(*) AS out_degree FROM changes GROUP BY ALL")
 def out_degree(spark, folder):
-    return sm.out_degrees(sm.direction_graph(v.utt(spark, folder), FRAMES))
+    return sm.out_degrees(sm.direction_graph(v.utt(spark, folder)))
 
 
 LOUD = """mics AS (SELECT s.meeting, s.id, s.start_ms, s.end_ms, e.id % 4 AS mic,
@@ -159,7 +164,7 @@ def _loudest(spark, folder):
     samples = s.select("meeting", (F.col("id") % 4).alias("mic"), F.col("start_ms").alias("t_ms"),
                        F.col("value").alias("amplitude"))
     segments = s.filter(F.col("speaker") == "purchase").select("meeting", "id", "start_ms", "end_ms")
-    return sm.loudest_mic(samples, segments, ["meeting"], HOUR_MS, 1000.0)
+    return sm.loudest_mic(samples, segments, ["meeting"], 1000.0)
 
 
 @query(with_views(v.SEG, LOUD) + "SELECT meeting, id, start_ms, end_ms, mic, round(dbfs, 6) AS dbfs FROM loud")
@@ -173,7 +178,7 @@ def loudest_mic(spark, folder):
   GROUP BY meeting, run""")
 def speaker_by_loudness(spark, folder):
     loud = _loudest(spark, folder).withColumn("begin", F.col("start_ms"))
-    return iv.merge_runs(loud, ["meeting"], "begin", "mic", DAY_US // 1000).drop("run")
+    return iv.merge_runs(loud, ["meeting"], "begin", "mic").drop("run")
 
 
 @query(with_views(v.UTT, v.FRM) + """, j AS (SELECT f.meeting, f.person, f.frame, u.speaker, f.mouth FROM frm f JOIN utt u
@@ -189,7 +194,7 @@ SELECT meeting, speaker, round(score, 6) AS score, CASE WHEN score >= 0 THEN fac
 def face_of_speaker(spark, folder):
     frames = v.frm(spark, folder, "meeting", "mouth").drop("event_id")
     segments = v.utt(spark, folder).select("meeting", "speaker", "start_ms", "end_ms")
-    return sm.match_faces(frames, segments, FRAMES, MINUTE).withColumn("score", F.round("score", 6))
+    return sm.match_faces(frames, segments, MINUTE).withColumn("score", F.round("score", 6))
 
 
 @query(with_views(v.FRM) + "SELECT person, frame, time_ms / 1000 AS time_s FROM frm WHERE gesture = 1")
@@ -202,7 +207,7 @@ def gesture_points(spark, folder):
   SELECT person, label, row_number() OVER (PARTITION BY person ORDER BY t, event_id) - 1 AS frame FROM lab) l
   ON l.person = f.person AND l.frame * 333 = f.time_ms""")
 def frame_label_join(spark, folder):
-    dense = iv.numbered(v.lab(spark, folder), ["person"], ["t", "event_id"], DAY_US, "n")
+    dense = iv.numbered(v.lab(spark, folder), ["person"], ["t", "event_id"], "n")
     dense = dense.select("person", "label", (F.col("n") * 333).alias("time_ms"))
     return v.frm(spark, folder).join(dense, ["person", "time_ms"]).select("person", "frame", "event_id", "time_ms", "label")
 
