@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.functions import array_to_vector
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.vectors import norm
-from ..session import cut_lineage
+from .clustering import ROWS, kmeans, matrix, meet, placed, squares
 from .skew import salted_join
 
 BLOCK = 2048  # reference vectors held by one task at a time
@@ -37,9 +35,11 @@ def reference_faces(df: DataFrame, rois: DataFrame, keys: list[str], until_ms: i
     return near.groupBy(*keys, "person", "frame").agg(F.min("vec").alias("sample"), F.min_by("encoding", "vec").alias("encoding"))
 
 
-def person_distances(vectors: DataFrame, gallery: DataFrame, keys: list[str], width: int) -> DataFrame:
+def person_distances(vectors: DataFrame, gallery: DataFrame, keys: list[str], width: int, within: float | None = None) -> DataFrame:
     """Distance of every vector to every person of its recording: the smallest over the person's samples.
 
+    With ``within`` only vectors that near leave the tasks.
+
     Vectors are cut into chunks of ``width`` frames and the gallery of a recording into blocks of about ``BLOCK`` samples; a task compares
     one chunk with one block as matrices and returns one row per vector and person, so no sample pairs are written.
     """
@@ -51,6 +51,7 @@ def person_distances(vectors: DataFrame, gallery: DataFrame, keys: list[str], wi
     queries = queries.withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
     chunks = vectors.select(*keys, chunk.alias("_chunk")).distinct()
     blocks = salted_join(blocks, chunks, keys)
+    blocks = blocks.select(*[F.col(c).alias(c) for c in blocks.columns])  # the gallery may stem from the same vectors
     group = [*keys, "_chunk", "_block"]
     types = {f.name: f.dataType.simpleString() for f in [*vectors.schema.fields, *gallery.schema.fields]}
     schema = ", ".join(f"{c} {types[c]}" for c in [*keys, "frame", "vec", "person"]) + ", distance double"
@@ -67,7 +68,8 @@ def person_distances(vectors: DataFrame, gallery: DataFrame, keys: list[str], wi
             for at in range(0, len(asked), step):
                 gap = asked[at:at + step, None, :] - known[None, :, :]
                 nearest[at:at + step] = np.sqrt((gap * gap).sum(axis=2)).min(axis=1)
-            parts.append(left[[*keys, "frame", "vec"]].assign(person=person, distance=nearest))
+            found = left[[*keys, "frame", "vec"]].assign(person=person, distance=nearest)
+            parts.append(found if within is None else found[nearest <= within])
         return pd.concat(parts, ignore_index=True)
 
     compared = queries.groupBy(*group).cogroup(blocks.groupBy(*group)).applyInPandas(compare, schema)
@@ -79,9 +81,8 @@ def gallery_match(vectors: DataFrame, gallery: DataFrame, keys: list[str], thres
 
     A vector claimed by several persons goes to the last of them. Persons without samples claim nothing.
     """
-    near = person_distances(vectors, gallery, keys, width)
-    claims = near.groupBy(*keys, "frame", "person").agg(
-        F.min(F.struct("distance", "vec")).alias("_best")).filter(F.col("_best.distance") <= threshold)
+    near = person_distances(vectors, gallery, keys, width, threshold)
+    claims = near.groupBy(*keys, "frame", "person").agg(F.min(F.struct("distance", "vec")).alias("_best"))
     return (claims.groupBy(*keys, "frame", F.col("_best.vec").alias("vec"))
             .agg(F.max("person").alias("person"), F.max_by("_best.distance", "person").alias("distance")))
 
@@ -94,55 +95,42 @@ def densest_faces(df: DataFrame, keys: list[str], persons: int, budget: int = 10
     return full.withColumn("_place", place).filter(F.col("_place") <= budget).drop("_place")
 
 
-def cluster_faces(df: DataFrame, keys: list[str], persons: int, rounds: int = 50) -> DataFrame:
-    """k-means labels for the sampled vectors of each recording (at most the sampling budget per recording).
+def cluster_faces(df: DataFrame, keys: list[str], rows: int = 0) -> DataFrame:
+    """k-means labels ``person`` of all vectors of each recording, with as many clusters as its fullest frame has faces.
 
-    Starts from the vector farthest from all chosen ones, so the result does not depend on chance.
+    Every vector takes part, whatever the number of faces in its frame; a vector that cannot be measured has no person.
     """
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys, "vec", "encoding").schema)
-
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("vec")
-        x = np.vstack(rows["encoding"].to_numpy()).astype(float)
-        chosen = [0]
-        while len(chosen) < min(persons, len(x)):
-            gap = np.min([((x - x[c]) ** 2).sum(axis=1) for c in chosen], axis=0)
-            chosen.append(int(gap.argmax()))
-        centres = x[chosen]
-        label = np.zeros(len(x), dtype=int)
-        for _ in range(rounds):
-            label = np.stack([((x - c) ** 2).sum(axis=1) for c in centres]).argmin(axis=0)
-            moved = np.stack([x[label == k].mean(axis=0) if (label == k).any() else centres[k] for k in range(len(centres))])
-            if np.allclose(moved, centres):
-                break
-            centres = moved
-        return rows[[*keys, "vec", "encoding"]].assign(person=label)
-
-    return df.select(*keys, "vec", "encoding").groupBy(*keys).applyInPandas(fit, schema + ", person int")
+    wanted = most_faces(df, keys).withColumnRenamed("persons", "wanted")
+    found, _ = kmeans(df, keys, "vec", "encoding", wanted, out="person", **({"rows": rows} if rows else {}))
+    return df.select(*keys, "vec", "encoding").join(found.select(*keys, "vec", "person"), [*keys, "vec"])
 
 
 def centres(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean vector per key, element by element."""
-    parts = df.select(*keys, F.posexplode("encoding").alias("_i", "_x")).groupBy(*keys, "_i").agg(F.avg("_x").alias("_x"))
-    return parts.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_x"))), lambda e: e["_x"]).alias("centre"))
+    """Mean vector per key, summed up inside the tasks."""
+    return df.groupBy(*keys).agg(vector_to_array(Summarizer.mean(array_to_vector(F.col("encoding")))).alias("centre"))
+
 
+def nearest_to(df: DataFrame, targets: DataFrame, out: str = "nearest", rows: int = ROWS) -> DataFrame:
+    """For each target (name, centre) the nearest row of ``df``, the lowest one on a tie: (name, out, distance).
 
-def nearest_to(df: DataFrame, targets: list[tuple], out: str = "nearest") -> DataFrame:
-    """For each (name, vector) of a few targets the nearest row of ``df``: one aggregate per target, no pairs."""
-    vectors = np.array([t for _, t in targets], dtype=float)
+    Chunks of vectors meet the targets as matrices and hand back one row per target, so neither pairs nor targets pass
+    the driver.
+    """
+    kind = df.select("vec").limit(0).toArrow().schema.field(0).type
+    data, sizes = placed(df.withColumn("_all", F.lit(0)), ["_all"], "vec", "encoding", rows)
 
-    @F.pandas_udf("array<double>")
-    def gaps(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            x = np.vstack(batch.to_numpy()).astype(float)
-            yield pd.Series(list(np.stack([np.sqrt(((x - v) ** 2).sum(axis=1)) for v in vectors], axis=1)))
+    def best(left, right):
+        if left is None:
+            return {"name": pa.array([], pa.string()), out: pa.array([], kind), "distance": pa.array([], pa.float64())}
+        left = left.sort_by("_id")
+        gap = squares(matrix(right.column("centre")), matrix(left.column("_x")))
+        at = gap.argmin(axis=1)
+        return {"name": right.column("name"), out: left.column("_id").take(pa.array(at)), "distance": pa.array(np.sqrt(gap[np.arange(len(at)), at]))}
 
-    measured = df.select("vec", gaps("encoding").alias("_gaps"))
-    best = measured.agg(*[F.min(F.struct(F.col("_gaps")[i].alias("distance"), F.col("vec").alias(out))).alias(f"_{i}")
-                          for i in range(len(targets))])
-    return best.select(F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.col(f"_{i}.{out}").alias(out),
-                                                    F.col(f"_{i}.distance").alias("distance"))
-                                           for i, (name, _) in enumerate(targets)])).alias("_r")).select("_r.*")
+    wanted = targets.select(F.lit(0).alias("_all"), F.col("name").cast("string").alias("name"), "centre")
+    found = meet(data, wanted, sizes, ["_all"], best, f"name string, {out} {df.schema['vec'].dataType.simpleString()}, distance double")
+    return (found.groupBy("name").agg(F.min(F.struct("distance", out)).alias("_b"))
+            .select("name", f"_b.{out}", "_b.distance"))
 
 
 def nearest_orientation(vector: Column, references: list[list[float]]) -> Column:
@@ -169,15 +157,3 @@ def speaker_distances(df: DataFrame, keys: list[str], speaker: str) -> DataFrame
     both = a.join(b, keys).filter("speaker1 <= speaker2")
     return both.select(*keys, "speaker1", "speaker2",
                        F.sqrt(F.greatest(F.col("q1") + F.col("q2") - dot * 2, F.lit(0.0))).alias("distance"))
-
-
-def cluster_windows(df: DataFrame, most: int, seed: int = 1) -> DataFrame:
-    """Speaker labels for the embedding windows of one long recording: k-means with the k of the best silhouette."""
-    data = cut_lineage(df.withColumn("features", array_to_vector("encoding")))  # read once per k-means round
-    best = None
-    for k in range(2, most + 1):
-        labelled = KMeans(k=k, seed=seed, maxIter=20).fit(data).transform(data)
-        score = ClusteringEvaluator().evaluate(labelled)
-        if best is None or score > best[0]:
-            best = (score, labelled)
-    return best[1].withColumnRenamed("prediction", "speaker").drop("features")

@@ -1,13 +1,17 @@
 """Order-dependent jobs: a small step function replayed over a long series.
 
-The series of a key is cut into chunks of bounded size. Every chunk is replayed from a guessed start state; the end
-state of a chunk is the true start state of the next one, and only chunks whose guess was wrong are replayed again,
-until nothing changes. State machines that forget (a counter that returns to zero) settle in a round or two; the
-result is always that of one pass over the whole series.
+The series of a key is cut into chunks of bounded size. Where a chunk's effect on any start state can be written down
+(``scan``), chunks are summed up side by side, the summaries are composed in blocks, and every chunk then runs once from its
+true start: the number of passes does not depend on the number of chunks. Nods are such a machine.
+
+Otherwise (``replay``) every chunk is replayed from a guessed start state; the end state of a chunk is the true start state
+of the next one, and only chunks whose guess was wrong are replayed again, until nothing changes. The result is always
+that of one pass over the whole series.
 """
 
 from __future__ import annotations
 
+import bisect
 import json
 from collections.abc import Callable, Iterator
 
@@ -16,7 +20,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import cut_lineage
+from .faces import most_faces
 from .series import along
+from .skew import salted_join
 
 def map_groups(df: DataFrame, group: list[str], order: list[str], work: Callable[[pd.DataFrame], pd.DataFrame],
                schema: str) -> DataFrame:
@@ -131,16 +137,141 @@ def nod_rows(state: dict, rows: pd.DataFrame, k: int = 3, **variant) -> tuple[di
     return state, pd.DataFrame(out, columns=["frame", "x_movement", "y_movement", "gesture"])
 
 
+SCAN_BLOCK = 512  # chunk summaries that one task composes
+
+
+def scan(summaries: DataFrame, keys: list[str], start: dict, then: Callable[[dict, dict], dict], apply: Callable[[dict, dict], dict]) -> DataFrame:
+    """The state in which each chunk starts: (keys, _chunk, _state).
+
+    ``summaries`` holds one JSON ``_map`` per chunk, what the chunk does to any state; ``then(first, second)`` is the map of two
+    chunks in a row and ``apply(map, state)`` the state after it. Chunks are composed in blocks of ``SCAN_BLOCK`` and blocks
+    by the same scan, so a key's chunks never meet in one task and the levels grow with their logarithm.
+    """
+    types = {f.name: f.dataType.simpleString() for f in summaries.schema.fields}
+    key_schema = ", ".join(f"{c} {types[c]}" for c in keys)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_chunk")) - 1
+    placed = cut_lineage(summaries.select(*keys, "_chunk", "_map").withColumn("_block", F.floor(place / SCAN_BLOCK).cast("long")))
+    group = [*keys, "_block"]
+
+    def composed(rows: pd.DataFrame) -> pd.DataFrame:
+        whole = None
+        for text in rows["_map"]:
+            one = json.loads(text)
+            whole = one if whole is None else then(whole, one)
+        return rows[keys].head(1).assign(_chunk=rows["_block"].iloc[0], _map=json.dumps(whole))
+
+    if placed.filter("_block > 0").isEmpty():
+        begun = placed.withColumn("_start", F.lit(json.dumps(start)))
+    else:
+        blocks = scan(map_groups(placed, group, ["_chunk"], composed, f"{key_schema}, _chunk long, _map string"), keys, start, then, apply)
+        begun = placed.join(blocks.select(*keys, F.col("_chunk").alias("_block"), F.col("_state").alias("_start")), group)
+
+    def started(rows: pd.DataFrame) -> pd.DataFrame:
+        state, out = json.loads(rows["_start"].iloc[0]), []
+        for text in rows["_map"]:
+            out.append(json.dumps(state))
+            state = apply(json.loads(text), state)
+        return rows[[*keys, "_chunk"]].assign(_state=out)
+
+    return map_groups(begun, group, ["_chunk"], started, f"{key_schema}, _chunk {types['_chunk']}, _state string")
+
+
+def nod_map(rows: pd.DataFrame, before: int, decay: float, add_back: bool) -> dict:
+    """What a chunk of frames (dx, dy, height) does to any state that a frame of height ``before`` leaves.
+
+    The sideways movement x becomes max(x + a, b). The movement y is a multiple of a half that never passes a fifth of the
+    face height, so it has few values: ``runs`` holds, for ranges of start values with one fate, [lowest start in halves, value
+    at the end in halves, frames since the last reset or -1]. Starts soon meet, as movement leaks away.
+    """
+    dx, dy, height = (rows[c].to_numpy(np.int64) for c in ("dx", "dy", "height"))
+    if not len(dx):
+        return {"n": 0}
+    leak = (height * decay).astype(np.int64)
+    total = np.cumsum(dx - leak)
+    a, b = int(total[-1]), int(total[-1] - total.min())  # from far below, a frame lifts the movement to zero
+    limit = (height * 0.2).astype(np.int64)
+    value = np.arange(0, 2 * int(before * 0.2) + 1, dtype=np.int64)  # start values in halves
+    since = np.full(len(value), -1, np.int64)
+    fate = np.arange(len(value))
+    for i in range(len(dy)):
+        moved = np.maximum(0, (value + 2 * (dy[i] - leak[i])) // 2)  # cut to a whole number; below zero it is zero
+        value = 2 * moved
+        if add_back:
+            value = np.where(moved != 0, value + leak[i], value)
+        hit = value > 2 * limit[i]
+        since = np.where(hit, 0, np.where(since >= 0, since + 1, -1))
+        value = np.where(hit, 0, value)
+        if len(value) > 1 and (i % 4 == 3 or i == len(dy) - 1):
+            both, index = np.unique(np.stack([value, since]), axis=1, return_inverse=True)
+            value, since, fate = both[0], both[1], index.reshape(-1)[fate]
+    runs = [[int(s), int(value[f]), int(since[f])] for s, f in enumerate(fate) if s == 0 or f != fate[s - 1]]
+    return {"n": len(dy), "a": a, "b": b, "runs": runs}
+
+
+def _fate(runs: list, value: int) -> list:
+    return runs[bisect.bisect_right(runs, value, key=lambda r: r[0]) - 1]
+
+
+def nod_then(first: dict, second: dict) -> dict:
+    if not first["n"] or not second["n"]:
+        return second if not first["n"] else first
+    runs = []
+    for low, value, since in first["runs"]:
+        _, end, after = _fate(second["runs"], value)
+        since = after if after >= 0 else since + second["n"] if since >= 0 else -1
+        if not runs or runs[-1][1:] != [end, since]:
+            runs.append([low, end, since])
+    return {"n": first["n"] + second["n"], "a": first["a"] + second["a"], "b": max(first["b"] + second["a"], second["b"]), "runs": runs}
+
+
+def nod_apply(map_: dict, state: dict) -> dict:
+    """State: x and y movement (y in halves) and frames since the last reset, -1 if there was none."""
+    if not map_["n"]:
+        return state
+    _, value, since = _fate(map_["runs"], state["y"])
+    since = since if since >= 0 else state["since"] + map_["n"] if state["since"] >= 0 else -1
+    return {"x": max(state["x"] + map_["a"], map_["b"]), "y": value, "since": since}
+
+
 def detect_nods(df: DataFrame, keys: list[str], span: int = 60_000, k: int = 3, older: bool = False) -> DataFrame:
     """Nod flags of each person from the tracked point (frame, x, y, height), every k-th frame.
 
-    ``older`` leaks 5 percent without giving half back, holds 30 frames and counts every frame down by one.
+    ``older`` leaks 5 percent without giving half back, holds 30 frames and counts every frame down by one. Chunks of
+    ``span`` frames are read twice, whatever their number: once to sum them up, once from their true start.
     """
-    variant = {"decay": 0.05, "hold": 30, "add_back": False} if older else {}
-    start = {**NOD_START, "hold": 30} if older else NOD_START
-    used = df.filter(F.col("frame") % k == 0).select(*keys, "frame", "x", "y", "height")
+    variant = {"decay": 0.05, "hold": 30, "add_back": False} if older else {"decay": 0.08, "hold": 15, "add_back": True}
     drop = 1 if older else k
-    return replay(used, keys, "frame", span, lambda s, r: nod_rows(s, r, drop, **variant), start, NOD_SCHEMA)
+    group = [*keys, "_chunk"]
+    used = df.filter(F.col("frame") % k == 0).select(*keys, "frame", "x", "y", "height")
+    rows = cut_lineage(used.withColumn("_chunk", F.floor(F.col("frame") / span).cast("long")))
+    types = dict(rows.dtypes)
+    key_schema = ", ".join(f"{c} {types[c]}" for c in keys)
+    # The first frame of a chunk moves from the last point of the chunk before.
+    last = rows.groupBy(*group).agg(F.max_by(F.struct("x", "y", "height"), "frame").alias("_last"))
+    before = cut_lineage(last.select(*group, F.lag("_last").over(Window.partitionBy(*keys).orderBy("_chunk")).alias("_was"))
+                         .select(*group, F.col("_was.x").alias("_px"), F.col("_was.y").alias("_py"), F.coalesce("_was.height", F.lit(0)).alias("_ph")))
+    joined = rows.join(before, group)
+
+    def summed(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.append(np.nan if pd.isna(pdf["_px"].iloc[0]) else pdf["_px"].iloc[0], pdf["x"].to_numpy(float))
+        y = np.append(np.nan if pd.isna(pdf["_py"].iloc[0]) else pdf["_py"].iloc[0], pdf["y"].to_numpy(float))
+        moves = pd.DataFrame({"dx": np.abs(np.diff(x)), "dy": np.abs(np.diff(y)), "height": pdf["height"].to_numpy()}).dropna()
+        found = nod_map(moves, int(pdf["_ph"].iloc[0]), variant["decay"], variant["add_back"])
+        return pdf[group].head(1).assign(_map=json.dumps(found))
+
+    maps = map_groups(joined, group, ["frame"], summed, f"{key_schema}, _chunk long, _map string")
+    starts = scan(maps, keys, {"x": 0, "y": 0, "since": -1}, nod_then, nod_apply)
+
+    def results(pdf: pd.DataFrame) -> pd.DataFrame:
+        known = json.loads(pdf["_state"].iloc[0])
+        left = variant["hold"] - drop * (known["since"] + 1)
+        held = {"gesture": 1, "hold": left} if known["since"] >= 0 and left > 0 else {"gesture": 0, "hold": variant["hold"] if known["since"] < 0 else 0}
+        point = {c: None if pd.isna(pdf[f"_p{c}"].iloc[0]) else int(pdf[f"_p{c}"].iloc[0]) for c in "xy"}
+        _, out = nod_rows({**point, "mx": known["x"], "my": known["y"] / 2, **held}, pdf, drop, **variant)
+        return out.assign(**{c: pdf[c].iloc[0] for c in keys})[[*keys, *out.columns]]
+
+    begun = joined.join(starts.select(*group, "_state"), group)
+    return map_groups(begun, group, ["frame"], results, f"{key_schema}, {NOD_SCHEMA}")
 
 
 # --- running histograms -----------------------------------------------------------------------------------------
@@ -190,6 +321,21 @@ def _running(df: DataFrame, keys: list[str], pos: str, value: str, used, span: i
     return map_groups(started, group, [pos], run, f"{key_types}, {schema}")
 
 
+def median_bins(so_far: np.ndarray, value: np.ndarray, bins: int, low: float, high: float) -> np.ndarray:
+    """Median after each row from the histogram so far; with one value so far a row shows its own, taken or not."""
+    count = so_far.sum(axis=1)
+    middle = (so_far.cumsum(axis=1) >= ((count + 1) // 2)[:, None]).argmax(axis=1)
+    width = (high - low) / bins
+    return np.where(count == 1, value, low + middle * width + 0.5 * width)
+
+
+def lower_edges(so_far: np.ndarray, ratio: float, bins: int, low: float, high: float, at_least: int) -> np.ndarray:
+    """Lower edge of the quantile's bin after each row; 0 before the ``at_least``-th value."""
+    count = so_far.sum(axis=1)
+    edge = (so_far.cumsum(axis=1) > (ratio * count).astype(np.int64)[:, None]).argmax(axis=1)
+    return np.where(count >= at_least, low + edge * ((high - low) / bins), 0.0)
+
+
 def running_median(df: DataFrame, keys: list[str], pos: str, value: str, success: str, bins: int, low: float,
                    high: float, span: int = 60_000) -> DataFrame:
     """Median so far from a histogram that takes every second frame if the frame was a success.
@@ -200,14 +346,9 @@ def running_median(df: DataFrame, keys: list[str], pos: str, value: str, success
     if span % 2:
         raise ValueError("span must be even, so that every chunk starts with a frame that is taken")
     used = (F.col(pos) % 2 == 0) & F.col(success)
-    width = (high - low) / bins
 
     def finish(so_far: np.ndarray, rows: pd.DataFrame) -> pd.DataFrame:
-        count = so_far.sum(axis=1)
-        middle = (so_far.cumsum(axis=1) >= ((count + 1) // 2)[:, None]).argmax(axis=1)
-        median = low + middle * width + 0.5 * width
-        # With one value so far a row shows its own value, whether or not it was taken.
-        median = np.where(count == 1, rows[value].to_numpy(), median)
+        median = median_bins(so_far, rows[value].to_numpy(), bins, low, high)
         looked = rows[pos].to_numpy() % 2 == 0
         shown = pd.Series(np.where(looked, median, np.nan)).ffill()
         return pd.DataFrame({pos: rows[pos].to_numpy(), "median": shown.to_numpy()})
@@ -224,15 +365,13 @@ def online_correction(df: DataFrame, keys: list[str], pos: str, value: str, rati
     values above 1 so that the highest one seen so far is 5.
     """
     def finish(so_far: np.ndarray, rows: pd.DataFrame) -> pd.DataFrame:
-        count = so_far.sum(axis=1)
-        edge = (so_far.cumsum(axis=1) > (ratio * count).astype(np.int64)[:, None]).argmax(axis=1)
-        lift = np.where(count >= at_least, low + edge * ((high - low) / bins), 0.0)
+        lift = lower_edges(so_far, ratio, bins, low, high, at_least)
         return pd.DataFrame({pos: rows[pos].to_numpy(), "corrected": rows[value].to_numpy() - lift})
 
     shifted = _running(df, keys, pos, value, F.lit(True), span, bins, low, high, finish, f"{pos} long, corrected double")
     value_ = F.col("corrected")
     if scale:
-        shifted = along(shifted, keys, [pos], span, high={"_top": F.when(value_ > 1, value_)})
+        shifted = along(shifted, keys, [pos], high={"_top": F.when(value_ > 1, value_)})
         value_ = F.when(value_ > 1, value_ * F.least(5.0 / F.col("_top"), F.lit(5.0))).otherwise(value_)
     return shifted.select(*keys, pos, F.greatest(F.least(value_, F.lit(5.0)), F.lit(0.0)).alias("corrected"))
 
@@ -286,11 +425,12 @@ def stable_marriage(suitors: np.ndarray, reviewers: np.ndarray) -> list[int]:
     return [partner.index(s) for s in range(n)]
 
 
-def track_identities(df: DataFrame, keys: list[str], persons: int, span: int = 20_000, box_reach: float = 20.0,
+def track_identities(df: DataFrame, keys: list[str], persons: int | None = None, span: int = 20_000, box_reach: float = 20.0,
                      face_reach: float = 0.5) -> DataFrame:
     """Follow each person from frame to frame (vec, cx, cy, encoding per detection); one row per person and frame.
 
-    The persons of the last frame prefer near boxes, the faces of this frame prefer similar vectors, and a stable
+    A recording has as many persons as its fullest frame has faces, or more if ``persons`` says so, so that no face is left
+    out. The persons of the last frame prefer near boxes, the faces of this frame prefer similar vectors, and a stable
     matching decides. A person without a face keeps the last box and vector; ``vec`` is then NULL.
     """
     def far(a, b, reach):
@@ -300,12 +440,12 @@ def track_identities(df: DataFrame, keys: list[str], persons: int, span: int = 2
         return d if d < reach else np.inf
 
     def step(state: dict, rows: pd.DataFrame):
-        known = state["known"]
+        known, persons = state["known"], int(rows["_persons"].iloc[0])
         out = []
         for frame, found in rows.groupby("frame", sort=True):
             found = found.sort_values("vec")
             faces = [{"box": [float(x), float(y)], "code": [float(v) for v in c], "vec": int(i)}
-                     for i, x, y, c in zip(found["vec"], found["cx"], found["cy"], found["encoding"])][:persons]
+                     for i, x, y, c in zip(found["vec"], found["cx"], found["cy"], found["encoding"])]
             faces += [{"box": None, "code": None, "vec": None}] * (persons - len(faces))
             if known is None:
                 known = faces
@@ -320,5 +460,6 @@ def track_identities(df: DataFrame, keys: list[str], persons: int, span: int = 2
         result["vec"] = result["vec"].astype("Int64")
         return {"known": known}, result
 
-    used = df.select(*keys, "frame", "vec", "cx", "cy", "encoding")
+    most = most_faces(df, keys).select(*keys, F.greatest("persons", F.lit(persons or 0)).alias("_persons"))
+    used = salted_join(df.select(*keys, "frame", "vec", "cx", "cy", "encoding"), most, keys)
     return replay(used, keys, "frame", span, step, {"known": None}, "frame long, person int, vec long, cx double, cy double")

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import texts, vectors as vx
+from ..functions.permute import drawn_sql, permuted_sql
 from ..operators import faces as fc, replay as rp, scoring as sc
-from ..operators.intervals import numbered
+from ..operators.clustering import kmeans, spectral
+from ..operators.intervals import label_slices, numbered
 from ..operators.series import along
+from ..operators.skew import lookup_join
+from ..session import cut_lineage
 from . import segments as sg, views as v
 from .registry import query
-from .views import DAY_US, FRAMES, with_views
+from .views import with_views
 
 M = ["meeting"]
 THRESHOLD = 1.3  # the driver vectors lie 1.0 to 1.4 apart; face encodings use 0.35
@@ -88,7 +92,7 @@ SELECT cc.label::VARCHAR AS name, arg_min(vec, (list_distance(encoding, centre),
 FROM vec, cc GROUP BY cc.label""")
 def nearest_to_centre(spark, folder):
     data = v.vec(spark, folder)
-    targets = [(str(r["label"]), r["centre"]) for r in fc.centres(data, ["label"]).orderBy("label").collect()]
+    targets = fc.centres(data, ["label"]).withColumnRenamed("label", "name")
     return fc.nearest_to(data, targets).withColumn("distance", F.round("distance", 6))
 
 
@@ -110,26 +114,54 @@ def speaker_distances(spark, folder):
 
 @query()
 def face_clusters(spark, folder):
+    """Faces named by the clusters of all vectors of their recording."""
     data = v.vec(spark, folder)
-    clustered = fc.cluster_faces(fc.densest_faces(data, M, 5, 1000), M, 4).withColumnRenamed("vec", "sample")
+    clustered = fc.cluster_faces(data, M).withColumnRenamed("vec", "sample")
     return fc.gallery_match(data, clustered, M, THRESHOLD, CHUNK).withColumn("distance", F.round("distance", 6))
 
 
+@query(with_views(v.VEC) + """, most AS (SELECT meeting, max(n) AS persons FROM (SELECT meeting, frame, count(*) AS n FROM vec GROUP BY ALL) GROUP BY meeting)
+SELECT meeting, count(*) AS vectors, count(*) AS labelled, any_value(persons)::BIGINT AS clusters, true AS at_nearest, true AS at_mean FROM vec JOIN most USING (meeting) GROUP BY meeting""")
+def face_cluster_check(spark, folder):
+    """What k-means must keep: every vector has a cluster, its centre is the nearest one, and centres are their rows' means."""
+    data = v.vec(spark, folder)
+    found, centre = kmeans(data, M, "vec", "encoding", fc.most_faces(data, M).withColumnRenamed("persons", "wanted"), rounds=100)
+    every = centre.groupBy("meeting").agg(F.collect_list(F.struct("cluster", "centre")).alias("centres"))  # a few centres a meeting
+    gap = F.array_min(F.transform("centres", lambda c: vx.distance(F.col("encoding"), c["centre"])))
+    rows = lookup_join(data.join(found, ["meeting", "vec"]), every, M)
+    near = rows.groupBy("meeting").agg(F.count(F.lit(1)).alias("vectors"), F.count("cluster").alias("labelled"),
+                                       F.countDistinct("cluster").alias("clusters"), F.max(F.abs(F.col("distance") - gap) < 1e-9).alias("at_nearest"),
+                                       F.min(F.abs(F.col("distance") - gap) < 1e-9).alias("_all"))
+    means = fc.centres(rows, ["meeting", "cluster"]).withColumnRenamed("centre", "mean").join(centre, ["meeting", "cluster"])
+    off = means.groupBy("meeting").agg((F.max(vx.distance(F.col("mean"), F.col("centre"))) < 1e-6).alias("at_mean"))
+    return near.join(off, "meeting").select("meeting", "vectors", "labelled", "clusters", (F.col("at_nearest") & F.col("_all")).alias("at_nearest"), "at_mean")
+
+
 @query()
 def identity_tracks(spark, folder):
     data = v.vec(spark, folder).withColumns({"cx": F.col("slot") * 10.0, "cy": F.col("label") * 1.0})
-    return rp.track_identities(data, M, 5, box_reach=20.0, face_reach=THRESHOLD)
+    return rp.track_identities(data, M, box_reach=20.0, face_reach=THRESHOLD)
 
 
 @query()
 def speaker_clusters(spark, folder):
-    from ..operators.intervals import label_slices
-
-    data = v.vec(spark, folder).select("vec", "encoding")
-    labelled = fc.cluster_windows(data, 4).withColumn("recording", F.lit(0))
+    """Time slices of the speakers of one long recording, their number unknown."""
+    data = v.vec(spark, folder).select(F.lit(0).alias("recording"), "vec", "encoding")
+    labelled = spectral(data, ["recording"], "vec", "encoding", least=2)
     return label_slices(labelled, ["recording"], "vec", "speaker", sg.SLICE_MS)
 
 
+@query(with_views(v.VEC) + """SELECT meeting, vec, min(vec) OVER (PARTITION BY meeting, label) AS first, (SELECT count(DISTINCT label) FROM vec w
+  WHERE w.meeting = vec.meeting)::INT AS speakers FROM vec""")
+def planted_speakers(spark, folder):
+    """Speakers planted in the recordings (a voice of their own under each vector as noise) are found without their number."""
+    voice = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.when(i == F.col("label"), 1.0).otherwise(0.0))
+    data = v.vec(spark, folder).select("meeting", "vec", F.concat(voice, F.transform("encoding", lambda x: x * 0.1)).alias("window"))
+    found = cut_lineage(spectral(data, M, "vec", "window"))
+    first = found.groupBy("meeting", "speaker").agg(F.min("vec").alias("first"))
+    return lookup_join(found, first, ["meeting", "speaker"]).select("meeting", "vec", "first", F.col("clusters").alias("speakers"))
+
+
 # --- scores ------------------------------------------------------------------------------------------------------
 
 @query(with_views(v.FRM) + """, c AS (SELECT person, count(*) FILTER (truth AND pred) AS tp, count(*) FILTER (NOT truth AND pred) AS fp,
@@ -162,8 +194,8 @@ BIAS = """bias AS (SELECT person, (count(*) FILTER (label <> was) + 1) / count(*
 
 
 def _bias(spark, folder):
-    n = numbered(v.lab(spark, folder), ["person"], ["t", "event_id"], DAY_US, "pos")
-    return sc.transition_bias(n, ["person"], "pos", "label", FRAMES)
+    n = numbered(v.lab(spark, folder), ["person"], ["t", "event_id"], "pos")
+    return sc.transition_bias(n, ["person"], "pos", "label")
 
 
 @query(with_views(v.LAB, BIAS) + "SELECT person, round(bias, 6) AS bias, length FROM bias")
@@ -185,14 +217,14 @@ k AS (SELECT *, (1 - fpr0 - tpr0) / ((1 - fpr0 - tpr0) - (1 - fpr - tpr)) AS par
 SELECT slot, round(fpr0 + part*(fpr - fpr0), 6) AS eer, round(-(s0 + part*(s - s0)), 6) AS threshold FROM k""")
 def equal_error_rate(spark, folder):
     scored = v.vec(spark, folder).select("slot", (F.col("label") == F.col("slot")).cast("int").alias("truth"), F.col("encoding")[0].alias("score"))
-    e = sc.equal_error_rate(scored, ["slot"], "truth", "score", 0.05)
+    e = sc.equal_error_rate(scored, ["slot"], "truth", "score")
     return e.withColumns({c: F.round(c, 6) for c in ("eer", "threshold")})
 
 
 def _transcripts(spark, folder):
     u = v.table(spark, folder, "conversations").select(F.col("conv_id").alias("meeting"), F.col("turn").alias("ord"),
                                                        texts.words(texts.without_marks(F.col("text"), ";?")).alias("answer"))
-    return (along(u, M, ["ord"], FRAMES, lead={"heard": F.col("answer")})
+    return (along(u, M, ["ord"], lead={"heard": F.col("answer")})
             .filter(F.col("heard").isNotNull() & (F.size("answer") > 0)))
 
 
@@ -240,7 +272,12 @@ def training_sequence(spark, folder):
     return a.select("place", "cluster_id", F.round(F.col("embedding")[0], 6).alias("first"))
 
 
-@query()
+SHUFFLED = ("base AS (SELECT sequence_id, n, row_number() OVER (ORDER BY sequence_id) - 1 AS no, count(*) OVER () AS many FROM"
+            " (SELECT sequence_id, count(*) AS n FROM seq GROUP BY sequence_id))", permuted_sql("base", "no", "many", 7))
+
+
+@query(with_views(v.VEC, SEQ, *SHUFFLED, recursive=True) + """, laid AS (SELECT sequence_id, (sum(n) OVER (ORDER BY place) - n)::BIGINT AS base FROM perm)
+SELECT base + pos AS place, sequence_id || '_' || cluster_id AS cluster_id, round(embedding[1], 6) AS first FROM seq JOIN laid USING (sequence_id)""")
 def shuffled_training_sequence(spark, folder):
     return sc.assembled(_sequences(spark, folder), seed=7).select("place", "cluster_id", F.round(F.col("embedding")[0], 6).alias("first"))
 
@@ -248,10 +285,16 @@ def shuffled_training_sequence(spark, folder):
 @query(with_views(v.VEC, SEQ) + """SELECT sequence_id, pos, cluster_id, row_number() OVER (PARTITION BY sequence_id, cluster_id ORDER BY pos) - 1 AS place,
   count(*) OVER (PARTITION BY sequence_id, cluster_id) + 1 AS length FROM seq""")
 def regrouped_sequence(spark, folder):
-    return sc.regrouped(_sequences(spark, folder).drop("embedding"), ["sequence_id"], "pos", "cluster_id", FRAMES)
+    return sc.regrouped(_sequences(spark, folder).drop("embedding"), ["sequence_id"], "pos", "cluster_id")
 
 
-@query()
+MIXES = (f"""sized AS (SELECT sample, least(10 + {drawn_sql('sample', 10, 7)}, many) AS size, many FROM
+  (SELECT unnest(range(50))::BIGINT AS sample), (SELECT count(*) AS many FROM events)),
+base AS (SELECT sample, unnest(range(size)) AS slot, many FROM sized)""", permuted_sql("base", "slot", "many", 7, "sample"))
+
+
+@query(with_views(*MIXES, recursive=True) + """SELECT sample, slot::INT AS slot, event_id FROM perm
+  JOIN (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS place FROM events) USING (place)""")
 def random_mixes(spark, folder):
     items = v.table(spark, folder, "events").select("event_id")
     return sc.random_mixes(items, "event_id", 50, 7)
@@ -281,7 +324,18 @@ def nod_detection(spark, folder):
     return rp.detect_nods(_points(spark, folder), ["person"])
 
 
-@query()
+OLDER = """st AS (SELECT person, frame, x, y, 0::BIGINT AS mx, 0::DOUBLE AS my, 0 AS gesture, 30 AS hold FROM frm WHERE frame = 0
+  UNION ALL
+  SELECT person, frame, x, y, mx, CASE WHEN hit THEN 0 ELSE my2 END AS my, CASE WHEN hold3 <= 0 THEN 0 ELSE gesture2 END AS gesture, hold3 AS hold FROM (
+    SELECT *, CASE WHEN gesture2 = 1 AND hold2 > 0 THEN hold2 - 1 ELSE hold2 END AS hold3 FROM (
+      SELECT *, CASE WHEN hit THEN 1 ELSE gesture END AS gesture2, CASE WHEN hit THEN 30 ELSE hold END AS hold2 FROM (
+        SELECT *, my2 > 20 AS hit FROM (
+          SELECT p.person, p.frame, p.x, p.y, greatest(0, s.mx + abs(s.x - p.x) - 5)::BIGINT AS mx,
+            greatest(0, trunc(s.my + abs(s.y - p.y) - 5))::DOUBLE AS my2, s.gesture, s.hold
+          FROM st s JOIN frm p ON p.person = s.person AND p.frame = s.frame + 1)))))"""
+
+
+@query(with_views(v.FRM, OLDER, recursive=True) + "SELECT person, frame, mx AS x_movement, my AS y_movement, gesture FROM st")
 def nod_detection_older(spark, folder):
     return rp.detect_nods(_points(spark, folder), ["person"], k=1, older=True)
 
@@ -341,7 +395,7 @@ mg AS (SELECT meeting, n, s, e, 0 AS piece, false AS took FROM sp WHERE n = 1 UN
 def greedy_merge(spark, folder):
     from ..operators.intervals import midpoint_splits
 
-    splits = midpoint_splits(sg._timeline(spark, folder), M, sg.DAY_MS)
+    splits = midpoint_splits(sg._timeline(spark, folder), M)
     return rp.merge_splits(splits, M, 7_200_000.0, 7 * sg.DAY_MS)
 
 

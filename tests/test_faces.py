@@ -51,20 +51,29 @@ def test_densest_first_and_overfull_frames_skipped(spark):
     assert sorted(r.vec for r in out.collect()) == [10, 11, 12, 20]
 
 
-def test_clusters_on_a_square(spark):
+def test_clusters_take_all_vectors_and_as_many_persons_as_the_fullest_frame(spark):
     rng = np.random.default_rng(0)
-    corners = [(0, 0), (0, 1), (1, 0), (1, 1)]
-    data = [(0, i, i, [float(c + e) for c, e in zip(corners[i % 4], rng.normal(scale=0.01, size=2))]) for i in range(80)]
-    out = fc.cluster_faces(spark.createDataFrame(data, VEC), ["k"], 4).collect()
+    corners = [(0, 0), (0, 1), (1, 0), (1, 1), (3, 3), (3, 0)]
+    # six faces in every third frame, four in the others; a second recording with one face a frame
+    data, vec = [], 0
+    for frame in range(30):
+        for c in range(6 if frame % 3 == 0 else 4):
+            data.append((0, frame, vec, [float(x + e) for x, e in zip(corners[c], rng.normal(scale=0.01, size=2))]))
+            vec += 1
+    data += [(1, f, 1000 + f, [float(f), 0.0]) for f in range(5)]
+    out = fc.cluster_faces(spark.createDataFrame(data, VEC), ["k"], rows=32).collect()
+    assert len(out) == len(data)
     found = {}
     for r in out:
-        found.setdefault(r.vec % 4, set()).add(r.person)
-    assert all(len(s) == 1 for s in found.values()) and len(set.union(*found.values())) == 4
+        if r.k == 0:
+            found.setdefault(tuple(round(x) for x in r.encoding), set()).add(r.person)
+    assert len(found) == 6 and all(len(s) == 1 for s in found.values()) and len(set.union(*found.values())) == 6
+    assert {r.person for r in out if r.k == 1} == {0}
 
 
 def test_nearest_to_and_orientation(spark):
     df = spark.createDataFrame([(0, 0, 1, [0.0, 1.0]), (0, 0, 2, [3.0, 1.0])], VEC)
-    assert rows(fc.nearest_to(df, [("a", [0.0, 0.0]), ("b", [3.0, 0.0])]), "name") == [("a", 1, 1.0), ("b", 2, 1.0)]
+    assert rows(fc.nearest_to(df, spark.createDataFrame([("a", [0.0, 0.0]), ("b", [3.0, 0.0])], "name string, centre array<double>"), rows=1), "name") == [("a", 1, 1.0), ("b", 2, 1.0)]
     out = df.select(fc.nearest_orientation(F.col("encoding"), [[1.5, 1.0], [3.0, 1.0], [0.0, 1.0]]).alias("n"))
     assert [r.n for r in out.collect()] == [2, 1]
     tie = spark.createDataFrame([([1.0],)], "v array<double>").select(fc.nearest_orientation(F.col("v"), [[0.0], [2.0]])).first()[0]
