@@ -1,104 +1,185 @@
 """Structured Streaming forms of the stateful detectors.
 
-The state of a key is a small JSON text. Rows of a micro-batch are put in frame order per key, and rows not newer than
-the last frame of the state are dropped, as the detectors need order.
+Frames may arrive in any order within the watermark's delay. Every key keeps an ordered buffer: rows wait in the state
+store by slots of event time, and an event-time timer fires when the watermark has passed a slot. Only then are the slot's
+rows put in frame order and given to the detector, slot after slot, so a task holds one slot of one key at a time and the
+result does not depend on how rows were dealt to micro-batches. Rows behind the watermark are late: the stream drops and
+counts them (``late_rows``). A row without event time or key has no place in a series and is left out.
+
+A stream that ends (``drain``) gets one last marker row far in the future, so that what waits for the watermark comes out.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.replay import NOD_SCHEMA, NOD_START, nod_rows
+from ..operators.replay import NOD_SCHEMA, NOD_START, lower_edges, median_bins, nod_rows
 from ..sources.tables import scratch
 
-
-def _stateful(df: DataFrame, keys: list[str], order: str, start: dict, step, schema: str) -> DataFrame:
+END = "9999-01-01 00:00:00"  # event time of the marker that ends a drained stream
+LATE = "1 day"
+SLOT_MS = 3_600_000
+
+
+class _Ordered(StatefulProcessor):
+    """The buffer of one key: chunks of rows by slot, the state of the detector, and one timer for the first slot."""
+
+    def __init__(self, keys: list[str], columns: list[str], order: str, start: dict, step, slot_ms: int, result: list[str]):
+        self.keys, self.columns, self.order, self.start, self.step = keys, columns, order, start, step
+        self.slot_ms, self.result = slot_ms, result
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getMapState("rows", "slot bigint, part int", "rows string")
+        self.held = handle.getValueState("held", "state string")
+
+    def _load(self) -> dict:
+        return json.loads(self.held.get()[0]) if self.held.exists() else {"value": self.start, "slots": {}, "timer": None}
+
+    def _save(self, held: dict) -> None:
+        first = min(map(int, held["slots"]), default=None)
+        timer = None if first is None else (first + 1) * self.slot_ms
+        if timer != held["timer"]:
+            if held["timer"] is not None:
+                self.handle.deleteTimer(held["timer"])
+            if timer is not None:
+                self.handle.registerTimer(timer)
+            held["timer"] = timer
+        self.held.update((json.dumps(held),))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = self._load()
+        for batch in rows:
+            slots = batch["at_ms"].to_numpy() // self.slot_ms
+            values = batch[[f"c{i}" for i in range(len(self.columns))]]
+            for slot in np.unique(slots):
+                part = held["slots"].get(str(slot), 0)
+                self.rows.updateValue((int(slot), part), (json.dumps(values[slots == slot].astype(object).where(values.notna(), None).to_numpy().tolist()),))
+                held["slots"][str(slot)] = part + 1
+        self._save(held)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = self._load()
+        held["timer"] = None  # it has fired
+        upto = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        for slot in sorted(s for s in map(int, held["slots"]) if (s + 1) * self.slot_ms <= upto):
+            waiting: list = []
+            for part in range(held["slots"].pop(str(slot))):
+                waiting += json.loads(self.rows.getValue((slot, part))[0])
+                self.rows.removeKey((slot, part))
+            table = pd.DataFrame(waiting, columns=self.columns).sort_values(self.order, kind="stable", ignore_index=True)
+            held["value"], result = self.step(held["value"], table)
+            for name, part in zip(reversed(self.keys), reversed(key)):
+                result.insert(0, name, part)
+            yield result[self.result]
+        self._save(held)
+
+
+def _stateful(df: DataFrame, keys: list[str], order: str, columns: list[str], start: dict, step: Callable, schema: str,
+              late: str, slot_ms: int, where: Column | None = None) -> DataFrame:
+    """``step(state, rows in order) -> (state, result rows)`` over each key of a stream with the event time ``ts``."""
+    spark = df.sparkSession
+    # Buffers wait in the state store, not in memory.
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     types = dict(df.dtypes)
     out = ", ".join(f"{k} {types[k]}" for k in keys) + ", " + schema
-
-    def run(key, batches: Iterator[pd.DataFrame], state):
-        held = json.loads(state.get[0]) if state.exists else {"last": None, "value": start}
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(order)
-        if held["last"] is not None:
-            rows = rows[rows[order] > held["last"]]
-        if rows.empty:
-            return
-        value, result = step(held["value"], rows.reset_index(drop=True))
-        state.update((json.dumps({"last": int(rows[order].iloc[-1]), "value": value}),))
-        for name, part in zip(reversed(keys), reversed(key)):
-            result.insert(0, name, part)
-        yield result
-
-    return df.groupBy(*keys).applyInPandasWithState(run, out, "state string", "append", GroupStateTimeout.NoTimeout)
+    timed = _timed(df, late)
+    if where is not None:
+        timed = timed.filter(where)
+    for k in keys:
+        timed = timed.filter(F.col(k).isNotNull())
+    # Rows reach the processor as named tuples, so they travel under names that are fit for those.
+    plain = timed.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], "ts", F.unix_millis("ts").alias("at_ms"),
+                         *[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    names = [f.name for f in T._parse_datatype_string(out).fields]
+    work = _Ordered(keys, columns, order, start, step, slot_ms, names)
+    return plain.groupBy(*[f"k{i}" for i in range(len(keys))]).transformWithStateInPandas(work, out, "Append", "EventTime")
+
+
+def _timed(df: DataFrame, late: str) -> DataFrame:
+    """The stream with its watermark; the marker of the end moves the watermark and goes no further.
+
+    Every column is bound to the event time, as Spark would else move filters on it before the watermark, where they would
+    take the marker away.
+    """
+    known = df.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    real = F.col("ts") < F.lit(END).cast("timestamp")
+    return known.select(*[F.col(c) if c == "ts" else F.when(real, F.col(c)).alias(c) for c in df.columns]).filter(real)
 
 
-def nod_stream(df: DataFrame, keys: list[str], k: int = 3) -> DataFrame:
-    """Nod flags as frames arrive (frame, x, y, height); the same step as the batch job."""
-    used = df.filter(F.col("frame") % k == 0)
-    return _stateful(used, keys, "frame", NOD_START, lambda s, r: nod_rows(s, r, k), NOD_SCHEMA)
+def nod_stream(df: DataFrame, keys: list[str], k: int = 3, late: str = LATE, slot_ms: int = SLOT_MS) -> DataFrame:
+    """Nod flags as frames arrive (ts, frame, x, y, height); the same step as the batch job."""
+    return _stateful(df, keys, "frame", ["frame", "x", "y", "height"], NOD_START, lambda s, r: nod_rows(s, r, k), NOD_SCHEMA, late, slot_ms,
+                     F.col("frame") % k == 0)
 
 
-def median_stream(df: DataFrame, keys: list[str], bins: int, low: float, high: float) -> DataFrame:
-    """Running histogram median of (frame, value, success), taking every second row of a key."""
-    width = (high - low) / bins
+def median_stream(df: DataFrame, keys: list[str], bins: int, low: float, high: float, late: str = LATE, slot_ms: int = SLOT_MS) -> DataFrame:
+    """Running histogram median of (ts, frame, value, success), taking every second row of a key."""
 
     def step(state: dict, rows: pd.DataFrame):
-        counts, seen, shown = np.array(state["counts"]), state["seen"], state["shown"]
-        out = []
-        for value, success in zip(rows["value"], rows["success"]):
-            if seen % 2 == 0:
-                if success:
-                    place = (value - low) * bins / (high - low)
-                    counts[int(min(max(place, 0), bins - 1))] += 1
-                total = int(counts.sum())
-                if total == 1:
-                    shown = float(value)
-                else:
-                    shown = low + float((counts.cumsum() >= (total + 1) // 2).argmax()) * width + 0.5 * width
-            seen += 1
-            out.append(shown)
-        state = {"counts": counts.tolist(), "seen": seen, "shown": shown}
-        return state, pd.DataFrame({"frame": rows["frame"], "median": out})
-
-    return _stateful(df, keys, "frame", {"counts": [0] * bins, "seen": 0, "shown": None}, step, "frame long, median double")
+        looked = (state["seen"] + np.arange(len(rows))) % 2 == 0
+        used = looked & rows["success"].to_numpy(bool)
+        place = np.clip((rows["value"].to_numpy(float) - low) * bins / (high - low), 0, bins - 1).astype(int)
+        counts, parts = np.array(state["counts"]), []
+        for at in range(0, len(rows), 1024):
+            so_far = _counted(counts, place[at:at + 1024], used[at:at + 1024])
+            parts.append(median_bins(so_far, rows["value"].to_numpy(float)[at:at + 1024], bins, low, high))
+            counts = so_far[-1]
+        shown = pd.Series(np.concatenate([[np.nan if state["shown"] is None else state["shown"]], np.where(looked, np.concatenate(parts), np.nan)])).ffill()
+        state = {"counts": counts.tolist(), "seen": (state["seen"] + len(rows)) % 2, "shown": float(shown.iloc[-1])}
+        return state, pd.DataFrame({"frame": rows["frame"], "median": shown.iloc[1:].to_numpy()})
+
+    start = {"counts": [0] * bins, "seen": 0, "shown": None}
+    return _stateful(df, keys, "frame", ["frame", "value", "success"], start, step, "frame long, median double", late, slot_ms)
 
 
 def correction_stream(df: DataFrame, keys: list[str], ratio: float = 0.10, bins: int = 200, low: float = -3.0,
-                      high: float = 5.0, at_least: int = 10) -> DataFrame:
-    """Online baseline correction of (frame, value), clipped to 0..5."""
+                      high: float = 5.0, at_least: int = 10, late: str = LATE, slot_ms: int = SLOT_MS) -> DataFrame:
+    """Online baseline correction of (ts, frame, value), clipped to 0..5."""
 
     def step(state: dict, rows: pd.DataFrame):
-        counts = np.array(state["counts"])
-        out = []
-        for value in rows["value"]:
-            counts[min(max(int((value - low) * bins / (high - low)), 0), bins - 1)] += 1
-            total = int(counts.sum())
-            lift = low + float((counts.cumsum() > int(ratio * total)).argmax()) * ((high - low) / bins) if total >= at_least else 0.0
-            out.append(min(max(value - lift, 0.0), 5.0))
-        return {"counts": counts.tolist()}, pd.DataFrame({"frame": rows["frame"], "corrected": out})
+        value = rows["value"].to_numpy(float)
+        place = np.clip((value - low) * bins / (high - low), 0, bins - 1).astype(int)
+        counts, parts = np.array(state["counts"]), []
+        for at in range(0, len(rows), 1024):
+            so_far = _counted(counts, place[at:at + 1024], np.ones(len(place[at:at + 1024]), bool))
+            parts.append(lower_edges(so_far, ratio, bins, low, high, at_least))
+            counts = so_far[-1]
+        fixed = np.clip(value - np.concatenate(parts), 0.0, 5.0)
+        return {"counts": counts.tolist()}, pd.DataFrame({"frame": rows["frame"], "corrected": fixed})
+
+    return _stateful(df, keys, "frame", ["frame", "value"], {"counts": [0] * bins}, step, "frame long, corrected double", late, slot_ms)
+
 
-    return _stateful(df, keys, "frame", {"counts": [0] * bins}, step, "frame long, corrected double")
+def _counted(before: np.ndarray, place: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """Histogram after each row of a block, as the rows of a matrix."""
+    filled = np.zeros((len(place), len(before)), dtype=np.int64)
+    filled[np.flatnonzero(used), place[used]] = 1
+    return before + filled.cumsum(axis=0)
 
 
-def carry_stream(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Unseen rows (frame, seen, label, values) keep the last seen values; their label becomes Unknown."""
+def carry_stream(df: DataFrame, keys: list[str], values: list[str], late: str = LATE, slot_ms: int = SLOT_MS) -> DataFrame:
+    """Unseen rows (ts, frame, seen, label, values) keep the last seen values; their label becomes Unknown."""
 
     def step(state: dict, rows: pd.DataFrame):
         held = pd.DataFrame([state["values"]]) if state["values"] else pd.DataFrame([dict.fromkeys(values)])
-        known = rows[values].where(rows["seen"])
+        seen = rows["seen"].astype(bool)
+        known = rows[values].where(seen)
         filled = pd.concat([held[values].astype(float), known.astype(float)], ignore_index=True).ffill().iloc[1:].reset_index(drop=True)
         last = {c: None if pd.isna(filled[c].iloc[-1]) else float(filled[c].iloc[-1]) for c in values}
-        out = pd.DataFrame({"frame": rows["frame"], **{c: filled[c] for c in values}, "label": rows["label"].where(rows["seen"], "Unknown")})
+        out = pd.DataFrame({"frame": rows["frame"], **{c: filled[c] for c in values}, "label": rows["label"].where(seen, "Unknown")})
         return {"values": last}, out
 
     schema = "frame long, " + ", ".join(f"{c} double" for c in values) + ", label string"
-    return _stateful(df, keys, "frame", {"values": None}, step, schema)
+    return _stateful(df, keys, "frame", ["frame", "seen", "label", *values], {"values": None}, step, schema, late, slot_ms)
 
 
 def live_panel(events: DataFrame, utterances: DataFrame, every: str, late: str, width: int) -> DataFrame:
@@ -111,17 +192,52 @@ def live_panel(events: DataFrame, utterances: DataFrame, every: str, late: str,
     spread = (utterances.filter("end_ms > start_ms")
               .withColumn("_bucket", F.explode(F.sequence(at("start_ms"), at("end_ms"))))
               .select(F.col("meeting").alias("_m"), "_bucket", "ord", "start_ms", "end_ms"))
-    timed = events.withWatermark("ts", late).withColumn("_b", at("time_ms"))
+    timed = _timed(events, late).withColumn("_b", at("time_ms"))
     met = timed.join(spread, (timed["meeting"] == spread["_m"]) & (timed["_b"] == spread["_bucket"])
                      & (timed["time_ms"] >= spread["start_ms"]) & (timed["time_ms"] < spread["end_ms"]))
     counts = met.groupBy(F.window("ts", every), "meeting", "ord", "label").agg(F.count(F.lit(1)).alias("n"))
     return counts.select(F.col("window.start").alias("start"), "meeting", "ord", "label", "n")
 
 
-def drain(stream: DataFrame, spark: SparkSession, name: str) -> DataFrame:
-    """Run a stream over everything that is there now into a Parquet folder, and read that back."""
+def ending(events: DataFrame, spark: SparkSession) -> tuple[DataFrame, Callable[[], None]]:
+    """The stream together with a marker that can be sent later: ``(stream, send)``.
+
+    ``events`` has the event time ``ts``. After ``send()`` the next micro-batch carries one row that is null but for a time
+    far in the future, which moves the watermark past everything that waits.
+    """
+    folder = scratch(spark, "end")
+    schema = T.StructType([T.StructField(f.name, T.TimestampType() if f.name == "ts" else f.dataType) for f in events.schema.fields])
+    spark.createDataFrame([], schema).write.parquet(folder)
+    markers = spark.readStream.schema(schema).parquet(folder)
+    both = events.withColumn("ts", F.col("ts").cast("timestamp")).unionByName(markers)
+
+    def send() -> None:
+        row = spark.range(1).select(*[F.lit(END).cast("timestamp").alias(f.name) if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name)
+                                      for f in schema.fields])
+        row.write.mode("append").parquet(folder)
+
+    return both, send
+
+
+def drain(build: Callable[[DataFrame], DataFrame], events: DataFrame, spark: SparkSession, name: str) -> DataFrame:
+    """Run ``build(events)`` over everything that is there now into a Parquet folder, let what waits come out, and read
+    that back. The rows that came too late are in ``late_rows(result)``."""
     folder = scratch(spark, name)
-    query = (stream.writeStream.format("parquet").option("path", f"{folder}/rows").outputMode("append")
-             .option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start())
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+    both, send = ending(events, spark)
+    stream = build(both)
+    late = 0
+    for last in (False, True):
+        if last:
+            send()
+        query = (stream.writeStream.format("parquet").option("path", f"{folder}/rows").outputMode("append")
+                 .option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start())
+        query.awaitTermination()
+        late += sum(int(s["numRowsDroppedByWatermark"]) for p in query.recentProgress for s in p["stateOperators"])
+    out = spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+    out._late_rows = late
+    return out
+
+
+def late_rows(drained: DataFrame) -> int:
+    """How many rows a drained stream dropped for being behind the watermark."""
+    return drained._late_rows
