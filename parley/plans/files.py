@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import classify, features as ft, scoring as sc
-from ..operators.series import along
+from ..functions import texts
+from ..operators import classify, features as ft
+from ..session import cut_lineage
 from ..sources import tables as tb
 from . import frames as fr, views as v
 from .registry import query
-from .views import FRAMES, with_views
+from .views import with_views
 
 HMS = "printf('%02d:%02d:%02d', ({0} // 1000 % 86400) // 3600, ({0} // 1000 % 3600) // 60, {0} // 1000 % 60)"
 
@@ -32,7 +33,7 @@ def silence_file(spark, folder):
     from .dashboards import _silence
 
     path = tb.scratch(spark, "silence")
-    tb.write_csv(tb.silence_table(_silence(spark, folder), 3_600_000), path)
+    tb.write_csv(tb.silence_table(_silence(spark, folder)), path)
     back = tb.read_csv(spark, path, "meeting BIGINT, " + tb.SILENCE)
     return back.select("meeting", "Order", F.col("`Start time(HH:MM:SS)`").alias("start_hms"), "Speaker",
                        F.col("`Start time(ms)`").alias("start_ms"), F.col("`End time(ms)`").alias("end_ms"))
@@ -151,23 +152,64 @@ def ordered_transcript(spark, folder):
     return v.utt(spark, folder).orderBy("meeting", "ord").select("meeting", "ord", "speaker", "start_ms")
 
 
-@query(with_views(v.FRM) + "SELECT person, frame FROM frm WHERE frame % greatest(100 // 7, 1) = 0")
+@query(with_views(v.FRM) + """SELECT person, frame FROM frm JOIN (SELECT person, max(frame) + 1 AS length FROM frm GROUP BY person) USING (person)
+  WHERE frame % greatest(length // 7, 1) = 0""")
 def evenly_spaced_frames(spark, folder):
-    return tb.every_nth(v.frm(spark, folder), "frame", 100, 7).select("person", "frame")
+    return tb.every_nth(v.frm(spark, folder).select("person", "frame"), ["person"], "frame", 7)
+
+
+@query(with_views(v.FRM) + """SELECT person % 12 AS person, frame AS frame_number, time_ms, prediction, mouth, gesture FROM frm""")
+def person_series_folder(spark, folder):
+    """A folder of result<person>_<part>.csv, persons 0 to 11, so that result10 would come before result2 in a listing."""
+    path = tb.scratch(spark, "persons")
+    f = v.frm(spark, folder, "prediction", "mouth", "gesture").withColumn("person", F.col("person") % 12)
+    columns = {"frame": "frame_number", "time_ms": "time(ms)", "mouth": "mouse opening"}
+    rows = f.select("person", *[F.col(c).alias(columns.get(c, c)) for c in ("frame", "time_ms", "prediction", "mouth", "gesture")])
+    tb.write_named(tb.with_columns(rows, tb.PERSON_SERIES, ["person"]), path, "person", "result{by}_{part}.csv", encoding="Shift_JIS")
+    back = tb.read_person_series(spark, path)
+    return back.select(F.col("person").cast("long").alias("person"), "frame_number", F.col("`time(ms)`").alias("time_ms"), "prediction",
+                       F.col("`mouse opening`").alias("mouth"), "gesture")
+
+
+@query("""SELECT file_place, label, person, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT user_id % 12 AS file_place, (user_id % 2)::INT AS label,
+  user_id % 12 AS person, value FROM events) GROUP BY ALL""")
+def labelled_pose_folder(spark, folder):
+    """Files <person>-nod_0.csv and <person>-other_0.csv below a folder called nods: only the file names label."""
+    path = f"{tb.scratch(spark, 'poses')}/nods"
+    person = F.col("user_id") % 12
+    e = v.table(spark, folder, "events").select(F.concat_ws("-", person.cast("string"), F.when(F.col("user_id") % 2 == 1, "nod").otherwise("other")).alias("file"),
+                                                person.alias(" person"), F.col("value").alias(" pose_Rx"))
+    tb.write_named(e.repartition("file"), path, "file", "{by}_{part}.csv")
+    found = tb.read_labelled_pose(spark, path)
+    return found.groupBy("file_place", "label", F.col("person").cast("long").alias("person")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("pose_Rx"), 4).alias("total"))
+
+
+@query("""SELECT c_nationkey AS nation, dense_rank() OVER (ORDER BY 'id' || c_nationkey) - 1 AS speaker, count(*) AS files FROM (
+  SELECT DISTINCT c_nationkey FROM customer) GROUP BY c_nationkey""")
+def speaker_folders(spark, folder):
+    """Folders id<nation>/audio with a file each; folders are numbered in the order of their names."""
+    path = tb.scratch(spark, "speakers")
+    c = v.table(spark, folder, "customer").select("c_nationkey", "c_custkey").repartition("c_nationkey")
+    tb.write_named(c, path, "c_nationkey", "id{by}/audio/{part}.wav")
+    found = tb.speaker_files(spark, path)
+    return found.groupBy(F.regexp_extract("folder", "[0-9]+", 0).cast("int").alias("nation"), "speaker").agg(F.count(F.lit(1)).alias("files"))
+
+
+@query("""SELECT p_partkey AS part, least(w[i], w[j]) AS word1, greatest(w[i], w[j]) AS word2 FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part),
+  LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i) a, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS j) b WHERE i < j""")
+def name_word_pairs(spark, folder):
+    p = v.table(spark, folder, "part").select(F.col("p_partkey").alias("part"), F.explode(texts.word_pairs(F.split("p_name", " "))).alias("pair"))
+    return p.select("part", "pair.word1", "pair.word2")
 
 
 @query()
 def nod_classifier(spark, folder):
-    """Windows of head pose, labelled by whether their gesture share is above the mean: trained and scored on all."""
-    from ..session import cut_lineage
-
-    rows = cut_lineage(fr.pose_windows(spark, folder, "timestamp", "rx", "ry", "rz", "gesture", people=2))
+    """Windows of head pose, labelled by whether their gesture share is above the mean: trained on some persons, scored on others."""
+    rows = cut_lineage(fr.pose_windows(spark, folder, "timestamp", "rx", "ry", "rz", "gesture"))
     share = ft.window_success(rows, ["person"], "gesture")
     windows = ft.window_statistics(rows, ["person"], fr.AXES, "frame", "timestamp").join(share, ["person", "win"])
     mean = share.groupBy(F.lit(0).alias("_one")).agg(F.avg("success").alias("_mean"))
     windows = windows.withColumn("_one", F.lit(0)).join(F.broadcast(mean), "_one")  # one row
     windows = cut_lineage(windows.withColumn("label", (F.col("success") > F.col("_mean")).cast("int")).drop("success", "_one", "_mean"))
-    names = [f"{s}_{a}" for a in fr.AXES for s in ft.STATISTICS]
-    model, used = classify.train_nods(windows, names)
-    found = classify.predict_nods(model, windows, used)
-    return sc.classification_report(found, "label", "pred")
+    return classify.validated(windows, [f"{s}_{a}" for a in fr.AXES for s in ft.STATISTICS], "person")[1]

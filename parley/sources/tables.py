@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import texts
 from ..functions.times import hms
+from ..operators.ranks import ranked
 from ..operators.series import along
+from ..operators.skew import lookup_join, salted_join
 
 # Character sets Spark reads without a setting.
 PLAIN_CHARSETS = {"utf-8", "us-ascii", "iso-8859-1", "utf-16", "utf-16be", "utf-16le", "utf-32"}
@@ -63,23 +65,23 @@ def read_person_series(spark: SparkSession, folder: str, encoding: str = "Shift_
                      F.coalesce(F.try_to_number(F.regexp_extract(name, r"result\d+_(\d+)", 1), F.lit("999999")).cast("int"), F.lit(0)).alias("part"))
 
 
-def numbered_rows(df: DataFrame, keys: list[str], order: list[str], span: float) -> DataFrame:
+def numbered_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """0-based Order column."""
-    return along(df, keys, order, span, rank="Order")
+    return along(df, keys, order, rank="Order")
 
 
-def transcript_table(utterances: DataFrame, span: float = 65536) -> DataFrame:
+def transcript_table(utterances: DataFrame) -> DataFrame:
     """Utterances in the layout of the transcript file, numbered per meeting."""
-    rows = along(utterances, ["meeting"], ["ord"], span, rank="Order")
+    rows = along(utterances, ["meeting"], ["ord"], rank="Order")
     return rows.select("meeting", F.col("Order").cast("int").alias("Order"), hms(F.col("start_ms")).alias("Start time(HH:MM:SS)"),
                        hms(F.col("end_ms")).alias("End time(HH:MM:SS)"), F.col("text").alias("Text"),
                        F.col("speaker").alias("Speaker"), F.col("start_ms").alias("Start time(ms)"), F.col("end_ms").alias("End time(ms)"))
 
 
-def silence_table(silence: DataFrame, span: float, least_ms: int = 3000) -> DataFrame:
+def silence_table(silence: DataFrame, least_ms: int = 3000) -> DataFrame:
     """Silence of at least ``least_ms`` in the layout of the silence file, numbered per meeting."""
     rows = along(silence.filter(F.col("end_ms") - F.col("start_ms") >= least_ms), ["meeting"],
-                 ["start_ms", "speaker", "end_ms"], span, rank="Order")
+                 ["start_ms", "speaker", "end_ms"], rank="Order")
     return rows.select("meeting", F.col("Order").cast("int").alias("Order"), hms(F.col("start_ms")).alias("Start time(HH:MM:SS)"),
                        hms(F.col("end_ms")).alias("End time(HH:MM:SS)"), F.col("speaker").alias("Speaker"),
                        F.col("start_ms").alias("Start time(ms)"), F.col("end_ms").alias("End time(ms)"))
@@ -100,6 +102,33 @@ def write_csv(df: DataFrame, path: str, encoding: str = "UTF-8", by: list[str] |
     (writer.partitionBy(*by) if by else writer).csv(path)
 
 
+def write_named(df: DataFrame, folder: str, by: str, name: str, encoding: str = "UTF-8", keep: bool = False) -> None:
+    """CSV files below ``folder`` whose names the rows decide: ``name`` with {by} and {part} filled in.
+
+    The rows of a value may fill several files, numbered by {part}; ``keep`` leaves the column inside the files, too. Tasks
+    write in parallel, and the driver only renames the files once they are complete. A value must be fit for a path.
+    """
+    spark = df.sparkSession
+    work = scratch(spark, "named")
+    tagged = df.withColumn("_by", F.col(by)) if keep else df.withColumnRenamed(by, "_by")
+    tagged.write.partitionBy("_by").option("header", True).option("encoding", encoding).option("escape", '"').option(
+        "ignoreLeadingWhiteSpace", False).csv(work)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    Path = jvm.org.apache.hadoop.fs.Path
+    fs = Path(work).getFileSystem(conf)
+    for values in fs.listStatus(Path(work)):
+        if not values.isDirectory():
+            continue
+        value = values.getPath().getName().split("=", 1)[1]
+        parts = sorted((f.getPath() for f in fs.listStatus(values.getPath()) if f.getPath().getName().startswith("part-")), key=str)
+        for number, part in enumerate(parts):
+            target = Path(f"{folder}/{name.format(by=value, part=number)}")
+            fs.mkdirs(target.getParent())
+            if not fs.rename(part, target):
+                raise OSError(f"cannot name {target}")
+    fs.delete(Path(work), True)
+
+
 def write_split_text(df: DataFrame, path: str, columns: list[str], by: str) -> None:
     """Blank-separated text without header: everything below ``all``, and once more per value of ``by``."""
     options = {"sep": " ", "header": False, "escape": '"'}
@@ -139,14 +168,18 @@ def read_pose(spark: SparkSession, path) -> DataFrame:
 
 
 def read_labelled_pose(spark: SparkSession, folder: str, mark: str = "nod") -> DataFrame:
-    """Head-pose files with ``file``, ``label`` (1 when the file name holds the mark) and the numbers in the name.
+    """Head-pose files with ``file``, ``label`` (1 when the file name holds the mark) and ``file_place``.
 
-    Only the file name counts: a folder called nod does not label its files.
+    Only the file name counts: a folder called nod does not label its files. ``file_place`` numbers the files by the
+    numbers in their names, so that 10 comes after 9; names without numbers come first, and the name decides among equals.
     """
     raw = spark.read.option("header", True).csv(folder)
     name = F.col("_metadata.file_name")
-    return raw.select(*[F.col(f"`{c}`").cast("double").alias(c.strip()) for c in raw.columns], name.alias("file"),
-                      F.contains(name, F.lit(mark)).cast("int").alias("label"), texts.numbers_of(name).alias("file_order"))
+    rows = raw.select(*[F.col(f"`{c}`").cast("double").alias(c.strip()) for c in raw.columns], name.alias("file"),
+                      F.contains(name, F.lit(mark)).cast("int").alias("label"))
+    files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file")).distinct()
+    places = ranked(files.withColumn("_numbers", texts.numbers_of(F.col("file"))), ["_numbers", "file"], "file_place").drop("_numbers")
+    return lookup_join(rows, places, ["file"])
 
 
 def read_run_parameters(spark: SparkSession, path, lines: bool = False) -> DataFrame:
@@ -195,8 +228,7 @@ def speaker_files(spark: SparkSession, folder: str, most: int | None = None) ->
     folders = named.select("folder").distinct()
     if most is not None:
         folders = folders.orderBy("folder").limit(most)
-    ranked = along(folders.withColumn("_key", F.ascii("folder")), [], ["_key", "folder"], 1, rank="speaker").drop("_key")
-    return named.join(ranked, "folder")
+    return named.join(ranked(folders, ["folder"], "speaker"), "folder")
 
 
 def read_labelled_list(spark: SparkSession, path, root: str = "", tail: int | None = None) -> DataFrame:
@@ -207,9 +239,17 @@ def read_labelled_list(spark: SparkSession, path, root: str = "", tail: int | No
             .select(F.concat(F.lit(f"{root.rstrip('/')}/" if root else ""), name).alias("file"), parts[1].cast("int").alias("label")))
 
 
-def every_nth(df: DataFrame, order: str, length: int, count: int) -> DataFrame:
-    """Rows at evenly spaced places: step ``length // count`` from 0."""
-    return df.filter(F.col(order) % max(length // count, 1) == 0)
+def every_nth(df: DataFrame, keys: list[str], order: str, count: int) -> DataFrame:
+    """Rows at evenly spaced places of each key: step ``length // count`` from 0, with the length from the key's last place."""
+    length = df.groupBy(*keys).agg((F.max(order) + 1).alias("_length"))
+    step = F.greatest(F.floor(F.col("_length") / count), F.lit(1))
+    return salted_join(df, length, keys).filter(F.col(order) % step == 0).drop("_length")
+
+
+def with_columns(df: DataFrame, schema: str, also: list[str]) -> DataFrame:
+    """All columns of a file layout in its order, NULL where the table lacks them, after the columns of ``also``."""
+    fields = T._parse_datatype_string(schema).fields
+    return df.select(*also, *[(F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
 
 
 def with_schema(df: DataFrame, schema: str) -> DataFrame:

@@ -45,7 +45,7 @@ def test_pose_headers_and_labels(spark, tmp_path):
     (folder / "other-10.csv").write_text("frame, timestamp, confidence\n2, 0.7, 0.3\n")
     assert tb.read_pose(spark, str(folder)).columns == ["frame", "timestamp", "confidence"]
     out = tb.read_labelled_pose(spark, str(folder))
-    assert rows(out.select("file", "label", "confidence", "file_order"), "file_order") == [("nod-2.csv", 1, 0.9, [2]), ("other-10.csv", 0, 0.3, [10])]
+    assert rows(out.select("file", "label", "confidence", "file_place"), "file_place") == [("nod-2.csv", 1, 0.9, 0), ("other-10.csv", 0, 0.3, 1)]
 
 
 def test_run_parameters(spark, tmp_path):
@@ -88,7 +88,8 @@ def test_labelled_list(spark, tmp_path):
 def test_parts_and_sampling(spark):
     a, b = spark.range(2), spark.range(3)
     assert rows(tb.concat_parts([a, b], "id"), "part", "id") == [(0, 0), (1, 0), (0, 1), (1, 1), (2, 1)]
-    assert [r.id for r in tb.every_nth(spark.range(10), "id", 10, 3).collect()] == [0, 3, 6, 9]
+    two = spark.range(10).selectExpr("0 AS k", "id").unionAll(spark.range(4).selectExpr("1 AS k", "id"))
+    assert rows(tb.every_nth(two, ["k"], "id", 3), "k", "id") == [(0, 0), (0, 3), (0, 6), (0, 9), (1, 0), (1, 1), (1, 2), (1, 3)]
 
 
 def test_schema(spark):
