@@ -50,7 +50,8 @@ def split_by_recording(windows: DataFrame, recording: str, fold: int = 5, seed:
     return windows.filter(~unseen), windows.filter(unseen)
 
 
-def train_nods(train: DataFrame, features: list[str], label: str = "label", keep: int = 12, seed: int = 0, width: int = WIDTH) -> NodModel:
+def train_nods(train: DataFrame, features: list[str], label: str = "label", keep: int = 12, seed: int = 0, width: int = WIDTH,
+               rounds: int = 50) -> NodModel:
     """Fit the classifier: drop features with gaps, standardise, keep the telling ones, lift them, train.
 
     The Gaussian kernel's width is one over the number of kept features, which are standardised; the machine is linear in
@@ -58,6 +59,9 @@ def train_nods(train: DataFrame, features: list[str], label: str = "label", keep
     windows of one label are an error, as there is nothing to tell apart.
     """
     whole = finite_columns(train, features)
+    shares = {row[label]: row["n"] for row in whole.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}  # two labels
+    if len(shares) != 2:
+        raise ValueError("training windows need two labels")
     used = [f for f in features if f in whole.columns]
     kept = min(keep, len(used))
     selector = (UnivariateFeatureSelector(featuresCol="scaled", outputCol="kept", labelCol=label, selectionMode="numTopFeatures")
@@ -67,13 +71,10 @@ def train_nods(train: DataFrame, features: list[str], label: str = "label", keep
     r = np.random.default_rng(seed)
     model = NodModel(used, prepared, r.normal(scale=np.sqrt(2 / kept), size=(kept, width)), r.uniform(0, 2 * np.pi, width))
     lifted = _lifted(model, whole)
-    shares = {row[label]: row["n"] for row in whole.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}  # two labels
-    if len(shares) != 2:
-        raise ValueError("training windows need two labels")
     total, weight = sum(shares.values()), F.lit(None).cast("double")
     for value, n in shares.items():
         weight = F.when(F.col(label) == value, total / (2.0 * n)).otherwise(weight)
-    machine = LinearSVC(featuresCol="lifted", labelCol=label, weightCol="_weight", regParam=1e-3, maxIter=50)
+    machine = LinearSVC(featuresCol="lifted", labelCol=label, weightCol="_weight", regParam=1e-3, maxIter=rounds)
     model.machine = machine.fit(lifted.withColumn("_weight", weight))
     return model
 

@@ -12,14 +12,14 @@ def windows(spark, recordings=10, per=60):
     for k in range(recordings):
         for _ in range(per):
             x = r.uniform(-2, 2, size=2)
-            rows.append((f"rec{k}", *map(float, x * 10), *map(float, r.normal(size=3)), None if len(rows) == 7 else 1.0, int(x @ x < 1.6)))
+            rows.append((f"rec{k}", *map(float, x * 10), *map(float, r.normal(size=3)), None if len(rows) % per == 7 else 1.0, int(x @ x < 1.6)))
     return spark.createDataFrame(rows, "recording string, a double, b double, c double, d double, e double, gap double, label int")
 
 
 def test_unseen_recordings_are_told_apart(spark):
     df = windows(spark).cache()
     squared = df.withColumns({"aa": F.col("a") ** 2, "bb": F.col("b") ** 2})
-    model, report = cf.validated(squared, ["a", "b", "c", "d", "e", "gap", "aa", "bb"], "recording", keep=2)
+    model, report = cf.validated(squared, ["a", "b", "c", "d", "e", "gap", "aa", "bb"], "recording", keep=2, rounds=20)
     row = report.first()
     assert model.used == ["a", "b", "c", "d", "e", "aa", "bb"]  # a feature with a gap is dropped
     assert row.tp + row.tn + row.fp + row.fn in (60, 120, 180, 240) and row.accuracy > 0.9
