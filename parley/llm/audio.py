@@ -162,8 +162,7 @@ def as_clips(docs, text: str = "text", clip: str = "clip"):
 
 
 FEATURE_NAMES = ["payload_bytes", "payload_sha256", "tail_crc32", "tensors", "n_frames", "spans", "feature"]
-FEATURES = ("payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, tensors binary, n_frames bigint,"
-            " spans array<struct<start_s: double, end_s: double>>, feature string")
+FEATURE_TYPES = ["bigint", "string", "bigint", "binary", "bigint", "array<struct<start_s: double, end_s: double>>", "string"]
 
 
 def features(clips, clip: str = "clip"):
@@ -173,13 +172,13 @@ def features(clips, clip: str = "clip"):
     tensors      Arrow stream of log-mel tensors and their spans
     spans        when the clip sounds
     feature      number of frames and spans, and a digest of the log-mel values rounded to 1/16
+
+    A name gets underscores in front where the table has it already.
     """
     import pyarrow as pa
 
     rest = clips.drop(clip)
-    taken = {c.lower() for c in rest.columns}
-    if taken & set(FEATURE_NAMES):
-        raise ValueError("the table already has a column named as a feature")
+    names = [free_name(rest, n) for n in FEATURE_NAMES]
     bounded_batches(clips.sparkSession)
 
     def of(data):
@@ -203,7 +202,7 @@ def features(clips, clip: str = "clip"):
             found = list(zip(*[of(x) for x in b.column(at).to_pylist()]))
             keep = [i for i in range(b.num_columns) if i != at]
             yield pa.RecordBatch.from_arrays([b.column(i) for i in keep] + [pa.array(list(f), k) for f, k in zip(found, kinds)],
-                                             names=[b.schema.names[i] for i in keep] + FEATURE_NAMES)
+                                             names=[b.schema.names[i] for i in keep] + names)
 
-    return clips.mapInArrow(run, ddl(rest) + FEATURES)
+    return clips.mapInArrow(run, ddl(rest) + ", ".join(f"`{n}` {t}" for n, t in zip(names, FEATURE_TYPES)))
 

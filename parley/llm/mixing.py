@@ -5,8 +5,8 @@ time; inverted, it says at which time the n-th word of a source is wanted. Every
 first word, and the result is range-sorted by that time. Only DataFrame functions are used.
 
 Nulls: a null or empty text has size 0 and is never taken; a null source is a source of its own and comes last; a null id
-is an ordinary id. Rows that repeat are rows of their own; ties in the order within a source are broken by id and size,
-and rows equal in both are interchangeable. A source without words gets target 0. An empty table gives an empty result.
+is an ordinary id. Rows that repeat are rows of their own; ties in the order within a source are broken by id and size (by
+the row's place in ``mix``), and rows equal in both are interchangeable. A source without words gets target 0. An empty table gives an empty result.
 Columns besides the three named are ignored, so names cannot clash.
 """
 
@@ -17,6 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import cut_lineage
+from .common import free_name
 
 WORD = r"[^ \t-\r]+"
 PASSES = 3  # a document is taken at most this often
@@ -69,14 +70,15 @@ def when_served(share: Column, knots: tuple[float, ...]) -> Column:
     return time
 
 
-def curriculum(docs: DataFrame, schedules=SCHEDULES) -> DataFrame:
+def curriculum(docs: DataFrame, schedules=SCHEDULES, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document in the order of training: doc_id, source, size, source_size, target, taken, position, copies.
 
+    ``carry`` names columns that stay beside their row and put rows of equal id and size in order.
+
     ``copies`` holds a (position, words) pair for each time the document is read; ``position`` is the first (null and last
     if the document is not taken). The copy at which a source's demand ends is read up to the last wanted word.
     """
-    spark = docs.sparkSession
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"),
+    sized = docs.select(*carry, "doc_id", "source", word_count(F.col("text")).alias("size"),
                         F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("t")).alias("_key"),
                         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("_order"))
     sized = cut_lineage(sized)
@@ -91,7 +93,7 @@ def curriculum(docs: DataFrame, schedules=SCHEDULES) -> DataFrame:
     sources = shares(sources.withColumn("_number", number), 1 + F.col("_number") % len(WEIGHTS))
     known = chunks.join(sources.select("_key", "source_size", "target", "_weight"), "_key").drop("_words")
     rows = sized.join(known, ["_key", "_chunk"])
-    inside = Window.partitionBy("_key", "_chunk").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_key", "_chunk").orderBy("_order", "doc_id", "size", *carry).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_before", F.col("_carry") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     wanted = F.floor("target").cast("long")
 
@@ -106,19 +108,23 @@ def curriculum(docs: DataFrame, schedules=SCHEDULES) -> DataFrame:
 
     rows = rows.withColumn("copies", F.filter(F.array(*[copy(i) for i in range(PASSES)]), lambda c: c["words"] > 0))
     taken = F.aggregate("copies", F.lit(0).cast("long"), lambda s, c: s + c["words"])
-    rows = rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"),
+    rows = rows.select(*carry, "doc_id", "source", "size", "source_size", "target", taken.alias("taken"),
                        F.get("copies", F.lit(0))["position"].alias("position"), "copies")
     return rows.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The documents of the mix, one row for each time one is read, whole, in the order of training."""
-    plan = curriculum(docs).filter("taken > 0").select("doc_id", "source", "size", "copies").dropDuplicates(["doc_id", "source", "size"])
-    copies = plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.explode("copies").alias("_copy"))
-    sized = docs.withColumn("_words", word_count(F.col("text")))
-    return (sized.join(copies, sized["doc_id"].eqNullSafe(F.col("_id")) & sized["source"].eqNullSafe(F.col("_source"))
-                       & (F.col("_words") == F.col("_size")))
-            .orderBy("_copy.position", "doc_id").select(*docs.columns))
+    """The documents of the mix, one row for each time one is read, whole, in the order of training.
+
+    Rows are told apart by their place in the table, so rows with equal ids, sources and sizes are planned each; ``docs`` must
+    be a stored table, which reads the same twice.
+    """
+    name = free_name(docs, "_row")
+    placed = docs.withColumn(name, F.monotonically_increasing_id())
+    plan = curriculum(placed.select(name, "doc_id", "source", "text"), carry=(name,)).filter("taken > 0")
+    copies = plan.select(F.col(name), F.explode("copies").alias(free_name(placed, "_copy")))
+    copy = copies.columns[1]
+    return placed.join(copies, name).orderBy(f"{copy}.position", "doc_id", name).select(*docs.columns)
 
 
 SQL = r"""

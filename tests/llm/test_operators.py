@@ -129,6 +129,33 @@ def test_mixing_targets_and_copies(docs, empty, rows):
     assert mixing.mix(docs).columns == docs.columns
 
 
+def test_mix_of_rows_that_repeat(spark, tmp_path):
+    """Four equal rows of a source that is wanted with 15 words are planned row by row, not as one."""
+    text = "a b c d e"
+    rows = [(1, "a", text, "x")] * 4 + [(None, "b", text, "y")] * 3 + [(2, "b", text + " f", "z")]
+    spark.createDataFrame(rows, "doc_id bigint, source string, text string, _row string").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    plan = mixing.curriculum(docs).collect()
+    times = {}
+    for r in plan:
+        times[(r.doc_id, r.size)] = times.get((r.doc_id, r.size), 0) + len(r.copies)
+    got = {}
+    for r in mixing.mix(docs).collect():
+        key = (r.doc_id, len(r.text.split()))
+        got[key] = got.get(key, 0) + 1
+    assert got == {k: n for k, n in times.items() if n}
+    target = {r.source: r.target for r in plan}
+    assert sum(len(r.text.split()) for r in mixing.mix(docs).filter("source = 'a'").collect()) - target["a"] < 5
+
+
+def test_audio_names_that_clash(spark):
+    docs = spark.createDataFrame([(1, "some text", "f", [1.0])], "doc_id bigint, text string, feature string, spans array<double>")
+    out = audio.features(audio.as_clips(docs))
+    assert out.columns == ["doc_id", "text", "feature", "spans", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "tensors", "n_frames", "_spans", "_feature"]
+    row = out.first()
+    assert row.feature == "f" and row._feature and row.spans == [1.0]
+
+
 def test_served_share_is_the_integral_of_the_weight(spark):
     knots = (1.5, 1.0, 0.5)
     times = [i / 20 for i in range(21)]
