@@ -23,7 +23,7 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 100, toleran
     n = nodes.count()
     if not n:
         return nodes.withColumn("rank", F.lit(0.0))
-    small = fits(nodes)
+    small = fits(nodes.withColumn("rank", F.lit(0.0)))
     ranks = nodes.withColumn("rank", F.lit(1.0 / n))
     for number in range(1, rounds + 1):
         source = ranks.withColumnRenamed("word", "src")

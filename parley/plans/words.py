@@ -55,7 +55,7 @@ def _pairs(spark, folder):
     sent, counts = _words(spark, folder)
     codes = cut_lineage(wd.ranked_words(counts))
     coded = wd.coded_sentences(sent, KEYS, codes)
-    return wd.named_pairs(wd.jaccard(cut_lineage(wd.pair_counts(coded))), codes)
+    return wd.jaccard(cut_lineage(wd.pair_counts(coded)), codes)
 
 
 @query(with_views(v.SENT, COUNTS) + "SELECT word, n AS count FROM cnt")

@@ -40,7 +40,7 @@ def test_pairs_and_jaccard(spark, block, buffer, monkeypatch):
     s = sentences(spark, lists)
     vocabulary = wd.ranked_words(wd.word_counts(s), 100)
     pairs = wd.pair_counts(wd.coded_sentences(s, ["id"], vocabulary))
-    got = {(r.word1, r.word2): r for r in wd.named_pairs(wd.jaccard(pairs), vocabulary).collect()}
+    got = {(r.word1, r.word2): r for r in wd.jaccard(pairs, vocabulary).collect()}
     want = collections.Counter(tuple(sorted(p)) for l in lists for p in itertools.combinations(l, 2))
     member = collections.Counter(w for p, n in want.items() for w in p for _ in range(n))
     assert {k: r.intersection_count for k, r in got.items()} == dict(want)
@@ -68,7 +68,7 @@ def test_joined_texts_in_order(spark):
 
 @pytest.mark.parametrize("limit", [200_000, 1])
 def test_pagerank(spark, limit, monkeypatch):
-    monkeypatch.setattr(graph.fits, "__defaults__", (limit,))
+    monkeypatch.setattr(graph.fits, "__defaults__", (limit, 1 << 26))
     edges = [("a", "b", 1.0), ("b", "c", 2.0), ("a", "c", 1.0), ("c", "d", 0.5)]
     got = {r.word: r["rank"] for r in graph.pagerank(spark.createDataFrame(edges, "src string, dst string, weight double"), tolerance=1e-9).collect()}
     both = [(a, b, w) for a, b, w in edges] + [(b, a, w) for a, b, w in edges]
