@@ -246,6 +246,14 @@ def detect_nods(df: DataFrame, keys: list[str], span: int = 60_000, k: int = 3,
     rows = cut_lineage(used.withColumn("_chunk", F.floor(F.col("frame") / span).cast("long")))
     types = dict(rows.dtypes)
     key_schema = ", ".join(f"{c} {types[c]}" for c in keys)
+    chunks = rows.groupBy(*keys).agg(F.min("_chunk").alias("_lo"), F.max("_chunk").alias("_hi"))
+    if chunks.filter("_lo < _hi").isEmpty():  # every series is one chunk, which starts afresh
+
+        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+            _, out = nod_rows({**NOD_START, "hold": variant["hold"]}, pdf, drop, **variant)
+            return out.assign(**{c: pdf[c].iloc[0] for c in keys})[[*keys, *out.columns]]
+
+        return map_groups(rows, group, ["frame"], whole, ", ".join(f"{c} {t}" for c, t in rows.select(*keys).dtypes) + f", {NOD_SCHEMA}")
     # The first frame of a chunk moves from the last point of the chunk before.
     last = rows.groupBy(*group).agg(F.max_by(F.struct("x", "y", "height"), "frame").alias("_last"))
     before = cut_lineage(last.select(*group, F.lag("_last").over(Window.partitionBy(*keys).orderBy("_chunk")).alias("_was"))

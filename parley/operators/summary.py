@@ -160,7 +160,7 @@ def loudest_mic(samples: DataFrame, segments: DataFrame, keys: list[str], full_s
     """dBFS of every mic inside each segment and the loudest one; the lowest mic wins a tie.
 
     ``samples`` holds (keys, mic, t_ms, amplitude); a mic without samples in a segment has no say. The energy of a segment
-    is the difference of two running sums, looked up at its start and its end, so a sample is read once however many
+    is the difference of two running sums, looked up at its start and its end in one sweep, so a sample is read once however many
     segments hold it. The sums are decimals, so the differences are exact to the energy's tenth decimal.
     """
     line = [*keys, "mic"]
@@ -168,12 +168,13 @@ def loudest_mic(samples: DataFrame, segments: DataFrame, keys: list[str], full_s
     levels = samples.groupBy(*line, "t_ms").agg(F.sum(energy).alias("e"), F.count(energy).alias("n"))
     upto = along(levels, line, ["t_ms"], total={"_e": F.col("e"), "_n": F.col("n")}).select(*line, "t_ms", "_e", "_n")
     asked = salted_join(segments, samples.select(*line).distinct(), keys)
-    edges = asked
-    for name, time in (("0", "start_ms"), ("1", "end_ms")):
-        edges = asof(edges, upto, line, time, "t_ms", ["_e", "_n"], strict=True).withColumnsRenamed({"_e": f"_e{name}", "_n": f"_n{name}"})
-    n = F.col("_n1") - F.coalesce("_n0", F.lit(0))
-    inside = edges.withColumn("_n", n).filter("_n > 0")
-    mean = (F.col("_e1") - F.coalesce("_e0", F.lit(0).cast("decimal(38,10)"))).cast("double") / F.col("_n")
+    ends = asked.select(*line, "id", "start_ms", "end_ms", F.explode(F.array(
+        F.struct(F.col("start_ms").alias("at"), F.lit(-1).alias("sign")), F.struct(F.col("end_ms").alias("at"), F.lit(1).alias("sign")))).alias("_end"))
+    ends = ends.select(*line, "id", "start_ms", "end_ms", "_end.at", "_end.sign")
+    known = asof(ends, upto, line, "at", "t_ms", ["_e", "_n"], strict=True)
+    inside = (known.groupBy(*line, "id", "start_ms", "end_ms").agg(F.sum(F.col("_e") * F.col("sign")).alias("_e"), F.sum(F.col("_n") * F.col("sign")).alias("_n"))
+              .filter("_n > 0"))
+    mean = F.col("_e").cast("double") / F.col("_n")
     level = F.log10(F.sqrt(mean) / full_scale) * 20
     return inside.groupBy(*keys, "id", "start_ms", "end_ms").agg(
         F.max_by("mic", F.struct(level.alias("dbfs"), -F.col("mic"))).alias("mic"), F.max(level).alias("dbfs"))

@@ -2,8 +2,8 @@
 
 Frames may arrive in any order within the watermark's delay. Every key keeps an ordered buffer: rows wait in the state
 store by slots of event time, and an event-time timer fires when the watermark has passed a slot. Only then are the slot's
-rows put in frame order and given to the detector, slot after slot, so a task holds one slot of one key at a time and the
-result does not depend on how rows were dealt to micro-batches. Rows behind the watermark are late: the stream drops and
+rows put in frame order and given to the detector, slot after slot, so a task holds a slot of one key and a few small chunks
+at a time, and the result does not depend on how rows were dealt to micro-batches. Rows behind the watermark are late: the stream drops and
 counts them (``late_rows``). A row without event time or key has no place in a series and is left out.
 
 A stream that ends (``drain``) gets one last marker row far in the future, so that what waits for the watermark comes out.
@@ -25,6 +25,7 @@ from ..sources.tables import scratch
 END = "9999-01-01 00:00:00"  # event time of the marker that ends a drained stream
 LATE = "1 day"
 SLOT_MS = 3_600_000
+FEW = 4096  # rows of a key in a micro-batch that wait together
 
 
 class _Ordered(StatefulProcessor):
@@ -32,7 +33,7 @@ class _Ordered(StatefulProcessor):
 
     def __init__(self, keys: list[str], columns: list[str], order: str, start: dict, step, slot_ms: int, result: list[str]):
         self.keys, self.columns, self.order, self.start, self.step = keys, columns, order, start, step
-        self.slot_ms, self.result = slot_ms, result
+        self.slot_ms, self.result, self.few = slot_ms, result, FEW
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -53,32 +54,46 @@ class _Ordered(StatefulProcessor):
             held["timer"] = timer
         self.held.update((json.dumps(held),))
 
+    def _keep(self, held: dict, rows: list, slot: int) -> None:
+        part = held["slots"].get(str(slot), 0)
+        self.rows.updateValue((slot, part), (json.dumps(rows),))
+        held["slots"][str(slot)] = part + 1
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         held = self._load()
         for batch in rows:
             slots = batch["at_ms"].to_numpy() // self.slot_ms
-            values = batch[[f"c{i}" for i in range(len(self.columns))]]
-            for slot in np.unique(slots):
-                part = held["slots"].get(str(slot), 0)
-                self.rows.updateValue((int(slot), part), (json.dumps(values[slots == slot].astype(object).where(values.notna(), None).to_numpy().tolist()),))
-                held["slots"][str(slot)] = part + 1
+            values = batch[["at_ms", *[f"c{i}" for i in range(len(self.columns))]]]
+            values = values.astype(object).where(values.notna(), None).to_numpy()
+            if len(values) <= self.few:  # a chunk under its first slot; it is small, so it may reach into later ones
+                self._keep(held, values.tolist(), int(slots.min()))
+            else:
+                for slot in np.unique(slots):
+                    self._keep(held, values[slots == slot].tolist(), int(slot))
         self._save(held)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         held = self._load()
         held["timer"] = None  # it has fired
-        upto = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
-        for slot in sorted(s for s in map(int, held["slots"]) if (s + 1) * self.slot_ms <= upto):
-            waiting: list = []
+        done = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) // self.slot_ms  # slots before it are over
+        ready = sorted(s for s in map(int, held["slots"]) if s < done)
+        waiting: list = []
+        for slot, following in zip(ready, [*ready[1:], done]):
             for part in range(held["slots"].pop(str(slot))):
                 waiting += json.loads(self.rows.getValue((slot, part))[0])
                 self.rows.removeKey((slot, part))
-            table = pd.DataFrame(waiting, columns=self.columns).sort_values(self.order, kind="stable", ignore_index=True)
-            held["value"], result = self.step(held["value"], table)
-            for name, part in zip(reversed(self.keys), reversed(key)):
-                result.insert(0, name, part)
-            yield result[self.result]
+            # no chunk that is still to be read reaches below the following slot
+            due = [r[1:] for r in waiting if r[0] < following * self.slot_ms]
+            waiting = [r for r in waiting if r[0] >= following * self.slot_ms]
+            if due:
+                table = pd.DataFrame(due, columns=self.columns).sort_values(self.order, kind="stable", ignore_index=True)
+                held["value"], result = self.step(held["value"], table)
+                for name, part in zip(reversed(self.keys), reversed(key)):
+                    result.insert(0, name, part)
+                yield result[self.result]
+        if waiting:
+            self._keep(held, waiting, min(r[0] for r in waiting) // self.slot_ms)
         self._save(held)
 
 

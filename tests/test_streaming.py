@@ -25,8 +25,9 @@ def table(df, *cols):
     return sorted(map(tuple, df.select(*cols).collect()))
 
 
-@pytest.mark.parametrize("shuffled", [None, 5])
-def test_nods_in_a_stream_are_those_of_the_batch(spark, tmp_path, shuffled):
+@pytest.mark.parametrize("shuffled, few", [(None, 4096), (5, 4096), (5, 3)])
+def test_nods_in_a_stream_are_those_of_the_batch(spark, tmp_path, shuffled, few, monkeypatch):
+    monkeypatch.setattr(st, "FEW", few)
     random.seed(1)
     df = spark.createDataFrame([(p, f, 0, random.choice([0, 3, 40]), 100) for p in (0, 1) for f in range(200)], "p long, frame long, x int, y int, height int")
     events = arriving(spark, df, tmp_path / "s", 4, shuffled)
