@@ -24,10 +24,11 @@ class NodModel:
     """Selected and standardised features, their random features, and the linear machine on those."""
 
     used: list[str]
-    prepared: PipelineModel
+    prepared: PipelineModel | None
     weights: np.ndarray
     shift: np.ndarray
     machine: LinearSVCModel | None = None
+    constant: int | None = None  # the only label there was to learn
 
 
 def random_features(vector: Column, weights: np.ndarray, shift: np.ndarray) -> Column:
@@ -55,14 +56,14 @@ def train_nods(train: DataFrame, features: list[str], label: str = "label", keep
     """Fit the classifier: drop features with gaps, standardise, keep the telling ones, lift them, train.
 
     The Gaussian kernel's width is one over the number of kept features, which are standardised; the machine is linear in
-    ``width`` random features, so it trains in passes over the windows whatever their number. Rare labels weigh more. All
-    windows of one label are an error, as there is nothing to tell apart.
+    ``width`` random features, so it trains in passes over the windows whatever their number. Rare labels weigh more. From
+    windows of one label a model learns to say that label, and without windows it says 0.
     """
     whole = finite_columns(train, features)
     shares = {row[label]: row["n"] for row in whole.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}  # two labels
-    if len(shares) != 2:
-        raise ValueError("training windows need two labels")
     used = [f for f in features if f in whole.columns]
+    if len(shares) < 2:
+        return NodModel(used, None, np.zeros((0, 0)), np.zeros(0), constant=int(next(iter(shares), 0)))
     kept = min(keep, len(used))
     selector = (UnivariateFeatureSelector(featuresCol="scaled", outputCol="kept", labelCol=label, selectionMode="numTopFeatures")
                 .setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(kept))
@@ -85,7 +86,10 @@ def _lifted(model: NodModel, windows: DataFrame) -> DataFrame:
 
 def predict_nods(model: NodModel, windows: DataFrame) -> DataFrame:
     """Predicted 0/1 per window; windows with a gap in a used feature are left out."""
-    found = model.machine.transform(_lifted(model, finite_rows(windows, model.used)))
+    whole = finite_rows(windows, model.used)
+    if model.constant is not None:
+        return whole.withColumn("pred", F.lit(model.constant).cast("long"))
+    found = model.machine.transform(_lifted(model, whole))
     return found.withColumn("pred", F.col("prediction").cast("long")).drop("raw", "scaled", "kept", "lifted", "rawPrediction", "prediction")
 
 

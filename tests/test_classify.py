@@ -1,5 +1,4 @@
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from parley.operators import classify as cf
@@ -39,6 +38,8 @@ def test_random_features_follow_the_kernel(spark):
     assert np.abs(z @ z.T - kernel).max() < 0.08
 
 
-def test_one_label_is_an_error(spark):
-    with pytest.raises(ValueError):
-        cf.train_nods(windows(spark).filter("label = 1"), ["a", "b"])
+def test_one_label_or_none(spark):
+    df = windows(spark)
+    model = cf.train_nods(df.filter("label = 1"), ["a", "b"])
+    assert [r[0] for r in cf.predict_nods(model, df).select("pred").distinct().collect()] == [1]
+    assert cf.train_nods(df.limit(0), ["a", "b"]).constant == 0
