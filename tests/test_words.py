@@ -50,6 +50,28 @@ def test_pairs_and_jaccard(spark, block, buffer, monkeypatch):
         assert r.jaccard_coefficient == pytest.approx(want[a, b] / union)
 
 
+@pytest.mark.parametrize("group, first", [(1 << 22, 200_000), (3, 2)])
+def test_pairs_tell_their_words(spark, group, first, monkeypatch):
+    monkeypatch.setattr(wd, "PAIR_GROUP", group)
+    monkeypatch.setattr(wd, "PAIR_BUFFER", 40)
+    monkeypatch.setattr(wd, "BROADCAST_ROWS", first)
+    monkeypatch.setattr(wd.fits, "__defaults__", (first, 1 << 26))
+    random.seed(2)
+    lists = [random.sample("abcdefghijkéü", random.randint(1, 9)) for _ in range(40)] + [["alone"]]
+    s = sentences(spark, lists)
+    vocabulary = wd.ranked_words(wd.word_counts(s))
+    coded = wd.coded_sentences(s, ["id"], vocabulary)
+    plain = rows(wd.jaccard(wd.pair_counts(coded), vocabulary), "word1", "word2")
+    known = vocabulary.join(wd.pair_members(coded), "rank").select("rank", "word", "members")
+    assert plain and rows(wd.jaccard(wd.pair_counts(coded, known=known), known), "word1", "word2") == plain
+    want = collections.Counter(tuple(sorted(p)) for l in lists for p in itertools.combinations(l, 2))
+    assert {r[:2]: r[2] for r in plain} == dict(want)
+    cut = vocabulary.filter("rank < 9")
+    kept = {r.word for r in cut.collect()}
+    assert rows(wd.cut_sentences(s, ["id"], cut), "id") == [(i, sorted(kept & set(l))) for i, l in enumerate(lists) if kept & set(l)]
+    assert wd.bag_of_words(s, ["id"], cut).count() == sum(len(kept & set(l)) for l in lists)
+
+
 def test_jaccard_groups(spark):
     df = spark.createDataFrame([(c,) for c in (0.0, 0.003, 0.0089, 0.009, 0.012)], "jaccard_coefficient double")
     assert [r.g for r in df.select(wd.jaccard_group(F.col("jaccard_coefficient")).alias("g")).collect()] == [0, 1, 2, 3, 4]
