@@ -328,6 +328,19 @@ def test_scores(docs, empty, rows):
     assert scoring.scored(empty).count() == 0
 
 
+def test_bit_counts_come_from_all_training_texts(spark):
+    made = [(i, "the same sentence about the same small matter " * 4) for i in range(60)]
+    out = scoring.scored(spark.createDataFrame(made, "doc_id bigint, text string")).collect()
+    assert len({r.score for r in out}) == 1 and out[0].bits_per_byte < 1
+    model = {}
+    packs, _ = rounds.chunks(spark.createDataFrame(made, "doc_id bigint, text string"), None, "doc_id", "text")
+    singles, triples, _, _ = scoring.totals(packs, 2, "doc_id", "text")
+    model = dict(zip(("codes", "tree"), scoring.trees(singles, triples)))
+    tuning, whole = scoring.predictors(packs, 2, model, 2, "doc_id", "text")
+    _, other = scoring.predictors(packs, 2, model, 3, "doc_id", "text")
+    assert (whole == other).all() and (whole != tuning).any()
+
+
 def test_bits_are_a_probability():
     """Over all one-byte texts, the probabilities of the byte sum to one, as each tree's leaves do."""
     counts = np.random.default_rng(2).integers(0, 50, (256, 256))
