@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import cut_lineage
 from .series import along, differs
 
 
@@ -111,7 +112,7 @@ def gaps(df: DataFrame, keys: list[str], length: DataFrame, start: str = "start_
     ``length`` has one row per key with ``duration_ms``. A recording without silence is one non-silent range; one that
     is silent throughout is one silent range. Silent ranges must not overlap.
     """
-    silent = df.select(*keys, start, end)
+    silent = cut_lineage(df.select(*keys, start, end))  # read four times below
     before = (along(silent, keys, [start], lag={"_prev": F.col(end)})
               .select(*keys, F.coalesce("_prev", F.lit(0)).alias(start), F.col(start).alias(end)))
     final = silent.groupBy(*keys).agg(F.max(end).alias("_last"))
@@ -124,6 +125,7 @@ def gaps(df: DataFrame, keys: list[str], length: DataFrame, start: str = "start_
 def midpoint_splits(df: DataFrame, keys: list[str], start: str = "start_ms", end: str = "end_ms",
                     kind: str = "kind", speech=("speech", "nonsilence")) -> DataFrame:
     """Split a labelled timeline in the middle of every part that is not speech."""
+    df = cut_lineage(df.select(*keys, kind, start, end))
     mids = (df.filter(~F.col(kind).isin(*speech))
             .select(*keys, (F.col(start) + (F.col(end) - F.col(start)) / 2).alias("mid")))
     cut = (along(mids, keys, ["mid"], lag={"_prev": F.col("mid")})
