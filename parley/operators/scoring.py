@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -10,7 +13,6 @@ from ..functions.permute import drawn, permuted
 from ..functions.vectors import bind
 from ..session import cut_lineage
 from .ranks import ranked
-from .replay import map_groups
 from .series import along, differs
 from .skew import salted_join
 
@@ -25,10 +27,21 @@ def classification_report(df: DataFrame, truth: str, pred: str, keys: list[str]
                           "recall": F.coalesce(F.try_divide(tp, tp + fn), F.lit(0.0))})
 
 
+FEW_LABELS = 5  # labels whose renamings are all tried
+
+
+@functools.cache
+def _choices(n: int, m: int) -> np.ndarray:
+    """All ways to give n rows different ones of m columns."""
+    return np.array(list(itertools.permutations(range(m), n)))
+
+
 def best_assignment(gain: np.ndarray) -> float:
     """Highest total of a one-to-one assignment of rows to columns (shortest augmenting paths with potentials)."""
     if gain.shape[0] > gain.shape[1]:
         gain = gain.T
+    if gain.shape[1] <= FEW_LABELS:  # as with a few speakers, where a loop in Python would take most of the time
+        return float(gain[np.arange(gain.shape[0]), _choices(*gain.shape)].sum(axis=1).max())
     cost = gain.max() - gain
     n, m = cost.shape
     u, v = np.zeros(n + 1), np.zeros(m + 1)
@@ -62,15 +75,26 @@ def sequence_match(df: DataFrame, keys: list[str], label1: str, label2: str) ->
     is missing mean sequences of unequal length, which is an error.
     """
     counts = df.groupBy(*keys, label1, label2).agg(F.count(F.lit(1)).alias("_n"))
-    key_types = ", ".join(f"{c} {t}" for c, t in df.select(*keys).dtypes)
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        if pdf[[label1, label2]].isna().any().any():
-            raise ValueError("every row needs a label of either sequence")
-        matrix = pdf.pivot_table(index=label1, columns=label2, values="_n", fill_value=0, aggfunc="sum").to_numpy(dtype=float)
-        return pdf[keys].head(1).assign(accuracy=best_assignment(matrix) / matrix.sum(), length=int(matrix.sum()))
-
-    return map_groups(counts, keys, [label1, label2], assign, f"{key_types}, accuracy double, length long")
+    # Few bytes but much work per key: a fixed number of partitions is not put together into one task.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = counts.repartition(tasks, *keys).groupBy(*keys).agg(
+        F.collect_list(F.struct(F.col(label1).alias("a"), F.col(label2).alias("b"), F.col("_n").alias("n"))).alias("_c"), F.sum("_n").alias("length"))
+
+    @F.pandas_udf("double")
+    def matched(first: pd.Series, second: pd.Series, n: pd.Series) -> pd.Series:
+        best = []
+        for a, b, c in zip(first, second, n):
+            if pd.isna(a).any() or pd.isna(b).any():
+                raise ValueError("every row needs a label of either sequence")
+            rows, i = np.unique(a, return_inverse=True)
+            columns, j = np.unique(b, return_inverse=True)
+            matrix = np.zeros((len(rows), len(columns)))
+            np.add.at(matrix, (i, j), c)
+            best.append(best_assignment(matrix))
+        return pd.Series(best, dtype=float)
+
+    part = lambda f: F.transform("_c", lambda x: x[f])
+    return cells.select(*keys, (matched(part("a"), part("b"), part("n")) / F.col("length")).alias("accuracy"), "length")
 
 
 def aligned(first: DataFrame, second: DataFrame, keys: list[str], pos: str, label: str) -> DataFrame:

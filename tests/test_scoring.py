@@ -125,3 +125,26 @@ def test_characters_of_the_word_distance_beyond_the_surrogates(spark):
     text = lambda *points: F.decode(F.unhex(F.lit("".join(f"{p:08X}" for p in points))), "UTF-32")
     df = spark.range(1).select(F.levenshtein(text(0x10900, 0x10901, 0xE000), text(0x10901, 0xE000)).alias("d"), F.length(text(0x10900)).alias("n"))
     assert tuple(df.first()) == (1, 1)
+
+
+def test_sequence_match_is_spread_over_tasks(spark):
+    """Many short sequences are few bytes, but their matrices must not all be assigned in one task."""
+    data = [(k, i, (i + k) % 3, "abcdefg"[(i * k) % (2 + k % 6)]) for k in range(200) for i in range(12)]
+    df = spark.createDataFrame(data, "k long, i long, label1 int, label2 string")
+    out = sc.sequence_match(df, ["k"], "label1", "label2")
+    assert out.withColumn("part", F.spark_partition_id()).select("part").distinct().count() > 1
+    want = {}
+    for k in range(200):
+        pairs = [(a, b) for key, _, a, b in data if key == k]
+        many, few = sorted({b for _, b in pairs}), sorted({a for a, _ in pairs})
+        few, many, pairs = (few, many, pairs) if len(few) <= len(many) else (many, few, [(b, a) for a, b in pairs])
+        want[k] = max(sum(dict(zip(few, p))[a] == b for a, b in pairs) for p in itertools.permutations(many, len(few))) / 12
+    assert {r.k: r.accuracy for r in out.collect()} == want
+
+
+@pytest.mark.parametrize("shape", [(3, 4), (5, 5), (6, 6), (7, 3)])
+def test_best_assignment_of_any_size(shape):
+    gain = np.random.default_rng(sum(shape)).integers(0, 50, shape).astype(float)
+    wide = gain if shape[0] <= shape[1] else gain.T
+    want = max(sum(wide[i, j] for i, j in enumerate(p)) for p in itertools.permutations(range(wide.shape[1]), len(wide)))
+    assert sc.best_assignment(gain) == want
