@@ -64,17 +64,19 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, rig
 
     ``right`` has one row per key and time. The two sides are unioned and swept once in time order.
     """
-    payload = [c for c in left.columns if c not in keys]
+    # A time of the same type on both sides travels once, as the order.
+    once = [left_time] if left.schema[left_time].dataType == right.schema[right_time].dataType else []
+    payload = [c for c in left.columns if c not in [*keys, *once]]
     mark = 0 if strict else 1
     ours = left.select(*keys, F.col(left_time).alias("_t"), F.lit(mark).alias("_side"), F.lit(True).alias("_left"),
-                       F.struct(*payload).alias("_row"))
+                       F.struct(*payload, F.lit(0).alias("_")).alias("_row"))
     theirs = right.select(*keys, F.col(right_time).alias("_t"), F.lit(1 - mark).alias("_side"),
                           F.lit(False).alias("_left"),
                           F.struct(*[F.col(v) for v in values]).alias("_found"))
     both = ours.unionByName(theirs, allowMissingColumns=True)
     swept = along(both, keys, ["_t", "_side"], last={"_hit": F.col("_found")})
-    return (swept.filter("_left").select(*keys, *[F.col(f"_row.{c}").alias(c) for c in payload],
-                                         *[F.col(f"_hit.{v}").alias(v) for v in values]))
+    ours = [(F.col("_t") if c in once else F.col(f"_row.{c}")).alias(c) for c in left.columns if c not in keys]
+    return swept.filter("_left").select(*keys, *ours, *[F.col(f"_hit.{v}").alias(v) for v in values])
 
 
 def coverage(df: DataFrame, keys: list[str], start: str = "start_ms", end: str = "end_ms") -> DataFrame:
@@ -142,11 +144,11 @@ def original_times(times: DataFrame, intervals: DataFrame, keys: list[str], time
 
     The kept ``intervals`` are laid end to end; a time past the last one maps to its end.
     """
-    laid = along(intervals.select(*keys, start, end), keys, [start],
+    laid = along(cut_lineage(intervals.select(*keys, start, end)), keys, [start],
                  total={"_to": F.col(end) - F.col(start)})
     shift = laid.select(*keys, (F.col("_to") - (F.col(end) - F.col(start))).alias("_from"), F.col(start).alias("_start"),
                         F.col(end).alias("_end"))
-    found = asof(times, shift, keys, time, "_from", ["_from", "_start", "_end"])
+    found = asof(cut_lineage(times), cut_lineage(shift), keys, time, "_from", ["_from", "_start", "_end"])
     return (found.withColumn("original", F.least(F.col("_start") + F.col(time) - F.col("_from"), F.col("_end")))
             .drop("_from", "_start", "_end"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import intervals as iv, summary as sm
 from ..operators.series import along
 from ..operators.skew import salted_join
+from ..session import cut_lineage
 from . import views as v
 from .registry import query
 from .views import with_views
@@ -177,7 +178,7 @@ def loudest_mic(spark, folder):
     SELECT *, (mic IS DISTINCT FROM lag(mic) OVER (PARTITION BY meeting ORDER BY start_ms))::INT AS chg FROM loud))
   GROUP BY meeting, run""")
 def speaker_by_loudness(spark, folder):
-    loud = _loudest(spark, folder).withColumn("begin", F.col("start_ms"))
+    loud = cut_lineage(_loudest(spark, folder)).withColumn("begin", F.col("start_ms"))  # looked at for its counts, then swept
     return iv.merge_runs(loud, ["meeting"], "begin", "mic").drop("run")
 
 
