@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.permute import permuted
 from ..functions.vectors import bind, standardised
+from ..session import cut_lineage
 from .series import along, neighbours
-from .skew import salted_join
+from .skew import lookup_join, salted_join
+
+NARROW_ROWS = 1_000_000  # rows of two or three numbers that may be broadcast
 
 STATISTICS = ["mean", "std", "mad", "max", "min", "energy", "entropy", "iqr", "range", "skewness", "kurtosis"]
 
@@ -200,7 +203,7 @@ def median_centres(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def near_median_boxes(df: DataFrame, middle: DataFrame, keys: list[str], width: float, reach: float = 0.1) -> DataFrame:
     """Boxes whose centre is closer to the person's median centre than ``reach`` times the frame width."""
-    both = salted_join(_centred(df), middle, keys)
+    both = lookup_join(_centred(df), cut_lineage(middle), keys, limit=NARROW_ROWS)
     dy, dx = F.col("_cy") - F.col("my"), F.col("_cx") - F.col("mx")
     return both.filter(F.sqrt(dy * dy + dx * dx) < reach * width).select(*df.columns)
 
@@ -213,9 +216,10 @@ def interpolate_boxes(df: DataFrame, keys: list[str], lengths: DataFrame) -> Dat
     """
     sides = ["top", "right", "bottom", "left"]
     next_box = F.struct("frame", *sides)
-    seen = along(df.select(*keys, "frame", *sides), keys, ["frame"], lead={"_next": next_box}, lag={"_prev": F.col("frame")})
+    known = cut_lineage(df.select(*keys, "frame", *sides))  # looked at for its counts, then swept
+    seen = along(known, keys, ["frame"], lead={"_next": next_box}, lag={"_prev": F.col("frame")})
     seen = seen.filter(F.col("_next").isNotNull() | F.col("_prev").isNotNull())
-    whole = salted_join(seen, lengths, keys)
+    whole = lookup_join(seen, cut_lineage(lengths), keys, limit=NARROW_ROWS)
     until = F.when(F.col("_next").isNull(), F.col("n") - 1).otherwise(F.col("_next.frame") - 1)
     since = F.when(F.col("_prev").isNull(), F.lit(0)).otherwise(F.col("frame"))
     grid = whole.withColumn("_f", F.explode(F.sequence(since, F.greatest(until, F.col("frame")))))
