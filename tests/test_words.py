@@ -107,3 +107,47 @@ def test_words_by_class(spark):
     s = sentences(spark, [["x", "y", "x", "z"], ["z"]])
     lexicon = spark.createDataFrame([("x", "noun"), ("y", "verb")], "token string, class string")
     assert rows(wd.words_by_class(s, ["id"], lexicon, ["noun", "verb"])) == [(0, "x x", "y")]
+
+
+@pytest.mark.parametrize("rows_", [2, 200_000])
+def test_cut_sentences_keep_a_sentence_together(spark, monkeypatch, capsys, rows_):
+    """Words of the first ranks are not shuffled one by one; rare words are met without repeating the vocabulary."""
+    monkeypatch.setattr(wd, "BROADCAST_ROWS", rows_)
+    sentences = spark.createDataFrame([(1, 0, ["b", "a", "x"]), (1, 0, ["a", "d"]), (1, 1, ["x"]), (2, 0, ["c", "d", "a"]), (None, 0, ["c"]), (3, 0, [])],
+                                      "doc long, pos int, words array<string>")
+    vocabulary = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2), ("d", 3)], "word string, rank long")
+    cut = wd.cut_sentences(sentences, ["doc", "pos"], vocabulary)
+    assert sorted(map(tuple, cut.collect()), key=str) == sorted([(1, 0, ["a", "a", "b", "d"]), (2, 0, ["a", "c", "d"]), (None, 0, ["c"])], key=str)
+    tokens = wd.known_rows(sentences.select("doc", "pos", F.explode("words").alias("word")), vocabulary, "word")
+    assert sorted(r["rank"] for r in tokens.collect()) == [0, 0, 0, 1, 2, 2, 3, 3]
+    capsys.readouterr()
+    cut.explain()
+    tokens.explain()
+    plan = capsys.readouterr().out
+    assert "_salt" not in plan and (rows_ == 2 or "Generate explode" not in plan.partition("== Physical Plan ==")[2].partition("== Physical Plan ==")[0])
+
+
+def test_pagerank_moves_ranks_and_not_edges(spark, monkeypatch):
+    """In a graph too large for broadcasts a round shuffles about as many rows as there are nodes, not edges."""
+    monkeypatch.setattr(graph, "fits", lambda df: False)
+    random.seed(4)
+    pairs = random.sample(list(itertools.combinations(range(60), 2)), 1200)
+    weight = {p: random.random() + 0.1 for p in pairs}
+    edges = spark.createDataFrame([(f"w{a}", f"w{b}", x) for (a, b), x in weight.items()], "src string, dst string, weight double")
+    plans = []
+    cut = graph.cut_lineage
+    monkeypatch.setattr(graph, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    got = {r.word: r["rank"] for r in graph.pagerank(edges, rounds=4, tolerance=0.0, checkpoint_every=2).collect()}
+    both = weight | {(b, a): x for (a, b), x in weight.items()}
+    out = collections.Counter()
+    for (a, _), x in both.items():
+        out[a] += x
+    rank = {a: 1 / len(out) for a in out}
+    for _ in range(4):
+        flow = collections.Counter()
+        for (a, b), x in both.items():
+            flow[b] += rank[a] * x / out[a]
+        rank = {a: 0.85 * flow[a] + 0.15 / len(out) for a in out}
+    assert got == pytest.approx({f"w{a}": x for a, x in rank.items()})
+    # the rounds: the edges come from their place; only ranks (two exchanges: to the edges and to the sums) move
+    assert all("InMemoryTableScan" in p and "_salt" not in p for p in plans[3:]) and len(plans) == 7
