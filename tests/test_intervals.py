@@ -90,3 +90,54 @@ def test_asof_strict(spark):
     right = spark.createDataFrame([(0, 5, "x"), (0, 1, "w")], "k long, u long, v string")
     assert rows(iv.asof(left, right, ["k"], "t", "u", ["v"]), "t") == [(0, 4, "w"), (0, 5, "x")]
     assert rows(iv.asof(left, right, ["k"], "t", "u", ["v"], strict=True), "t") == [(0, 4, "w"), (0, 5, "w")]
+
+
+def _computed(spark, df):
+    """The table, and a counter of how many of its rows were computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    return df.mapInPandas(count, df.schema), seen
+
+
+def test_inputs_of_a_sweep_are_computed_once(spark):
+    """Times, pieces, boxes and silences are looked at for their counts and then swept, but come from one pass over their input."""
+    from parley.operators import features as ft
+
+    times, n = _computed(spark, spark.createDataFrame([(1, 5), (1, 15), (1, 40)], "k long, t long"))
+    kept, m = _computed(spark, spark.createDataFrame([(1, 10, 20), (1, 30, 45)], "k long, start_ms long, end_ms long"))
+    got = iv.original_times(times, kept, ["k"], "t")
+    assert got.columns == ["k", "t", "original"] and sorted(map(tuple, got.collect())) == [(1, 5, 15), (1, 15, 35), (1, 40, 45)]
+    assert (n.value, m.value) == (3, 2)
+    boxes, n = _computed(spark, spark.createDataFrame([(1, 1, 0, 0, 0, 0), (1, 3, 4, 4, 4, 4)], "k long, frame long, top int, right int, bottom int, left int"))
+    grid = ft.interpolate_boxes(boxes, ["k"], spark.createDataFrame([(1, 5)], "k long, n long"))
+    assert sorted((r.frame, r.top) for r in grid.collect() if r.top is not None) == [(1, 0), (2, 2), (3, 4)] and n.value == 2
+    silent, n = _computed(spark, spark.createDataFrame([(1, 10, 20)], "k long, start_ms long, end_ms long"))
+    gaps = iv.gaps(silent, ["k"], spark.createDataFrame([(1, 50)], "k long, duration_ms long"))
+    assert sorted(map(tuple, iv.midpoint_splits(gaps, ["k"]).collect())) == [(1, 0.0, 15.0), (1, 15.0, 50.0)] and n.value == 1
+
+
+def test_asof_keeps_columns_of_any_time_type(spark):
+    """A time travels once where both sides have one type; the columns and their order are those of the left side."""
+    right = spark.createDataFrame([(1, 2, "a"), (1, 6, "b")], "k long, at long, v string")
+    for kind in ("long", "int"):
+        left = spark.createDataFrame([(1, "x", 5, 7), (1, "y", 6, 8), (1, "z", 1, 9)], f"k long, name string, t {kind}, more long")
+        got = iv.asof(left, right, ["k"], "t", "at", ["v"])
+        assert got.dtypes == [*left.dtypes, ("v", "string")]
+        assert sorted(map(tuple, got.collect())) == [(1, "x", 5, 7, "a"), (1, "y", 6, 8, "b"), (1, "z", 1, 9, None)]
+
+
+def test_loudness_is_computed_once(spark, tmp_path):
+    """The segments' loudest microphones are written before their runs are merged."""
+    from datetime import datetime, timedelta
+
+    from parley import plans
+
+    data = [(i, datetime(2024, 1, 1) + timedelta(seconds=30 * i), 10 * (i % 3), "purchase" if i % 4 else "view", float(i % 50 + 1)) for i in range(200)]
+    spark.createDataFrame(data, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = plans.load()[0]["speaker_by_loudness"](spark, str(tmp_path))
+    assert got.count() > 0 and "FileScan" not in got._jdf.queryExecution().executedPlan().toString()
