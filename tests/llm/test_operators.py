@@ -417,3 +417,28 @@ def test_index_finds_the_exact_nearest():
         _, found = index.nearest(f, w)
         want = np.sort(dense[:, f] @ w)[::-1][:toxicity.NEAREST]
         assert np.allclose(found, want[want > 0])
+
+
+def test_index_goes_through_its_rows_once_and_adds_up_few_entries_at_a_time(monkeypatch):
+    """Making a row's vector is most of the work of an index; sums of long lists stay in a core's cache."""
+    rng = np.random.default_rng(7)
+    rows = [(np.sort(rng.choice(5000, 200, replace=False)), np.full(200, 200 ** -0.5)) for _ in range(300)]
+    passes, longest = [], []
+
+    class Rows(list):
+        def __iter__(self):
+            passes.append(1)
+            return super().__iter__()
+
+    index = toxicity.Index(Rows(rows), [0] * 300, [1.0] * 300, np.bincount(np.concatenate([f for f, _ in rows]), minlength=toxicity.FEATURES))
+    assert len(passes) == 1
+    monkeypatch.setattr(toxicity, "ENTRIES", 64)
+    count = np.bincount
+    monkeypatch.setattr(np, "bincount", lambda x, *a, **k: longest.append(len(x)) or count(x, *a, **k))
+    dense = np.zeros((300, 5000))
+    for i, (f, w) in enumerate(rows):
+        dense[i, f] = w
+    for f, w in rows[:20]:
+        _, found = index.nearest(f, w)
+        assert np.allclose(found, np.sort(dense[:, f] @ w)[::-1][:toxicity.NEAREST])
+    assert len(longest) > 20 and max(longest) <= 64 + 300
