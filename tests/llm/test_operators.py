@@ -442,3 +442,14 @@ def test_index_goes_through_its_rows_once_and_adds_up_few_entries_at_a_time(monk
         _, found = index.nearest(f, w)
         assert np.allclose(found, np.sort(dense[:, f] @ w)[::-1][:toxicity.NEAREST])
     assert len(longest) > 20 and max(longest) <= 64 + 300
+
+
+def test_decisions_are_looked_up_without_a_change_of_type():
+    texts = [b"", b"a", "größe über".encode(), b"the cat sat on the mat " * 30]
+    data = np.frombuffer(b"".join(t + bytes([scoring.END]) for t in texts), np.uint8)
+    bounds = np.cumsum([0] + [len(t) + 1 for t in texts])
+    model = dict(zip(("codes", "tree"), scoring.trees(np.ones((256, 256), np.int64), {})))
+    byte, depth, _, _, _, _, length = scoring.decisions(data, bounds, model)
+    assert byte.dtype == np.intp
+    assert (byte == np.repeat(np.arange(len(data)), length)).all()
+    assert (depth == np.concatenate([np.arange(n) for n in length])).all()
