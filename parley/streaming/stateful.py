@@ -1,9 +1,10 @@
 """Structured Streaming forms of the stateful detectors.
 
-Frames may arrive in any order within the watermark's delay. Every key keeps an ordered buffer: rows wait in the state
-store by slots of event time, and an event-time timer fires when the watermark has passed a slot. Only then are the slot's
-rows put in frame order and given to the detector, slot after slot, so a task holds a slot of one key and a few small chunks
-at a time, and the result does not depend on how rows were dealt to micro-batches. Rows behind the watermark are late: the stream drops and
+Frames may arrive in any order within the watermark's delay. Keys are dealt to groups by their hash, and every group keeps an
+ordered buffer: rows wait in the state store by slots of event time, and an event-time timer fires when the watermark has
+passed a slot. Only then are the slot's rows put in frame order and given to the detector, key after key and slot after slot
+(slots of few rows together), so a task holds a slot of one group and a few small chunks at a time, and the result does not
+depend on how rows were dealt to micro-batches. Rows behind the watermark are late: the stream drops and
 counts them (``late_rows``). A row without event time or key has no place in a series and is left out.
 
 A stream that ends (``drain``) gets one last marker row far in the future, so that what waits for the watermark comes out.
@@ -16,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -25,23 +27,31 @@ from ..sources.tables import scratch
 END = "9999-01-01 00:00:00"  # event time of the marker that ends a drained stream
 LATE = "1 day"
 SLOT_MS = 3_600_000
-FEW = 4096  # rows of a key in a micro-batch that wait together
+GROUPS = 4096  # that keys are dealt to by their hash
+FEW = 1 << 14  # rows of a group in a micro-batch that wait together
+MANY = 1 << 16  # rows of slots that are over and go to the detector at once, if a slot does not hold more
 
 
 class _Ordered(StatefulProcessor):
-    """The buffer of one key: chunks of rows by slot, the state of the detector, and one timer for the first slot."""
+    """The buffer of one group of keys: chunks of rows by slot, the detector's state of each key, and one timer for the first slot.
+
+    Starting a group, its timer and its output cost far more than a row, so keys share them. A key's state is read only when
+    rows of it are due.
+    """
 
     def __init__(self, keys: list[str], columns: list[str], order: str, start: dict, step, slot_ms: int, result: list[str]):
         self.keys, self.columns, self.order, self.start, self.step = keys, columns, order, start, step
-        self.slot_ms, self.result, self.few = slot_ms, result, FEW
+        self.slot_ms, self.result, self.few, self.many = slot_ms, result, FEW, MANY
+        self.places = [f"k{i}" for i in range(len(keys))]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getMapState("rows", "slot bigint, part int", "rows string")
+        self.rows = handle.getMapState("rows", "slot bigint, part int", "rows binary")
+        self.states = handle.getMapState("states", "key string", "state string")
         self.held = handle.getValueState("held", "state string")
 
     def _load(self) -> dict:
-        return json.loads(self.held.get()[0]) if self.held.exists() else {"value": self.start, "slots": {}, "timer": None}
+        return json.loads(self.held.get()[0]) if self.held.exists() else {"slots": {}, "timer": None}
 
     def _save(self, held: dict) -> None:
         first = min(map(int, held["slots"]), default=None)
@@ -54,22 +64,21 @@ class _Ordered(StatefulProcessor):
             held["timer"] = timer
         self.held.update((json.dumps(held),))
 
-    def _keep(self, held: dict, rows: list, slot: int) -> None:
+    def _keep(self, held: dict, rows: pd.DataFrame, slot: int) -> None:
         part = held["slots"].get(str(slot), 0)
-        self.rows.updateValue((slot, part), (json.dumps(rows),))
+        self.rows.updateValue((slot, part), (_packed(rows),))
         held["slots"][str(slot)] = part + 1
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         held = self._load()
         for batch in rows:
+            batch = batch[["at_ms", *self.places, *[f"c{i}" for i in range(len(self.columns))]]]
             slots = batch["at_ms"].to_numpy() // self.slot_ms
-            values = batch[["at_ms", *[f"c{i}" for i in range(len(self.columns))]]]
-            values = values.astype(object).where(values.notna(), None).to_numpy()
-            if len(values) <= self.few:  # a chunk under its first slot; it is small, so it may reach into later ones
-                self._keep(held, values.tolist(), int(slots.min()))
+            if len(batch) <= self.few:  # a chunk under its first slot; it is small, so it may reach into later ones
+                self._keep(held, batch, int(slots.min()))
             else:
                 for slot in np.unique(slots):
-                    self._keep(held, values[slots == slot].tolist(), int(slot))
+                    self._keep(held, batch[slots == slot], int(slot))
         self._save(held)
         return iter([])
 
@@ -78,24 +87,56 @@ class _Ordered(StatefulProcessor):
         held["timer"] = None  # it has fired
         done = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) // self.slot_ms  # slots before it are over
         ready = sorted(s for s in map(int, held["slots"]) if s < done)
-        waiting: list = []
+        waiting: list[pd.DataFrame] = []
         for slot, following in zip(ready, [*ready[1:], done]):
             for part in range(held["slots"].pop(str(slot))):
-                waiting += json.loads(self.rows.getValue((slot, part))[0])
+                waiting.append(_unpacked(self.rows.getValue((slot, part))[0]))
                 self.rows.removeKey((slot, part))
+            if following < done and sum(map(len, waiting)) < self.many:
+                continue  # few rows, so those of the following slot join them
             # no chunk that is still to be read reaches below the following slot
-            due = [r[1:] for r in waiting if r[0] < following * self.slot_ms]
-            waiting = [r for r in waiting if r[0] >= following * self.slot_ms]
-            if due:
-                table = pd.DataFrame(due, columns=self.columns).sort_values(self.order, kind="stable", ignore_index=True)
-                held["value"], result = self.step(held["value"], table)
-                for name, part in zip(reversed(self.keys), reversed(key)):
-                    result.insert(0, name, part)
-                yield result[self.result]
+            rows = pd.concat(waiting, ignore_index=True) if len(waiting) > 1 else waiting[0]
+            over = rows["at_ms"].to_numpy() < following * self.slot_ms
+            waiting = [] if over.all() else [rows[~over]]
+            if over.any():
+                yield self._stepped(rows[over])
         if waiting:
-            self._keep(held, waiting, min(r[0] for r in waiting) // self.slot_ms)
+            rows = pd.concat(waiting, ignore_index=True)
+            self._keep(held, rows, int(rows["at_ms"].min()) // self.slot_ms)
         self._save(held)
 
+    def _stepped(self, rows: pd.DataFrame) -> pd.DataFrame:
+        """The results of rows whose time has come, key after key."""
+        place = rows.groupby(self.places, sort=False).ngroup().to_numpy()
+        table = rows[[f"c{i}" for i in range(len(self.columns))]].set_axis(self.columns, axis=1)
+        sort = table[self.order].reset_index(drop=True).sort_values(kind="stable").index.to_numpy()
+        sort = sort[np.argsort(place[sort], kind="stable")]
+        table, names = table.iloc[sort], rows[self.places].iloc[sort]
+        starts = np.flatnonzero(np.diff(place[sort], prepend=-1))
+        results = []
+        for name, a, b in zip(zip(*(names[c].iloc[starts] for c in self.places)), starts, [*starts[1:], len(table)]):
+            name = json.dumps([str(x) for x in name])
+            before = self.states.getValue((name,)) if self.states.containsKey((name,)) else None
+            state, result = self.step(self.start if before is None else json.loads(before[0]), table.iloc[a:b].reset_index(drop=True))
+            self.states.updateValue((name,), (json.dumps(state),))
+            results.append(result)
+        out = pd.concat(results, ignore_index=True)
+        at = np.repeat(starts, [len(r) for r in results])
+        for key, c in zip(self.keys, self.places):
+            out[key] = names[c].iloc[at].to_numpy()
+        return out[self.result]
+
+
+def _packed(rows: pd.DataFrame) -> bytes:
+    batch, sink = pa.RecordBatch.from_pandas(rows, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(rows: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(bytes(rows)).read_pandas()
+
 
 def _stateful(df: DataFrame, keys: list[str], order: str, columns: list[str], start: dict, step: Callable, schema: str,
               late: str, slot_ms: int, where: Column | None = None) -> DataFrame:
@@ -112,11 +153,11 @@ def _stateful(df: DataFrame, keys: list[str], order: str, columns: list[str], st
     for k in keys:
         timed = timed.filter(F.col(k).isNotNull())
     # Rows reach the processor as named tuples, so they travel under names that are fit for those.
-    plain = timed.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], "ts", F.unix_millis("ts").alias("at_ms"),
+    plain = timed.select(F.pmod(F.xxhash64(*keys), F.lit(GROUPS)).alias("dealt"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], "ts", F.unix_millis("ts").alias("at_ms"),
                          *[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
     names = [f.name for f in T._parse_datatype_string(out).fields]
     work = _Ordered(keys, columns, order, start, step, slot_ms, names)
-    return plain.groupBy(*[f"k{i}" for i in range(len(keys))]).transformWithStateInPandas(work, out, "Append", "EventTime")
+    return plain.groupBy("dealt").transformWithStateInPandas(work, out, "Append", "EventTime")
 
 
 def _timed(df: DataFrame, late: str) -> DataFrame:

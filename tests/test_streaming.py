@@ -71,6 +71,19 @@ def test_running_values_in_a_stream(spark, tmp_path, shuffled):
     assert got == pytest.approx(want)
 
 
+def test_keys_share_a_group_and_its_timer(spark, tmp_path, monkeypatch):
+    """The cost of a group and its timer does not come with every key; slots of few rows are worked on together."""
+    monkeypatch.setattr(st, "GROUPS", 2)
+    monkeypatch.setattr(st, "FEW", 5)
+    monkeypatch.setattr(st, "MANY", 7)
+    random.seed(4)
+    df = spark.createDataFrame([(p, f"q{p % 3}", f, random.uniform(-1, 4)) for p in range(7) for f in range(20)], "p long, q string, frame long, value double")
+    out = st.drain(lambda e: st.correction_stream(e, ["p", "q"], slot_ms=240_000), arriving(spark, df, tmp_path / "s", 1), spark, "g")
+    got = {(r.p, r.q, r.frame): r.corrected for r in out.collect()}
+    assert len(got) == out.count() == 140
+    assert got == pytest.approx({(r.p, r.q, r.frame): r.corrected for r in rp.online_correction(df, ["p", "q"], "frame", "value").collect()})
+
+
 @pytest.mark.parametrize("shuffled", [None, 7])
 def test_carried_values_in_a_stream(spark, tmp_path, shuffled):
     random.seed(3)
