@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pickle
 import zlib
 from collections import Counter
 
@@ -453,3 +454,27 @@ def test_decisions_are_looked_up_without_a_change_of_type():
     assert byte.dtype == np.intp
     assert (byte == np.repeat(np.arange(len(data)), length)).all()
     assert (depth == np.concatenate([np.arange(n) for n in length])).all()
+
+
+def test_workers_of_an_executor_share_the_memory_of_the_examples(tmp_path, monkeypatch):
+    """An index in each worker, idle ones included, took the memory of an executor."""
+    monkeypatch.setenv("SPARK_LOCAL_DIRS", str(tmp_path))
+    rng = np.random.default_rng(8)
+    rows = [(np.sort(rng.choice(3000, 150, replace=False)), rng.integers(1, 9, 150)) for _ in range(400)]
+    scale = rng.random(toxicity.FEATURES) + 0.5
+    part = toxicity.parts([toxicity.packed(*r) for r in rows], np.bincount(np.concatenate([f for f, _ in rows]), minlength=toxicity.FEATURES))
+    seen = np.array([np.bincount(np.concatenate([f for (f, _), k in zip(rows, part) if k == p] or [[]]).astype(int), minlength=toxicity.FEATURES) for p in range(part.max() + 1)])
+    sent = pickle.dumps(toxicity.Examples(toxicity.bundled([toxicity.packed(*r) for r in rows]), [0] * 400, [1.0] * 400, [0] * 400, scale, seen, part, 8))
+    first, second = pickle.loads(sent), pickle.loads(sent)
+    made = toxicity.Index.__init__
+    assert first.index.owner.size and not first.index.owner.flags.owndata and first.parts is None
+    monkeypatch.setattr(toxicity.Index, "__init__", lambda *a: 1 / 0)
+    dense = np.zeros((400, toxicity.FEATURES))
+    for i, (f, n) in enumerate(rows):
+        dense[i, f] = toxicity.vector(f, n, scale)[1]
+    for f, n in rows[:30]:
+        f, w = toxicity.vector(f, n, scale)
+        for index in (first.index, second.index):
+            place, found = index.nearest(f, w)
+            assert np.allclose(found, np.sort(dense[:, f] @ w)[::-1][:toxicity.NEAREST], atol=1e-12)
+    monkeypatch.setattr(toxicity.Index, "__init__", made)
