@@ -342,6 +342,56 @@ def test_bit_counts_come_from_all_training_texts(spark):
     assert (whole == other).all() and (whole != tuning).any()
 
 
+def test_first_weights_come_from_all_training_texts(spark, monkeypatch):
+    """Not from the sample alone: every training text is scored with the counts of the other half, and all that is learned is averaged."""
+    monkeypatch.setattr(scoring, "TUNING", 4)
+    monkeypatch.setattr(rounds, "CHUNK_BYTES", 3000)
+    rng = np.random.default_rng(6)
+    pool = ["river", "stone", "under", "the", "a", "über", "light", "of"]
+    made = [(i, " ".join(rng.choice(pool, int(rng.integers(0, 150))))) for i in range(40)]
+    df = spark.createDataFrame(made, "doc_id bigint, text string").repartition(3).cache()
+    packs, _ = rounds.chunks(df)
+    singles, triples, _, _ = scoring.totals(packs, 2, "doc_id", "text")
+    model = dict(zip(("codes", "tree"), scoring.trees(singles, triples)))
+    apart, _ = scoring.predictors(packs, 2, model, 2, "doc_id", "text")
+    model |= {"weights": np.full((scoring.GATES, scoring.CONTEXTS), 0.35), "curve": np.zeros(scoring.LEVELS), "tables": apart[0]}
+    weights, curve, total = 0, 0, 0
+    for i, text in made:
+        if scoring.trained(i):
+            data = np.frombuffer(text.encode() + bytes([scoring.END]), np.uint8)
+            mixer = scoring.Mixer(model | {"tables": apart[0 if scoring.tuned(i, 2) else 1]})
+            mixer.score(data, np.array([0, len(data)]))
+            share = len(data) ** 0.5
+            weights, curve, total = weights + share * mixer.learned[0][0], curve + share * mixer.learned[1][0], total + share
+    scoring.fitted(packs, 2, model, apart, "doc_id", "text")
+    assert np.allclose(model["weights"], weights / total, atol=1e-5) and np.allclose(model["curve"], curve / total, atol=1e-5)
+    assert {scoring.tuned(i, 2) for i, _ in made if scoring.trained(i)} == {True, False}
+
+
+def test_long_texts_go_on_where_a_stretch_ends(monkeypatch):
+    """A text scored in stretches has the score and the weights it has as a whole; learning does not stop at doubled places."""
+    rng = np.random.default_rng(7)
+    text = " ".join(rng.choice(["river", "stone", "unter", "a", "x" * 700, "ü"], 900)).encode() + bytes([scoring.END])
+    data, bounds = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    model = dict(zip(("codes", "tree"), scoring.trees(rng.integers(0, 50, (256, 256)), {})))
+    model |= {"tables": rng.integers(-40, 40, (scoring.CONTEXTS, 1 << scoring.BITS)).astype(np.int8),
+              "weights": np.full((scoring.GATES, scoring.CONTEXTS), 0.4), "curve": np.zeros(scoring.LEVELS)}
+    whole = scoring.Mixer(model)
+    want, hashed = whole.score(data, bounds), scoring.contexts(data, bounds)
+    monkeypatch.setattr(scoring, "MEMBERS", 2 * scoring.STRIDE)
+    mixer, got, seen = scoring.Mixer(model), 0, []
+    for _, _, part, at, lead, _ in scoring.stretches(data, bounds):
+        got += mixer.score(part, at, lead)
+        seen.append(scoring.contexts(part, at, lead))
+    assert len(seen) == -(-len(data) // (2 * scoring.STRIDE)) > 50
+    for k in range(2):
+        assert (np.concatenate([s[k] for s in seen]) == hashed[k]).all()
+    for k in range(scoring.CONTEXTS):
+        assert (np.concatenate([s[2][k] for s in seen]) == hashed[2][k]).all()
+    assert got == pytest.approx(want, rel=1e-6) and np.allclose(mixer.learned[0], whole.learned[0], atol=1e-4)
+    assert whole.phase(np.array([0, 31, 32, 127, 128, 255, 256, 511, 512, 5000]), None).tolist() == [0, 0, 1, 2, 3, 3, 4, 4, 5, 22]
+
+
 def test_bits_are_a_probability():
     """Over all one-byte texts, the probabilities of the byte sum to one, as each tree's leaves do."""
     counts = np.random.default_rng(2).integers(0, 50, (256, 256))
