@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as public
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -306,6 +307,35 @@ def test_repeats_of_random_letters(spark, empty, monkeypatch):
     assert suffixes.without_repeats(empty).count() == 0
 
 
+def test_chunks_and_messages_do_not_grow_with_the_square(spark, monkeypatch):
+    """A chunk is packed once, not once per scan task; the chunks of a load share their messages."""
+    monkeypatch.setattr(rounds, "CHUNK_BYTES", 1000)
+    monkeypatch.setattr(rounds, "together", lambda n: 4)
+    rng = np.random.default_rng(9)
+    made = [(i, None if i % 50 == 7 else "".join(rng.choice(list("abü"), int(rng.integers(0, 200))))) for i in range(300)] + [(300, "long" * 700)]
+    docs = spark.createDataFrame(made, "doc_id bigint, text string").repartition(6).cache()
+    packs, n = rounds.chunks(docs)
+    held = [rounds.Chunk(pa.table({k: [r[k]] for k in ("seq", "data", "extra")})) for r in packs.collect()]
+    assert n <= len(held) + 6 <= 2 * n
+    assert sorted((k, bytes(c.bytes[a:b]).decode()) for c in held for k, a, b in zip(c.keys, c.starts, c.starts[1:])) == [(i, t or "") for i, t in made]
+    assert sorted(len(c.bytes) for c in held)[-2] <= 1000
+    loads = packs.select("load").distinct().count()
+    assert loads <= n / 4 + 6
+
+    def question(chunk, heard):
+        return {"name": np.unique(np.array([0 if i is None else i * 0x9E3779B97F4A7C15 % (1 << 64) for i in chunk.keys], np.uint64)), "n": np.ones(len(set(chunk.keys)), np.int64)}
+
+    first = rounds.ask(packs, n, 0, question, lambda rows, chunk: rows["name"] + np.uint64(1))
+    second = rounds.ask(packs, n, 1, question, lambda rows, chunk: rows["name"] + np.uint64(2), first)
+    assert second.groupBy("round", "load").count().agg(F.max("count")).first()[0] <= n // 4
+
+    def result(chunk, heard):
+        name = question(chunk, heard)["name"]
+        return pa.table({"right": pa.array([bool((heard[0] == name + np.uint64(1)).all() and (heard[1] == name + np.uint64(2)).all())])})
+
+    assert [r.right for r in rounds.finish(packs, second, "right boolean", result).collect()] == [True] * len(held)
+
+
 # op9
 
 
