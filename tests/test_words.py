@@ -2,6 +2,7 @@ import collections
 import itertools
 import random
 
+import pyarrow as pa
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -72,6 +73,51 @@ def test_pairs_tell_their_words(spark, group, first, monkeypatch):
     assert wd.bag_of_words(s, ["id"], cut).count() == sum(len(kept & set(l)) for l in lists)
 
 
+def test_pair_packs_do_not_grow_with_the_square(spark, monkeypatch):
+    """A task adds up its pairs before it sends them: four times the sentences made sixteen times the packs."""
+    monkeypatch.setattr(wd, "PAIR_BUFFER", 100)
+    monkeypatch.setattr(wd, "PAIR_GROUP", 400)
+    random.seed(3)
+    words = "abcdefghijklmnop"
+    some = [random.sample(words, 6) for _ in range(60)]
+    made = {}
+    packed = wd._packed_pairs
+    monkeypatch.setattr(wd, "_packed_pairs", lambda code, count, groups, rare=None: packed(code, count, groups, rare).assign(part=0))
+    monkeypatch.setattr(wd, "_added_pairs", lambda t: pa.table({"word1": [t.num_rows], "word2": [0], "intersection_count": [0]}))
+    for times in (1, 4):
+        s = sentences(spark, some * times).coalesce(1)
+        coded = s.select(F.transform("words", lambda w: F.ascii(w).cast("long")).alias("ranks"))
+        made[times] = wd.pair_counts(coded).first().word1
+    assert made[4] < 8 * made[1]
+
+
+def test_pairs_are_added_up_once_and_named_in_their_group(spark, monkeypatch):
+    """Only pairs of two rare words are joined; the others were added up twice, once for each side of a join by rank."""
+    monkeypatch.setattr(wd, "BROADCAST_ROWS", 8)
+    random.seed(5)
+    s = sentences(spark, [random.sample("abcdefghijkéü", random.randint(2, 9)) for _ in range(60)])
+    vocabulary = wd.ranked_words(wd.word_counts(s))
+    coded = wd.coded_sentences(s, ["id"], vocabulary)
+    known = vocabulary.join(wd.pair_members(coded), "rank").select("rank", "word", "members").localCheckpoint()
+    plain = rows(wd.jaccard(wd.pair_counts(coded), vocabulary), "word1", "word2")
+    rank = {r.word: r["rank"] for r in vocabulary.collect()}
+    assert any(rank[r[0]] >= 8 and rank[r[1]] >= 8 for r in plain) and any(rank[r[0]] < 8 for r in plain)
+    pairs = wd.pair_counts(coded, known=known)
+    assert rows(wd.jaccard(pairs, known), "word1", "word2") == plain
+    assert pairs.columns == ["name1", "count1", "name2", "count2", "intersection_count"]
+    monkeypatch.setattr(wd, "fits", lambda df: False)
+    assert rows(wd.jaccard(wd.pair_counts(coded, known=known), known), "word1", "word2") == plain
+
+
+def test_shares_are_rounded_as_by_round(spark):
+    from parley.plans.words import rounded
+
+    random.seed(6)
+    shares = [a / b for b in range(1, 300) for a in range(1, b + 1)] + [(n + 0.5) / 1e6 for n in range(2000)] + [random.random() for _ in range(2000)] + [None, 0.0, 1e-9, 1.0]
+    df = spark.createDataFrame([(s,) for s in shares], "s double")
+    assert df.filter(~rounded(F.col("s")).eqNullSafe(F.round("s", 6))).count() == 0 and df.select(rounded(F.col("s")).alias("s")).schema == df.schema
+
+
 def test_jaccard_groups(spark):
     df = spark.createDataFrame([(c,) for c in (0.0, 0.003, 0.0089, 0.009, 0.012)], "jaccard_coefficient double")
     assert [r.g for r in df.select(wd.jaccard_group(F.col("jaccard_coefficient")).alias("g")).collect()] == [0, 1, 2, 3, 4]
